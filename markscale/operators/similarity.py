@@ -1,69 +1,111 @@
 """Similarity of an answer to its reference text: chunk, encode, mean cosine over all chunk pairs.
 
 The mean over all pairs is computed as the dot product of the two mean unit vectors. In the row
-form nothing is shuffled; with ``distinct_references`` a text that many rows share is encoded once.
+form nothing is shuffled; with ``score_distinct`` a text that many rows share is encoded once.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markscale.functions.chunks import sentence_chunks
-from markscale.functions.vectors import dot, mean_unit, unit
+from markscale.functions.vectors import dot
 from markscale.operators.skew import MIN_HOT_ROWS, lookup_join
 from markscale.session import materialise
 
-# An encoder turns a column of chunks (array<string>) into the mean unit vector of their
-# embeddings (array<double>), or NULL when there are no chunks.
-Encoder = Callable[[Column], Column]
+# An encoder is opened once per task: ``encoder()`` returns a function from a flat array of chunks
+# to a matrix with one row per chunk.
+Encoder = Callable[[], Callable[[pa.Array], np.ndarray]]
 Chunker = Callable[[Column], Column]
 
+CHUNKS_PER_CALL = 8192
 
-def letter_encoder(letters: str = "abcdefghijklmnopqrstuvwxyz") -> Encoder:
-    """Embed a chunk as its letter counts, in Column expressions only."""
 
-    def counts(chunk: Column) -> Column:
-        return F.array(
-            *(F.length(chunk) - F.length(F.replace(chunk, F.lit(letter), F.lit(""))) for letter in letters)
-        )
+def letter_encoder() -> Callable[[pa.Array], np.ndarray]:
+    """Embed a chunk as its counts of the letters a to z, with one pass over the text buffer."""
+    codes = np.full(256, -1, dtype=np.int64)
+    codes[ord("a") : ord("z") + 1] = np.arange(26)
 
-    return lambda chunks: mean_unit(F.transform(chunks, counts))
+    def encode(chunks: pa.Array) -> np.ndarray:
+        chunks = chunks.cast(pa.large_string())
+        at, size = chunks.offset, len(chunks)
+        offsets = np.frombuffer(chunks.buffers()[1], dtype=np.int64)[at : at + size + 1]
+        code = codes[np.frombuffer(chunks.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]]
+        owner = np.repeat(np.arange(size), np.diff(offsets))
+        letters = code >= 0
+        return np.bincount(owner[letters] * 26 + code[letters], minlength=size * 26).reshape(size, 26)
 
+    return encode
 
-def model_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]], *, batch_chunks: int = 4096) -> Encoder:
-    """Embed chunks with a model that ``load()`` opens once per Python worker task.
 
-    The model maps a list of strings to one row of floats each; it gets at most ``batch_chunks``
-    strings at a time, whatever the Arrow batch holds.
-    """
+def model_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Encoder:
+    """An encoder around a sentence model; ``load()`` returns its ``encode(list of strings)``."""
 
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoder():
         encode = load()
-        for batch in batches:
-            sizes = [0 if chunks is None else len(chunks) for chunks in batch]
-            flat = [chunk for chunks in batch if chunks is not None for chunk in chunks]
-            sums: list = [None] * len(sizes)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            for at in range(0, len(flat), batch_chunks):
-                rows = np.asarray(encode(flat[at : at + batch_chunks]), dtype=np.float64)
-                norms = np.linalg.norm(rows, axis=1, keepdims=True)
-                rows = rows / np.where(norms == 0, 1.0, norms)
-                for row, text in zip(rows, owner[at : at + batch_chunks]):
-                    sums[text] = row if sums[text] is None else sums[text] + row
-            yield pd.Series([None if s is None else s / n for s, n in zip(sums, sizes)], dtype=object)
+        return lambda chunks: np.asarray(encode(chunks.to_pylist()))
+
+    return encoder
+
+
+def _mean_units(encode, chunks: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean unit vector of every chunk list, and which lists have any chunk.
+
+    Chunks go to the model a bounded number at a time, whatever the length of their text.
+    """
+    sizes = chunks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = chunks.flatten()
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    sums = np.zeros((len(sizes), 0))
+    for at in range(0, len(flat), CHUNKS_PER_CALL):
+        rows = np.asarray(encode(flat.slice(at, CHUNKS_PER_CALL)), dtype=np.float64)
+        norms = np.linalg.norm(rows, axis=1, keepdims=True)
+        rows = rows / np.where(norms == 0, 1.0, norms)
+        owners = owner[at : at + CHUNKS_PER_CALL]
+        starts = np.flatnonzero(np.diff(owners, prepend=-1))
+        if sums.shape[1] == 0:
+            sums = np.zeros((len(sizes), rows.shape[1]))
+        sums[owners[starts]] += np.add.reduceat(rows, starts, axis=0)
+    return sums / np.maximum(sizes, 1)[:, None], sizes > 0
+
+
+def _pair_scores(encoder: Encoder) -> Callable[..., Column]:
+    def compare(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        encode = encoder()
+        for answers, references in batches:
+            a, a_known = _mean_units(encode, answers)
+            b, b_known = _mean_units(encode, references)
+            known = a_known & b_known
+            if not known.any():
+                yield pa.nulls(len(known), pa.float64())
+            else:
+                yield pa.array(np.einsum("ij,ij->i", a, b), mask=~known)
 
     # Declared non-deterministic, so that a filter on the score never encodes a text twice.
-    return F.pandas_udf(embed, "array<double>").asNondeterministic()
+    return F.arrow_udf(compare, "double").asNondeterministic()
+
+
+def _vectors(encoder: Encoder) -> Callable[..., Column]:
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = encoder()
+        for chunks in batches:
+            means, known = _mean_units(encode, chunks)
+            offsets = pa.array(np.arange(len(known) + 1) * means.shape[1], pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.array(means.ravel()), mask=pa.array(~known))
 
+    return F.arrow_udf(embed, "array<double>").asNondeterministic()
 
-def similarity(answer_vector: Column, reference_vector: Column) -> Column:
-    """Mean cosine over all chunk pairs, NULL when either side has no chunks."""
-    return dot(answer_vector, reference_vector)
+
+def _chunks(name: str, chunker: Chunker) -> Column:
+    """Chunks of a text column; a missing text counts as empty."""
+    return chunker(F.coalesce(F.col(f"`{name}`"), F.lit("")))
 
 
 def score(
@@ -77,16 +119,11 @@ def score(
 ) -> DataFrame:
     """Add the similarity of answer and reference as a column of the same row, without a shuffle.
 
-    A missing text counts as empty, and an empty text has no similarity.
+    Only the chunks travel to the Python workers and only the score comes back. A text without
+    chunks has no similarity.
     """
-
-    def vector(name: str) -> Column:
-        return encoder(chunker(F.coalesce(F.col(name), F.lit(""))))
-
-    encoded = df.withColumns({"_answer_vector": vector(answer_col), "_reference_vector": vector(reference_col)})
-    return encoded.withColumn(
-        target_col, similarity(F.col("_answer_vector"), F.col("_reference_vector"))
-    ).drop("_answer_vector", "_reference_vector")
+    compare = _pair_scores(encoder)
+    return df.withColumn(target_col, compare(_chunks(answer_col, chunker), _chunks(reference_col, chunker)))
 
 
 def score_distinct(
@@ -110,15 +147,16 @@ def score_distinct(
     texts = df.select(reference.alias("_text")).groupBy("_text").agg(F.count("*").alias("_rows"))
     if partitions:
         texts = texts.repartition(partitions)
-    vectors_of = encoder(chunker(F.col("_text"))).alias("_reference_vector")
-    texts = texts.select(F.sha2("_text", 256).alias("_key"), vectors_of, "_rows")
+    embed = _vectors(encoder)
+    texts = texts.select(
+        F.sha2("_text", 256).alias("_key"), embed(_chunks("_text", chunker)).alias("_reference_vector"), "_rows"
+    )
     vectors = materialise(texts, "reference-vectors")
     keyed = df.withColumn("_key", F.sha2(reference, 256))
     joined = lookup_join(keyed, vectors, "_key", "_rows", min_hot_rows=min_hot_rows)
-    answer = encoder(chunker(F.coalesce(F.col(answer_col), F.lit(""))))
     return (
-        joined.withColumn("_answer_vector", answer)
-        .withColumn(target_col, similarity(F.col("_answer_vector"), F.col("_reference_vector")))
+        joined.withColumn("_answer_vector", embed(_chunks(answer_col, chunker)))
+        .withColumn(target_col, dot(F.col("_answer_vector"), F.col("_reference_vector")))
         .drop("_key", "_answer_vector", "_reference_vector")
     )
 
@@ -129,16 +167,18 @@ def set_similarity(
     """Mean cosine over all pairs of the vectors on side 0 and side 1 of every group.
 
     The sums per dimension are partial aggregates, so a group of any size costs one fixed-width
-    row per task in the shuffle and no pair is ever formed.
+    row per task in the shuffle and no pair is ever formed. Norms and sums are plain arithmetic on
+    the array elements, which Spark compiles.
     """
-    units = df.select(*keys, side.alias("_side"), unit(F.col(vector_col)).alias("_unit"))
-
-    def sums(number: int) -> list[Column]:
-        value = [F.when(F.col("_side") == number, F.col("_unit")[i]) for i in range(dimensions)]
-        return [F.sum(v).alias(f"_{number}_{i}") for i, v in enumerate(value)]
-
-    sizes = [F.count(F.when(F.col("_side") == n, 1)).alias(f"_n{n}") for n in (0, 1)]
-    groups = units.groupBy(*keys).agg(*sizes, *sums(0), *sums(1))
-    total = dot(*(F.array(*(F.col(f"_{n}_{i}") for i in range(dimensions))) for n in (0, 1)))
-    pairs = F.col("_n0") * F.col("_n1")
-    return groups.select(*keys, F.when(pairs > 0, total / pairs).alias("similarity"))
+    parts = [F.col(f"`{vector_col}`")[i].cast("double") for i in range(dimensions)]
+    norm = F.sqrt(reduce(operator.add, (x * x for x in parts)))
+    rows = df.select(*keys, side.alias("_side"), F.col(f"`{vector_col}`"), F.nullif(norm, F.lit(0.0)).alias("_norm"))
+    # A zero vector has no direction: it counts, and adds nothing.
+    sums = [F.coalesce(F.sum(x / F.col("_norm")), F.lit(0.0)).alias(f"_{i}") for i, x in enumerate(parts)]
+    sides = rows.groupBy(*keys, "_side").agg(F.count("*").alias("_n"), *sums)
+    mean = F.transform(F.array(*(F.col(f"_{i}") for i in range(dimensions))), lambda x: x / F.col("_n"))
+    means = sides.select(*keys, "_side", mean.alias("_mean"))
+    both = means.groupBy(*keys).agg(
+        *(F.first(F.when(F.col("_side") == n, F.col("_mean")), ignorenulls=True).alias(f"_mean{n}") for n in (0, 1))
+    )
+    return both.select(*keys, dot(F.col("_mean0"), F.col("_mean1")).alias("similarity"))

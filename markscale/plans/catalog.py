@@ -195,7 +195,7 @@ def _cosine_matrix_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _similarity(scorer) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scored = scorer(_qa_rows(spark, sf_dir), similarity.letter_encoder(), chunker=_stop_chunks)
+        scored = scorer(_qa_rows(spark, sf_dir), similarity.letter_encoder, chunker=_stop_chunks)
         return _rounded(scored.select("conv_id", "turn", "similarity"), "similarity")
 
     return query
@@ -309,7 +309,7 @@ def _evaluation_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         f"{root}/answers",
         f"{root}/scored",
-        similarity.letter_encoder(),
+        similarity.letter_encoder,
         chunker=_stop_chunks,
         written=True,
     )

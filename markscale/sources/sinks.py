@@ -49,7 +49,9 @@ def write_csv(df: DataFrame, path: str, keys: list[str], *, per_file: bool = Tru
     columns = []
     for field in df.schema.fields:
         name = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.NumericType):
+        if isinstance(field.dataType, T.IntegralType):
+            name = F.concat(name.cast("string"), F.lit(".0")).alias(field.name)
+        elif isinstance(field.dataType, T.NumericType):
             number = F.nanvl(name.cast("double"), F.lit(None).cast("double"))
             name = python_float_text(number).alias(field.name)
         columns.append(name)
