@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,14 +51,17 @@ def named_lines(reader, path: str, pattern: str | None) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, *, pattern: str | None = JSONL, written: bool = False) -> DataFrame:
-    """``source_file`` of every file that :func:`read_lines` would read, even an empty one."""
+    """``source_file`` of every file that :func:`read_lines` would read, even an empty one.
+
+    The names are those of the file index that Spark keeps for the scan; no file is opened.
+    """
+    paths = [unquote(uri) for uri in read_lines(spark, path, pattern=pattern, written=written).inputFiles()]
     if written:
-        return read_lines(spark, path, written=True).select("source_file").distinct()
-    reader = spark.read.format("binaryFile")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    name = F.col("_metadata.file_name")
-    return reader.load(path).select(F.regexp_replace(name, r"[.]jsonl$", "").alias("source_file"))
+        folders = (re.search(r"/source_file=([^/]*)/", p) for p in paths)
+        names = {unquote(folder.group(1)) for folder in folders if folder}
+    else:
+        names = {p.rsplit("/", 1)[-1].removesuffix(".jsonl") for p in paths}
+    return spark.createDataFrame([(name,) for name in sorted(names)], "source_file string")
 
 
 def read_records(
