@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markscale.functions.text import WHITESPACE, strip
+from markscale.functions.text import rstrip, strip
 
 UNKNOWN = "unknown"
 
@@ -15,9 +15,8 @@ CHINESE_TAGS = ("zh", "zh-cn")
 ENGLISH_TAGS = ("en-us", "en-gb")
 ID_LANGUAGES = ("en", "cn")
 
-# A verdict is the last bracketed word; a task is the two digits ending an id.
-_VERDICT = rf"(?U)\[([^\[\]]+)\]{WHITESPACE}*\z"
-_TASK = r"(?U)(\d{2})\z"
+# The two digits of any script that end an id, and the spellings of a number.
+_TASK = r"(?U)^\d{2}\z"
 _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 _INFINITE = r"(?i)inf"
 
@@ -36,8 +35,11 @@ def canonical_language(tag: Column, lowercase: bool = True) -> Column:
 
 def verdict_label(verdict: Column) -> Column:
     """The last bracketed word if it ends the verdict, else ``unknown``."""
-    word = F.regexp_extract(verdict, _VERDICT, 1)
-    return F.when(verdict.isNull() | (word == ""), F.lit(UNKNOWN)).otherwise(F.lower(strip(word)))
+    text = rstrip(verdict)
+    tail = F.substring_index(text, "[", -1)
+    word = F.substring(tail, F.lit(1), F.length(tail) - 1)
+    bracketed = text.endswith("]") & text.contains("[") & (word != "") & ~word.contains("]")
+    return F.when(bracketed, F.lower(strip(word))).otherwise(F.lit(UNKNOWN))
 
 
 def is_correct(label: Column) -> Column:
@@ -50,8 +52,8 @@ def language_from_id(item_id: Column) -> Column:
 
 
 def task_from_id(item_id: Column) -> Column:
-    digits = F.regexp_extract(strip(item_id), _TASK, 1)
-    return F.when(digits != "", digits).otherwise(F.lit(UNKNOWN))
+    tail = F.substring(strip(item_id), -2, 2)
+    return F.when(tail.rlike(_TASK), tail).otherwise(F.lit(UNKNOWN))
 
 
 def score_from_text(text: Column) -> Column:

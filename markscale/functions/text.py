@@ -7,23 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python counts as whitespace, as a Java character class.
-WHITESPACE = r"[\s\x{1c}-\x{1f}]"
-
-# Each edge is matched from the start of its whitespace run only, so that long runs inside a
-# text cost linear time.
-_EDGES = rf"(?U)^{WHITESPACE}++|(?<!{WHITESPACE}){WHITESPACE}++\z"
-_VISIBLE = r"(?U)[^\s\x{1c}-\x{1f}]"
+# The characters that Python's ``str.strip`` removes.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """``text`` without leading and trailing whitespace of any script."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.trim(text, F.lit(WHITESPACE))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(WHITESPACE))
 
 
 def is_visible(text: Column) -> Column:
     """True when ``text`` holds any character other than whitespace."""
-    return text.rlike(_VISIBLE)
+    return strip(text) != ""
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -6,6 +6,7 @@ stays in the JVM. A row whose call fails carries the reason in ``error`` and nev
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -79,6 +80,8 @@ def call_model(
     """
     if "error" in df.columns:
         raise ValueError("the column 'error' is reserved for the reason of a failed call")
+    if df.sparkSession.conf.get("spark.speculation", "false") == "true":
+        warnings.warn("speculative tasks repeat model calls; turn spark.speculation off", stacklevel=3)
     if partitions:
         df = df.repartition(partitions)
     messages = chat_messages(prompt, params.system_prompt)

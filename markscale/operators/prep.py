@@ -89,6 +89,21 @@ def normalize(
     return stringify_id(df, null_id=null_id)
 
 
+def normalize_columns(df: DataFrame, *, drop_missing: bool = False, lowercase_language: bool = True) -> DataFrame:
+    """The same clean-up for staged rows with typed string columns.
+
+    A column cannot tell an absent key from a null, so a null tag takes the legacy value, and a
+    null id stays null.
+    """
+    tag = F.col(LANGUAGE) if LANGUAGE in df.columns else F.lit(None).cast("string")
+    if LEGACY_LANGUAGE in df.columns:
+        tag = F.coalesce(tag, F.col(f"`{LEGACY_LANGUAGE}`"))
+    if drop_missing:
+        df = df.filter(tag.isNotNull())
+    out = df.withColumn(LANGUAGE, canonical_language(tag, lowercase_language)).drop(LEGACY_LANGUAGE)
+    return out.withColumn(ID, strip(F.col(ID).cast("string"))) if ID in df.columns else out
+
+
 def render_prompt(
     df: DataFrame,
     template: str = ANSWER_TEMPLATE,

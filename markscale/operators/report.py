@@ -6,6 +6,10 @@ task (so a group that holds most rows still shuffles as one small row per task),
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,27 +71,30 @@ def _error_of_mean(count: Column, deviation: Column) -> Column:
     return F.when(count == 1, F.lit(0.0)).otherwise(F.nanvl(deviation / F.sqrt(count), null))
 
 
-def _grouped(rows: DataFrame, scores: list[str], by_file: bool, count_unknown: bool) -> DataFrame:
-    sets = [["source_file", *keys] for keys in TABLES.values()]
-    if by_file:
-        sets.append(["source_file"])
+def _grouped(rows: DataFrame, scores: list[str], tables: dict[str, list[str]], count_unknown: bool) -> DataFrame:
+    """Groups of all ``tables`` in one aggregation; keys that a table lacks are NULL."""
     measures = {"n_total": F.count("*"), "accuracy": F.avg(F.col("is_correct").cast("double"))}
     for name in scores:
         measures.update(_moments(name))
-    if by_file:
+    if BY_FILE in tables:
         measures["has_score"] = F.max("has_score")
     if count_unknown:
         measures["n_unknown"] = F.count_if(F.col("llm_label") == "unknown")
-    table = (
-        F.when(F.grouping("id") == 0, F.lit("by_model_language_id"))
-        .when(F.grouping("task_type") == 0, F.lit("by_model_task"))
-        .when(F.grouping("language") == 0, F.lit("by_model_language"))
-        .when(F.grouping("model") == 0, F.lit("by_model"))
-        .otherwise(F.lit(BY_FILE))
-    )
-    return rows.groupingSets(sets, *_KEYS).agg(
-        table.alias("table"), *(value.alias(name) for name, value in measures.items())
-    )
+
+    sets = {name: ["source_file", *keys] for name, keys in tables.items()}
+    used = [key for key in _KEYS if any(key in keys for keys in sets.values())]
+    if len(sets) == 1:
+        grouped, table = rows.groupBy(*used), F.lit(next(iter(sets)))
+    else:
+        grouped = rows.groupingSets(list(sets.values()), *used)
+        table = F.coalesce(
+            *(
+                F.when(reduce(and_, (F.grouping(key) == int(key not in keys) for key in used)), F.lit(name))
+                for name, keys in sets.items()
+            )
+        )
+    groups = grouped.agg(table.alias("table"), *(value.alias(name) for name, value in measures.items()))
+    return groups.withColumns({key: F.lit(None).cast("string") for key in _KEYS if key not in used})
 
 
 def _complete_keys(groups: DataFrame) -> DataFrame:
@@ -114,10 +121,11 @@ def report(
     df: DataFrame,
     *,
     judge_col: str = JUDGE_COLUMN,
+    tables: Sequence[str] = tuple(TABLES),
     score_source: str = "by_file",
     count_unknown: bool = False,
 ) -> DataFrame:
-    """One row per group of every table: ``table``, the keys, and the measures.
+    """One row per group of each of ``tables``: ``table``, the keys, and the measures.
 
     ``score_source`` names the score column, or is ``"by_file"``: then a file uses ``similarity``
     if any of its rows has the key, else ``strict_semantic_score``. If both columns exist, both are
@@ -136,16 +144,22 @@ def report(
         known = [score_source]
     extra = ["n_unknown"] if count_unknown else []
     if len(known) == 2:
-        return choose_score(two_score_groups(df, count_unknown, judge_col=judge_col), extra)
+        return choose_score(two_score_groups(df, count_unknown, tables=tables, judge_col=judge_col), extra)
 
     rows = derive_fields(df.filter(F.col("model").isNotNull()), judge_col=judge_col)
     value = coerce_score(F.col(f"`{known[0]}`"), types[known[0]]) if known else F.lit(None).cast("double")
     scored = rows.select(*_KEYS, "llm_label", "is_correct", value.alias("score"))
-    groups = _complete_keys(_grouped(scored, ["score"], False, count_unknown))
+    groups = _complete_keys(_grouped(scored, ["score"], {t: TABLES[t] for t in tables}, count_unknown))
     return _result(groups, F.col("score_n"), F.col("score_mean"), F.col("score_sd"), extra)
 
 
-def two_score_groups(df: DataFrame, count_unknown: bool = False, *, judge_col: str = JUDGE_COLUMN) -> DataFrame:
+def two_score_groups(
+    df: DataFrame,
+    count_unknown: bool = False,
+    *,
+    tables: Sequence[str] = tuple(TABLES),
+    judge_col: str = JUDGE_COLUMN,
+) -> DataFrame:
     """Written table of groups with the measures of both scores, and one group per file."""
     types = {field.name: field.dataType for field in df.schema.fields}
     both = derive_fields(df, judge_col=judge_col).select(
@@ -156,7 +170,8 @@ def two_score_groups(df: DataFrame, count_unknown: bool = False, *, judge_col: s
         coerce_score(F.col(SCORE), types[SCORE]).alias("score"),
         coerce_score(F.col(FALLBACK_SCORE), types[FALLBACK_SCORE]).alias("fallback"),
     )
-    groups = _grouped(both, ["score", "fallback"], True, count_unknown)
+    sets = {**{t: TABLES[t] for t in tables}, BY_FILE: []}
+    groups = _grouped(both, ["score", "fallback"], sets, count_unknown)
     return materialise(groups, "report-groups", partition_by=("table",))
 
 

@@ -61,7 +61,8 @@ def _eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _one_table(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _eval_rows(spark, sf_dir).withColumnRenamed("sim", "similarity")
-        return _rounded(result_table(report(rows, judge_col="judge"), name), *FLOATS).drop("source_file")
+        results = report(rows, judge_col="judge", tables=[name])
+        return _rounded(result_table(results, name), *FLOATS).drop("source_file")
 
     return query
 
@@ -73,7 +74,7 @@ def _lineitem_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _unknown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _eval_rows(spark, sf_dir).withColumnRenamed("sim", "similarity")
-    results = report(rows, judge_col="judge", count_unknown=True)
+    results = report(rows, judge_col="judge", tables=["by_model"], count_unknown=True)
     return result_table(results, "by_model").select("model", "n_total", "n_unknown")
 
 
@@ -115,6 +116,11 @@ def _edited(edit: Callable[[DataFrame], DataFrame]) -> Query:
     return query
 
 
+def _normalize_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prep.normalize_columns(views.view(spark, sf_dir, views.TAGGED_ROWS), drop_missing=True)
+    return _hashed(rows, "text")
+
+
 # Prompts --------------------------------------------------------------------------------------
 
 
@@ -347,6 +353,7 @@ QUERIES: dict[str, Query] = {
     "id_normalize": _edited(prep.stringify_id),
     "drop_missing_language": _edited(prep.drop_missing_language),
     "normalize_dataset": _edited(lambda df: prep.normalize(df, drop_missing=True)),
+    "normalize_columns": _normalize_columns,
     "prompt_render": _prompt_render,
     "prompt_render_keep": _prompt_render_keep,
     "prompt_render_records": _prompt_render_records,

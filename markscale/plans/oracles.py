@@ -7,7 +7,7 @@ computed from the tables without files in between.
 from __future__ import annotations
 
 from markscale.plans.catalog import DIMENSIONS, PACK_LIMIT, SYSTEM
-from markscale.plans.views import EVAL_ROWS, LINE_ROWS, PROMPT_ROWS, QA_ROWS, RAW_PARTS
+from markscale.plans.views import EVAL_ROWS, LINE_ROWS, PROMPT_ROWS, QA_ROWS, RAW_PARTS, TAGGED_ROWS
 
 _LABEL = r"""case when judge is null or regexp_extract(judge, '\[([^\[\]]+)\]\s*$', 1) = '' then 'unknown'
      else lower(trim(regexp_extract(judge, '\[([^\[\]]+)\]\s*$', 1), e' \t\n')) end"""
@@ -192,6 +192,9 @@ ORACLES: dict[str, str] = {
     "id_normalize": _prep(_keys(), _ID_TEXT, _LANG_NOW),
     "drop_missing_language": _prep(_keys(), _ID_NOW, _LANG_NOW, _HAS_TAG),
     "normalize_dataset": _prep(_keys(moved=True), _ID_TEXT, _LANG_NORMAL, _HAS_TAG),
+    "normalize_columns": f"""select doc_id, trim(id) as id, md5(text) as text,
+        case when language = ' EN-US' then 'en' when language is null then 'cn' else language end as language
+        from ({TAGGED_ROWS}) where language is not null or ",language" is not null""",
     "prompt_render": f"select doc_id, md5({_PROMPT_EMPTY}) as input from ({PROMPT_ROWS})",
     "prompt_render_keep": f"select doc_id, md5(text) as text, md5({_PROMPT_EMPTY}) as question from ({PROMPT_ROWS})",
     "prompt_render_records": f"""select doc_id, {_keys(prompt=True)} as key_list,

@@ -6,6 +6,8 @@ The SQL texts run in Spark and in DuckDB. They add spellings, gaps and odd value
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,14 @@ select doc_id, text, case when lang <> 'fr' then concat('What does {problem} mea
 from documents
 """
 
+# Typed rows with regional tags under the present or the legacy key, and padded ids.
+TAGGED_ROWS = """
+select doc_id, concat(' d', cast(doc_id as string), ' ') as id, text,
+       case lang when 'en' then ' EN-US' when 'es' then 'es' end as language,
+       case lang when 'de' then 'ZH-CN ' when 'es' then 'zh' end as ",language"
+from documents
+"""
+
 # Parts of the JSON rows below, as JSON text: the id, the language tags, the generation fields.
 RAW_PARTS = """
 select doc_id, text, lang,
@@ -76,9 +86,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the texts above over the tables of ``sf_dir``."""
     configure(spark)
-    for name in ("documents", "labels", "lineitem", "conversations", "benchmark"):
+    for name in set(re.findall(r"(?:from|join) (\w+)", sql)):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(sql)
+    # Both dialects quote odd column names, each with its own character.
+    return spark.sql(sql.replace('as ",language"', "as `,language`"))
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,15 +46,18 @@ def write_csv(df: DataFrame, path: str, keys: list[str], *, per_file: bool = Tru
 
     Numbers are spelled as floats (``2.0``, ``1e-05``), the group size included.
     """
-    columns = []
+    floats, columns = [], []
     for field in df.schema.fields:
-        name = F.col(f"`{field.name}`")
+        column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.IntegralType):
-            name = F.concat(name.cast("string"), F.lit(".0")).alias(field.name)
+            column = F.concat(column.cast("string"), F.lit(".0"))
         elif isinstance(field.dataType, T.NumericType):
-            number = F.nanvl(name.cast("double"), F.lit(None).cast("double"))
-            name = python_float_text(number).alias(field.name)
-        columns.append(name)
+            floats.append(F.nanvl(column.cast("double"), F.lit(None).cast("double")))
+            column = F.col("_floats")[len(floats) - 1]
+        columns.append(column.alias(field.name))
+    if floats:
+        # One spelling expression for all columns keeps the plan small.
+        df = df.withColumn("_floats", F.transform(F.array(*floats), python_float_text))
     order = (["source_file"] if per_file else []) + keys
     # A range shuffle spreads a large table of one file over tasks and keeps the rows in order.
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)

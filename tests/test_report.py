@@ -107,6 +107,14 @@ def test_report_is_one_exchange_with_map_side_aggregation(spark):
     assert "partial_avg" in plan and "Expand" in plan and "Sort" not in plan
 
 
+def test_one_table_needs_no_expansion(spark):
+    df = spark.createDataFrame([("en_1", "m", "[Correct]", 1.0)], SCHEMA)
+    results = report(df, tables=["by_model"])
+    assert "Expand" not in results._jdf.queryExecution().executedPlan().toString()
+    assert results.columns == report(df).columns
+    assert tuple(result_table(results, "by_model").first())[:3] == ("all", "m", 1)
+
+
 def test_totals_agree_between_tables(spark):
     rows = spark.range(2000).select(
         F.concat(F.lit("en_"), F.lpad((F.col("id") % 37).cast("string"), 2, "0")).alias("id"),
