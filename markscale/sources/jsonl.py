@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +62,7 @@ def list_files(spark: SparkSession, path: str, *, pattern: str | None = JSONL, w
         names = {unquote(folder.group(1)) for folder in folders if folder}
     else:
         names = {p.rsplit("/", 1)[-1].removesuffix(".jsonl") for p in paths}
-    return spark.createDataFrame([(name,) for name in sorted(names)], "source_file string")
+    return spark.createDataFrame(pa.table({"source_file": pa.array(sorted(names), pa.string())}))
 
 
 def read_records(
