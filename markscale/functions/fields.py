@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markscale.functions.text import rstrip, strip
+from markscale.functions.text import strip
 
 UNKNOWN = "unknown"
 
@@ -35,7 +35,7 @@ def canonical_language(tag: Column, lowercase: bool = True) -> Column:
 
 def verdict_label(verdict: Column) -> Column:
     """The last bracketed word if it ends the verdict, else ``unknown``."""
-    text = rstrip(verdict)
+    text = strip(verdict)
     tail = F.substring_index(text, "[", -1)
     word = F.substring(tail, F.lit(1), F.length(tail) - 1)
     bracketed = text.endswith("]") & text.contains("[") & (word != "") & ~word.contains("]")

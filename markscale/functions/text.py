@@ -17,11 +17,7 @@ WHITESPACE = (
 
 def strip(text: Column) -> Column:
     """``text`` without leading and trailing whitespace of any script."""
-    return F.trim(text, F.lit(WHITESPACE))
-
-
-def rstrip(text: Column) -> Column:
-    return F.rtrim(text, F.lit(WHITESPACE))
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def is_visible(text: Column) -> Column:

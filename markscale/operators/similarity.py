@@ -6,9 +6,7 @@ form nothing is shuffled; with ``score_distinct`` a text that many rows share is
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -170,13 +168,15 @@ def set_similarity(
     row per task in the shuffle and no pair is ever formed. Norms and sums are plain arithmetic on
     the array elements, which Spark compiles.
     """
-    parts = [F.col(f"`{vector_col}`")[i].cast("double") for i in range(dimensions)]
-    norm = F.sqrt(reduce(operator.add, (x * x for x in parts)))
-    rows = df.select(*keys, side.alias("_side"), F.col(f"`{vector_col}`"), F.nullif(norm, F.lit(0.0)).alias("_norm"))
+    places = range(dimensions)
+    squares = " + ".join(f"cast(_v[{i}] as double) * _v[{i}]" for i in places)
+    rows = df.select(*keys, side.alias("_side"), F.col(f"`{vector_col}`").alias("_v")).withColumn(
+        "_norm", F.expr(f"nullif(sqrt({squares}), 0D)")
+    )
     # A zero vector has no direction: it counts, and adds nothing.
-    sums = [F.coalesce(F.sum(x / F.col("_norm")), F.lit(0.0)).alias(f"_{i}") for i, x in enumerate(parts)]
+    sums = [F.expr(f"coalesce(sum(_v[{i}] / _norm), 0D) as _{i}") for i in places]
     sides = rows.groupBy(*keys, "_side").agg(F.count("*").alias("_n"), *sums)
-    mean = F.transform(F.array(*(F.col(f"_{i}") for i in range(dimensions))), lambda x: x / F.col("_n"))
+    mean = F.expr(f"transform(array({', '.join(f'_{i}' for i in places)}), x -> x / _n)")
     means = sides.select(*keys, "_side", mean.alias("_mean"))
     both = means.groupBy(*keys).agg(
         *(F.first(F.when(F.col("_side") == n, F.col("_mean")), ignorenulls=True).alias(f"_mean{n}") for n in (0, 1))

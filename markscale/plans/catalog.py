@@ -20,7 +20,7 @@ from markscale.functions.templates import chat_messages
 from markscale.operators import model_jobs, prep, prompts, similarity
 from markscale.operators.report import MEASURES, TABLES, report, result_table
 from markscale.plans import stages, stubs, views
-from markscale.session import scratch_path
+from markscale.session import scratch_path, spread
 from markscale.sources import sinks
 from markscale.sources.jsonl import parse_records, read_lines, read_records, read_rows
 
@@ -68,7 +68,7 @@ def _one_table(name: str) -> Query:
 
 
 def _lineitem_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.view(spark, sf_dir, views.LINE_ROWS).withColumnRenamed("sim", "similarity")
+    rows = views.view(spark, sf_dir, views.LINE_ROWS, "lineitem").withColumnRenamed("sim", "similarity")
     return _rounded(report(rows, judge_col="judge"), *FLOATS).drop("source_file")
 
 
@@ -155,7 +155,7 @@ def _answer_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _qa_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.view(spark, sf_dir, views.QA_ROWS)
+    return spread(views.view(spark, sf_dir, views.QA_ROWS))
 
 
 def _judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,8 @@ def _chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chunks(chunker: Callable[[Column], Column]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        chunks = views.table(spark, sf_dir, "documents").select("doc_id", chunker(F.col("text")).alias("c"))
+        documents = spread(views.table(spark, sf_dir, "documents"))
+        chunks = documents.select("doc_id", chunker(F.col("text")).alias("c"))
         return chunks.select(
             "doc_id",
             F.size("c").cast("bigint").alias("n_chunks"),

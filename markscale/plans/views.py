@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markscale.session import configure, scratch_path
+from markscale.session import configure, scratch_path, spread
 
 # Judged answers: ids, models, verdicts and scores in all the spellings the report must read.
 EVAL_ROWS = """
@@ -83,18 +83,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run one of the texts above over the tables of ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, sql: str, *spread_tables: str) -> DataFrame:
+    """Run one of the texts above over the tables of ``sf_dir``.
+
+    ``spread_tables`` feed much work per row; they are dealt over the cores if they are small.
+    """
     configure(spark)
     for name in set(re.findall(r"(?:from|join) (\w+)", sql)):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        frame = table(spark, sf_dir, name)
+        (spread(frame) if name in spread_tables else frame).createOrReplaceTempView(name)
     # Both dialects quote odd column names, each with its own character.
     return spark.sql(sql.replace('as ",language"', "as `,language`"))
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one JSON line with odd and missing fields: ``(doc_id, source_file, line)``."""
-    parts = view(spark, sf_dir, RAW_PARTS)
+    parts = view(spark, sf_dir, RAW_PARTS, "documents")
     text = F.to_json(F.struct("text"))
     line = F.concat(
         F.lit('{"doc":'),

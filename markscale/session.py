@@ -29,6 +29,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, small: int = 1 << 30) -> DataFrame:
+    """Deal the rows of a small input over all cores; leave larger inputs as they are scanned.
+
+    A file with one row group is read by one task. Below ``small`` bytes, by Spark's own estimate,
+    a shuffle costs less than leaving the other cores idle; beyond it there are tasks enough.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder that the session names for checkpoints."""
     root = spark.conf.get("spark.checkpoint.dir", None)
