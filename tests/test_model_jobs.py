@@ -104,6 +104,9 @@ def test_judge_strips_and_needs_a_reply(spark):
     assert (got["a"]["LLMJudge result"], got["a"].error) == ("[Correct]", None)
     assert got["b"]["LLMJudge result"] is None and got["b"].error == "empty reply"
     assert got["c"].error.startswith("KeyError")
+    ok, failed = split_outcome(out.filter("answer <> 'c'"), df.columns)
+    assert [r["LLMJudge result"] for r in ok.collect()] == ["[Correct]"]
+    assert [r.answer for r in failed.collect()] == ["b"]
 
 
 def test_only_messages_reach_python(spark):
