@@ -35,7 +35,8 @@ def lookup_join(
     dealt = (
         rows.withColumn("_row", F.monotonically_increasing_id())
         .join(F.broadcast(hot), key, "left")
-        .withColumn("_split", F.coalesce(F.pmod("_row", "_splits"), F.lit(0)).cast("int"))
+        # Hashed, so that no regular order of the rows can favour some of the splits.
+        .withColumn("_split", F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_splits")), F.lit(0)).cast("int"))
         .drop("_row", "_splits")
     )
     last = F.when(F.col(count_col) > threshold, splits - 1).otherwise(F.lit(0))

@@ -22,7 +22,7 @@ from markscale.operators.report import MEASURES, TABLES, report, result_table
 from markscale.plans import stages, stubs, views
 from markscale.session import scratch_path, spread
 from markscale.sources import sinks
-from markscale.sources.jsonl import parse_records, read_lines, read_records, read_rows
+from markscale.sources.jsonl import parse_records, read_records, read_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 

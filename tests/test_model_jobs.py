@@ -98,7 +98,8 @@ def test_judge_strips_and_needs_a_reply(spark):
 
         return call
 
-    df = spark.createDataFrame([("a", "r"), ("b", "r"), ("c", "r")], "answer string, reference string").withColumn("question", F.lit("q"))
+    df = spark.createDataFrame([(a, "r") for a in "abc"], "answer string, reference string")
+    df = df.withColumn("question", F.lit("q"))
     out = judge(df, connect, JudgeParams(model="j"), template="{question}|{prediction}|{reference}", concurrency=1)
     got = {r.answer: r for r in out.collect()}
     assert (got["a"]["LLMJudge result"], got["a"].error) == ("[Correct]", None)
@@ -135,7 +136,8 @@ def test_stages_over_files(spark, write_lines, tmp_path):
         spark, out["scored"], out["judged"], out["judge_failed"], reply_correct,
         JudgeParams(model="j"), written=True,
     )
-    judged = {json.loads(r.line)["id"]: (r.source_file, json.loads(r.line)) for r in read_lines(spark, out["judged"], written=True).collect()}
+    rows = read_lines(spark, out["judged"], written=True).collect()
+    judged = {json.loads(r.line)["id"]: (r.source_file, json.loads(r.line)) for r in rows}
     name, first = judged["en_01"]
     assert name == "llmjudge_processed_run"
     assert list(first) == ["id", "text", "question", "reference", "keep", "answer", "model", "similarity", "LLMJudge result"]
@@ -162,8 +164,9 @@ def test_prep_stages_over_files(spark, write_lines, tmp_path):
 
 def test_answers_can_come_from_a_rendered_prompt(spark, write_lines, tmp_path):
     folder = write_lines(raw=['{"id":"1","input":"ready"}'])
+    target, failed = str(tmp_path / "o"), str(tmp_path / "f")
     stages.infer(
-        spark, f"{folder}/raw.jsonl", str(tmp_path / "o"), str(tmp_path / "f"), show_call, CallParams(model="m"), prompt_field="input"
+        spark, f"{folder}/raw.jsonl", target, failed, show_call, CallParams(model="m"), prompt_field="input"
     )
     line = json.loads(read_lines(spark, str(tmp_path / "o"), pattern=None).first().line)
     assert json.loads(line["answer"])[0] == [{"role": "user", "content": "ready"}]

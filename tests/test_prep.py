@@ -11,7 +11,7 @@ from markscale.sources.jsonl import parse_records
 def edited(spark, objects, edit):
     """Apply an edit to JSON objects (or lines) and give the resulting lines."""
     lines = [o if isinstance(o, str) else json.dumps(o, ensure_ascii=False) for o in objects]
-    frame = spark.createDataFrame([("f", i, line) for i, line in enumerate(lines)], "source_file string, i int, line string")
+    frame = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
     rows = edit(parse_records(frame)).orderBy("i").select(F.to_json("record"))
     return [r[0] for r in rows.collect()]
 
@@ -115,7 +115,8 @@ def test_typed_prompts(spark):
     assert [tuple(r) for r in out] == [("T:t,Q: {z}", "r"), ("T:,Q:q {z}", "r")]
     prompt = prompts.answer_prompt(F.col("text"), F.col("question"), TEMPLATE)
     assert [r[0] for r in df.select(prompt).collect()] == ["T:t,Q:None {z}", "T:None,Q:q {z}"]
-    judged = prompts.judge_prompt(F.col("question"), F.col("text"), F.col("reference"), "{question}|{prediction}|{reference}")
+    slots = [F.col(name) for name in ("question", "text", "reference")]
+    judged = prompts.judge_prompt(*slots, "{question}|{prediction}|{reference}")
     assert [r[0] for r in df.select(judged).collect()] == ["|t|r", "q||r"]
     default = prompts.judge_prompt(F.lit("QQ"), F.lit("AA"), F.lit("RR"))
     assert df.select(default).first()[0].endswith("Question: QQ\nAnswer: AA\nReference: RR\nVerdict:")

@@ -40,7 +40,8 @@ def test_measures(spark):
 
 
 def test_missing_keys_drop_out_of_their_tables_only(spark):
-    rows = [(None, "m", "[Correct]", 1.0), ("en_1", None, "[Correct]", 1.0), (" en_1", "m", None, 1.0), ("en_1", "m", None, 1.0)]
+    rows = [(None, "m", "[Correct]", 1.0), ("en_1", None, "[Correct]", 1.0)]
+    rows += [(" en_1", "m", None, 1.0), ("en_1", "m", None, 1.0)]
     results = report(spark.createDataFrame(rows, SCHEMA), count_unknown=True)
     assert groups(results, "by_model", ["model"])[("m",)].n_total == 3
     assert groups(results, "by_model", ["model"])[("m",)].n_unknown == 2
