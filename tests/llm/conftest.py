@@ -1,0 +1,21 @@
+import os
+
+import duckdb
+import pytest
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("no test data")
+    return SF_DIR
+
+
+@pytest.fixture(scope="session")
+def duck(sf_dir):
+    connection = duckdb.connect()
+    for name in ("documents", "pages", "benchmark", "labels"):
+        connection.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+    return connection
