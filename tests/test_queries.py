@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from markscale.plans.catalog import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", entry.SMOKE_DIR)
 TABLES = ["documents", "labels", "lineitem", "conversations", "benchmark", "embeddings"]
@@ -31,7 +32,7 @@ def comparable(rows):
     return sorted((tuple(plain(v) for v in row) for row in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_matches_duckdb(spark, duck, name):
     result = entry.queries()[name](spark, SF_DIR)
     names = sorted(result.columns)
