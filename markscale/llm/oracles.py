@@ -21,6 +21,51 @@ select page_id, host, path,
 from parts
 """
 
+LINE_SPREAD = """
+with numbered as (
+    select row_number() over () as r, doc_id, text, source, string_split(text, chr(10)) as lines from documents
+), shown as (
+    select r, source, unnest(lines) as line, unnest(range(len(lines))) as i from numbered
+), boilerplate as (
+    select line from shown where regexp_matches(line, '\\S') group by line having count(distinct source) >= 5
+), kept as (
+    select r, string_agg(line, chr(10) order by i) as text, count(*) as n from shown
+    where line not in (select line from boilerplate) group by r
+)
+select doc_id, coalesce(len(lines), 0) as n_lines, coalesce(len(lines), 0) - coalesce(n, 0) as n_removed,
+    case when numbered.text is null then null else coalesce(kept.text, '') end as text
+from numbered left join kept using (r)
+"""
+
+DECONTAMINATION = r"""
+with doc_words as (
+    select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents
+), items as (
+    select distinct item_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark
+), windows as (
+    select distinct item_id, size, array_to_string(words[w + 1 : w + size], ' ') as phrase
+    from (select item_id, words, least(13, len(words)) as size, unnest(range(len(words) - least(13, len(words)) + 1)) as w
+          from items where len(words) > 0)
+), spots as (
+    select r, size, p, array_to_string(words[p + 1 : p + size], ' ') as phrase
+    from (select r, words, size, unnest(range(greatest(0, len(words) - size + 1))) as p
+          from doc_words, (select distinct size from windows))
+), found as (
+    select r, p, size, item_id from spots join windows using (size, phrase)
+), hits as (
+    select r, count(distinct h) as n_hit from (select r, unnest(range(p, p + size)) as h from found) group by r
+), named as (
+    select r, count(*) as n_items, string_agg(id, ',' order by encode(id)) as ids
+    from (select distinct r, item_id::varchar as id from found) group by r
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(ids, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from doc_words left join hits using (r) left join named using (r)
+"""
+
 STREAM_DEDUP = """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
     doc_id is not distinct from max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
@@ -106,8 +151,10 @@ from places
 
 ORACLES = {
     "op1_rendezvous_sharding": SHARDING,
+    "op2_line_spread": LINE_SPREAD,
     "op3_url_filter": URL_FILTER,
     "op4_warc_zip": WARC,
     "op6_stream_dedup": STREAM_DEDUP,
+    "op7_decontamination": DECONTAMINATION,
     "op9_source_mix": SOURCE_MIX,
 }

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markscale.llm import html_extract, mixing, sharding, stream_dedup, url_filters, warc_zip
+from markscale.llm import (
+    decontaminate, html_extract, line_spread, mixing, quality_mil, sharding, stream_dedup, url_filters, warc_zip,
+)
 from markscale.llm.common import table
 from markscale.session import configure, scratch_path
 
 SHARDS = 16
+QUALITY_THRESHOLD = 0.3
 
 URL_RULES = (
     url_filters.Rule("allow", "com"),
@@ -32,6 +35,11 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(rows, ["doc_id", "size", "text_crc32"])
 
 
+def line_spread_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_spread.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -54,6 +62,31 @@ def stream_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
+    counted = found.select(
+        "doc_id", "n_words", decontaminate.hit_words(F.col("hits")).alias("n_hit"), decontaminate.hit_items(F.col("hits")).alias("items")
+    )
+    return counted.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_mil.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_mil.add_score(docs, model).select(
+        "doc_id",
+        (quality_mil.id_remainder(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     rows = mix.taken().join(mix.sources.select("sid", "source_size", "target"), "sid")
@@ -69,9 +102,12 @@ def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_rendezvous_sharding": sharding_query,
+    "op2_line_spread": line_spread_query,
     "op3_url_filter": url_filter_query,
     "op4_warc_zip": warc_query,
     "op6_stream_dedup": stream_dedup_query,
+    "op7_decontamination": decontamination_query,
+    "op8_quality_mil": quality_query,
     "op9_source_mix": mixing_query,
     "op10_main_text": html_query,
 }
