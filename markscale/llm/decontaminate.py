@@ -114,9 +114,9 @@ def exact_windows(candidate: Column, text_words: Column, window: int) -> Column:
 
 def find_hits(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    window: int = WINDOW, points: int = POINTS,
+    window: int = WINDOW, points: int = POINTS, words_out: str = "n_words", hits_out: str = "hits",
 ) -> DataFrame:
-    """``docs`` with ``n_words`` and ``hits``: every occurrence (item, first word, length) of an item's window."""
+    """``docs`` with ``n_words`` and ``hits`` (or so named): every occurrence (item, first word, length) of an item's window."""
     known = materialise(item_words(items, item), "items")
     terms = materialise(known.select(F.explode("item_words").alias("term")).distinct(), "terms")
     counts = materialise(term_counts(docs, terms, key, text), "term-counts")
@@ -133,7 +133,7 @@ def find_hits(
     joined = rows.join(per_doc, same, "left").withColumn("__words", words(F.col(text)))
     hits = F.flatten(F.transform("__candidates", lambda c: exact_windows(c, F.col("__words"), window)))
     none = F.array().cast(f"array<struct<item:{items.schema[item].dataType.simpleString()},start:int,length:int>>")
-    return joined.withColumns({"n_words": F.size("__words").cast("long"), "hits": F.coalesce(hits, none)}).drop(
+    return joined.withColumns({words_out: F.size("__words").cast("long"), hits_out: F.coalesce(hits, none)}).drop(
         "__text_key", "__key", "__found", "__candidates", "__words"
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markscale.llm import (
-    decontaminate, html_extract, line_spread, mixing, quality_mil, sharding, stream_dedup, url_filters, warc_zip,
+    decontaminate, html_extract, line_spread, mixing, ngram_join, quality_mil, sharding, stream_dedup, url_filters, warc_zip,
 )
 from markscale.llm.common import table
 from markscale.session import configure, scratch_path
@@ -41,6 +41,7 @@ def line_spread_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
@@ -54,6 +55,12 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    found = ngram_join.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("key").alias("doc_id"), "class_id", "n_links")
+
+
 def stream_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream_dedup.stream_dedup(spark, f"{sf_dir}/documents.parquet")
     return rows.select(
@@ -94,6 +101,7 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract_main_text(pages).select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
@@ -105,6 +113,7 @@ QUERIES = {
     "op2_line_spread": line_spread_query,
     "op3_url_filter": url_filter_query,
     "op4_warc_zip": warc_query,
+    "op5_ngram_join": ngram_join_query,
     "op6_stream_dedup": stream_dedup_query,
     "op7_decontamination": decontamination_query,
     "op8_quality_mil": quality_query,

@@ -16,16 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markscale.llm.common import chunked_range, hash52, running_start
+from markscale.llm.common import chunked_range, hash52, key_text, running_start
 
 #: Sub-ranges of a shard that are numbered apart: 1024 x shards counts in all, whatever the input.
 BLOCKS = 1024
 
 
-def key_text(key: Column) -> Column:
-    return F.coalesce(key.cast("string"), F.lit(""))
-
-
 def shard_scores(key: Column, weights: Sequence[float]) -> list[Column]:
     if not weights or any(not w > 0 for w in weights):
         raise ValueError("every shard needs a weight above 0")
