@@ -253,11 +253,18 @@ def block_texts(roots: list[Node]) -> list[str]:
     return blocks
 
 
+def without_open_comment(html: str) -> str:
+    """A comment that is never closed goes on to the end of the page (unless it stands in a script)."""
+    at = html.rfind("<!--")
+    open_comment = at >= 0 and html.find("-->", at) < 0 and "</script" not in html[at:].lower()
+    return html[:at] if open_comment else html
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     builder = TreeBuilder()
-    builder.feed(html)
+    builder.feed(without_open_comment(html))
     builder.close()
     nodes = preorder(builder.root)
     score(nodes)

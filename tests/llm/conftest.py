@@ -1,4 +1,5 @@
 import os
+import random
 
 import duckdb
 import pytest
@@ -19,3 +20,37 @@ def duck(sf_dir):
     for name in ("documents", "pages", "benchmark", "labels"):
         connection.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     return connection
+
+
+def prose(seed, count, vocabulary=400):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(count))
+
+
+#: NULLs in every column, empty, blank and very long texts, ties and repeated rows.
+EDGE_ROWS = [
+    (1, prose(1, 60), "en", "a", 1),
+    (2, prose(1, 60), "en", "b", 2),
+    (2, prose(1, 60), "en", "b", 2),
+    (3, prose(2, 30_000, 5_000), None, None, None),
+    (4, None, "en", "a", None),
+    (5, "", "de", "a", 0),
+    (6, "", "de", None, 0),
+    (7, " \n\t", "de", "c", 3),
+    (None, prose(3, 40), "en", "c", 4),
+    (None, None, None, None, None),
+    (8, prose(3, 40) + " more", "en", "c", 5),
+    (9, "Ä é ß 漢字", "xx", "é", 6),
+    (9, "other text of the same id", "xx", "a", 7),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def edge_docs(spark):
+    return spark.createDataFrame(EDGE_ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], SCHEMA)
