@@ -65,7 +65,8 @@ def remove_boilerplate(
     shown = docs.select(*keys, F.explode(F.array_distinct(lines_of(F.col(text)))).alias("line"))
     hits = shown.select("__key", "__hash", line_hash(F.col("line")).alias("line_hash")).join(boilerplate, "line_hash")
     removed = hits.groupBy("__key", "__hash").agg(F.collect_set("line_hash").alias("__removed"))
-    joined = docs.select("*", *keys).join(removed, ["__key", "__hash"], "left")
+    # One plan at every size: the texts are shuffled once.
+    joined = docs.select("*", *keys).join(removed.hint("merge"), ["__key", "__hash"], "left")
     lines = lines_of(F.col(text))
     kept = F.when(F.col("__removed").isNull(), lines).otherwise(
         F.filter(lines, lambda line: ~F.array_contains(F.col("__removed"), line_hash(line)))

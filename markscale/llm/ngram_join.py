@@ -278,7 +278,8 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, key: str, t
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("hashes") * 8 / BLOCK_BYTES)).cast("int")
     members = totals.join(weigh.select("root", parts.alias("parts")), "root")
     texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))
-    rows = texts.join(members, texts["rep"].eqNullSafe(members["rep"])).select("digest", "root", "parts", "documents", "text")
+    # One plan at every size: the texts are shuffled once.
+    rows = texts.join(members.hint("merge"), texts["rep"].eqNullSafe(members["rep"])).select("digest", "root", "parts", "documents", "text")
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, cache = separators(), {}
@@ -389,9 +390,9 @@ def one_of_each(
     """The rows of ``docs`` with the smallest id of each class; of rows alike in id and text, one."""
     found = similarity_classes(docs, key, text, n, threshold, recall)
     own = F.concat_ws(":", F.lit("alone"), F.col("key").cast("string"), F.col("text_key"))
-    stay = found.groupBy(F.coalesce("class_key", own).alias("class")).agg(F.min(F.struct("key", "text_key")).alias("first"))
+    stay = found.groupBy(F.coalesce("class_key", own).alias("class")).agg(F.min(F.struct(F.isnull("key").alias("no_key"), "key", "text_key")).alias("first"))
     stay = stay.select(key_text(F.col("first.key")).alias("__key"), F.col("first.text_key").alias("__text_key"))
     text_key = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     rows = docs.withColumns({"__key": key_text(F.col(key)), "__text_key": text_key})
-    kept = rows.join(stay, ["__key", "__text_key"], "left_semi").dropDuplicates(["__key", "__text_key"])
+    kept = rows.join(stay.hint("merge"), ["__key", "__text_key"], "left_semi").dropDuplicates(["__key", "__text_key"])
     return kept.select(*docs.columns)
