@@ -1,0 +1,79 @@
+"""Each stage of the pipeline on its own input, against brute force."""
+
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from brute import classes, hits, words
+from markscale.llm import mixing
+from markscale.llm.sharding import assign_shards
+from markscale.session import materialise
+
+
+@pytest.fixture(scope="module")
+def outputs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        tables.append(materialise(stage(spark, tables[-1], sf_dir), name))
+    return [t.collect() for t in tables], [t.columns for t in tables]
+
+
+def test_columns(outputs):
+    columns = outputs[1]
+    assert all(c == columns[0] for c in columns[:-1])
+    assert columns[-1] == columns[0] + ["shard"]
+
+
+def test_quality_keeps_the_good_and_drops_the_bad(spark, sf_dir, outputs):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    before, after = outputs[0][0], {r.doc_id for r in outputs[0][1]}
+    judged = [(r.doc_id in after, labels[r.doc_id] == 1) for r in before if labels.get(r.doc_id) is not None]
+    assert sum(a == b for a, b in judged) / len(judged) > 0.9
+
+
+def test_one_of_each_class(outputs):
+    before, after = outputs[0][1:3]
+    first, _ = classes([r.text for r in before])
+    groups = defaultdict(list)
+    for r, c in zip(before, first):
+        groups[c].append(r.doc_id)
+    assert sorted(r.doc_id for r in after) == sorted(min(g) for g in groups.values())
+
+
+def test_contaminated_documents_go(spark, sf_dir, outputs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    before, after = outputs[0][2:4]
+    want = []
+    for r in before:
+        n = len({i for _, at, size in hits(r.text, items) for i in range(at, at + size)})
+        if not (n and 20 * n >= len(words(r.text))):
+            want.append(r.doc_id)
+    assert sorted(r.doc_id for r in after) == sorted(want)
+
+
+def test_mix_comes_near_its_targets(spark, outputs):
+    before, after = outputs[0][3:5]
+    size = lambda rows: sum(len(r.text.split()) for r in rows)
+    longest = max(len(r.text.split()) for r in before)
+    plan = mixing.mix_sources(spark.createDataFrame(before))
+    for s in plan.sources.collect():
+        got = size([r for r in after if r.source == s.source])
+        assert abs(got - s.target) <= 2 * longest
+
+
+def test_shards(spark, outputs):
+    before, after = outputs[0][4:6]
+    want = assign_shards(spark.createDataFrame(before).select("doc_id"), "doc_id", [1.0] * 16).collect()
+    assert sorted((r.doc_id, r.shard) for r in after) == sorted((r.doc_id, r.shard) for r in want)
+
+
+def test_stages_handle_edge_rows(spark, sf_dir, edge_docs, no_docs):
+    extra = edge_docs.withColumns({c: F.lit("x") for c in ("hits", "score", "size", "digest", "n_words", "sid", "key")})
+    for docs in (extra, no_docs):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            assert set(docs.columns) <= set(out.columns)
+            out.collect()
