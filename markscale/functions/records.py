@@ -1,18 +1,58 @@
-"""Open-schema rows: a JSON object held as ``map<string, variant>``.
+"""Open-schema rows: a JSON object held as ``map<string, string>`` of the JSON text of every value.
 
 The map keeps unknown keys, their order, and the difference between an absent key and a JSON
-null. Edits rely on ``spark.sql.mapKeyDedupPolicy = LAST_WIN`` (see ``session.configure``).
+null. A value that is not edited keeps its worth: ``1.0`` and ``-0.0`` stay floats, and whole numbers keep
+all of their digits. Edits rely on ``spark.sql.mapKeyDedupPolicy = LAST_WIN`` (see ``session.configure``).
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from markscale.functions.text import python_float_text
 
-RECORD_TYPE = T.MapType(T.StringType(), T.VariantType())
+KINDS_TYPE = T.MapType(T.StringType(), T.VariantType())
+TEXTS_TYPE = T.MapType(T.StringType(), T.StringType())
+
+
+def quoted(text: Column) -> Column:
+    """A string as JSON text."""
+    return F.to_json(text.cast("variant"))
+
+
+def json_texts(kinds: Column, texts: Column) -> Column:
+    """The JSON text of every value, from one object read as variants and as texts.
+
+    The texts lack the quotes of strings; the variants tell which values are strings. Rows nested too
+    deep for the former are spelled from the latter.
+    """
+
+    def pair(kind: Column, text: Column) -> Column:
+        is_string = (F.schema_of_variant(kind["value"]) == "STRING") & F.try_variant_get(kind["value"], "$", "string").eqNullSafe(text["value"])
+        value = (
+            F.when(is_string, quoted(text["value"]))
+            .when(text["value"].isin('"Infinity"', '"-Infinity"'), F.when(text["value"].contains("-"), F.lit("-1e999")).otherwise(F.lit("1e999")))
+            .otherwise(F.coalesce(text["value"], F.lit("null")))
+        )
+        return F.struct(text["key"].alias("key"), value.alias("value"))
+
+    shallow = F.map_from_entries(F.zip_with(F.map_entries(kinds), F.map_entries(texts), pair))
+    deep = F.map_from_entries(
+        F.transform(F.map_entries(kinds), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value")))
+    )
+    return F.when(texts.isNull(), deep).otherwise(shallow)
+
+
+def object_text(record: Column) -> Column:
+    """The row as one JSON object."""
+    pairs = F.transform(F.map_entries(record), lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
 def has_key(record: Column, key: str) -> Column:
@@ -20,12 +60,17 @@ def has_key(record: Column, key: str) -> Column:
 
 
 def is_text(record: Column, key: str) -> Column:
-    return F.coalesce(F.schema_of_variant(record[key]) == "STRING", F.lit(False))
+    return F.coalesce(record[key].startswith('"'), F.lit(False))
+
+
+def string_of(value: Column) -> Column:
+    """The string that a JSON string stands for."""
+    return F.try_variant_get(F.try_parse_json(value), "$", "string")
 
 
 def text_value(record: Column, key: str) -> Column:
     """The value of ``key`` when it is a JSON string, else NULL."""
-    return F.when(is_text(record, key), F.try_variant_get(record[key], "$", "string"))
+    return F.when(is_text(record, key), string_of(record[key]))
 
 
 def drop_keys(record: Column, *keys: str) -> Column:
@@ -34,34 +79,37 @@ def drop_keys(record: Column, *keys: str) -> Column:
 
 def set_key(record: Column, key: str, value: Column) -> Column:
     """Overwrite ``key`` where it stands, or append it; NULL is written as a JSON null."""
-    variant = F.coalesce(value.cast("variant"), F.parse_json(F.lit("null")))
-    return F.map_concat(record, F.create_map(F.lit(key), variant))
+    text = F.coalesce(F.to_json(value.cast("variant")), F.lit("null"))
+    return F.map_concat(record, F.create_map(F.lit(key), text))
 
 
-def spelled(record: Column, key: str, *, absent: str | None, null: str | None, line: Column | None = None) -> Column:
-    """A scalar as Python's ``str`` spells it; lists and objects as JSON text.
+def move_key(record: Column, old: str, new: str) -> Column:
+    """The value of ``old`` as it stands under ``new``, at the end."""
+    return F.map_concat(drop_keys(record, old), F.create_map(F.lit(new), record[old]))
 
-    ``line``, the JSON text of the row, gives back the digits of numbers that are not whole.
-    """
+
+@F.arrow_udf(T.StringType())
+def python_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Lists and objects as Python prints them."""
+    for values in batches:
+        yield pa.array([None if v is None else str(json.loads(v)) for v in values.to_pylist()], pa.string())
+
+
+def spelled(record: Column, key: str, *, absent: str | None, null: str | None, nested: bool = True) -> Column:
+    """A value as Python's ``str`` spells it. ``nested=False`` leaves lists and objects NULL."""
     value = record[key]
-    kind = F.schema_of_variant(value)
-    number = value.cast("string")
-    if line is not None:
-        raw = F.get_json_object(line, f"$['{key}']")
-        real = F.when(raw.rlike(r"^-?\d+$"), raw).otherwise(python_float_text(raw.try_cast("double")))
-        number = F.when(kind == "BIGINT", number).otherwise(F.coalesce(real, number))
-    return (
+    whole = F.when(value == "-0", F.lit("0")).otherwise(value)
+    number = F.when(value.rlike(r"^-?\d+$"), whole).otherwise(python_float_text(value.try_cast("double")))
+    text = (
         F.when(value.isNull(), F.lit(absent).cast("string"))
-        .when(kind == "VOID", F.lit(null).cast("string"))
-        .when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-        .when(
-            kind == "BOOLEAN",
-            F.when(F.try_variant_get(value, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")),
-        )
-        .when(is_nested_kind(kind), F.to_json(value))
-        .otherwise(number)
+        .when(value == "null", F.lit(null).cast("string"))
+        .when(value.startswith('"'), string_of(value))
+        .when(value == "true", F.lit("True"))
+        .when(value == "false", F.lit("False"))
+        .when(~is_nested(value), number)
     )
+    return F.coalesce(text, python_text(F.when(is_nested(value), value))) if nested else text
 
 
-def is_nested_kind(kind: Column) -> Column:
-    return kind.startswith("ARRAY") | kind.startswith("OBJECT")
+def is_nested(value: Column) -> Column:
+    return value.startswith("[") | value.startswith("{")

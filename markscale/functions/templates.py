@@ -15,11 +15,10 @@ ANSWER_TEMPLATE = (
 )
 
 JUDGE_TEMPLATE = (
-    "You check whether an answer agrees with a reference answer to the same question. "
-    "Reply with [Correct] or [Incorrect] and nothing else.\n"
-    "- The main point of the answer must agree with the reference.\n"
-    "- Key terms of its explanation must occur in the reference.\n"
-    "- Claims that the reference does not support make the answer incorrect.\n\n"
+    "Mark an exam paper. You see a question, the answer of a candidate, and the answer key. Write [Correct] if "
+    "somebody who knows only the key would give the candidate full credit, else [Incorrect]; write nothing else. "
+    "Wording, length and language of the answer do not matter. An answer that contradicts the key, or that adds "
+    "what the key gives no ground for, gets no credit.\n\n"
     "Example\nQuestion: When does the scheme start?\nAnswer: It starts in March.\n"
     "Reference: The scheme starts on 1 March.\nVerdict: [Correct]\n\n"
     "Example\nQuestion: Who may apply?\nAnswer: Anyone may apply.\n"

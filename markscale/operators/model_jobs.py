@@ -164,11 +164,12 @@ def split_outcome(
 ) -> tuple[DataFrame, DataFrame]:
     """Run the calls behind ``df`` once, and return the rows that succeeded and that failed.
 
-    The combined table is written first (to ``path`` or the shared scratch folder) and both
-    results read the written copy, so no call is repeated or answered differently between them.
-    Failed rows come back as they went in, with ``input_columns`` only.
+    The combined table is written first (to ``path`` or the shared scratch folder), partitioned by
+    outcome, and each result reads its own part, so no call is repeated or answered differently.
+    Failed rows come back as they went in, with ``input_columns`` only. Once both are stored, the
+    caller may ``release`` a ``path`` of its own.
     """
-    table = materialise(df, "calls", path)
-    ok = table.filter(F.col("error").isNull()).drop("error")
-    failed = table.filter(F.col("error").isNotNull())
+    table = materialise(df.withColumn("_failed", F.col("error").isNotNull()), "calls", path, ("_failed",))
+    ok = table.filter(~F.col("_failed")).drop("error", "_failed")
+    failed = table.filter("_failed")
     return ok, failed.select(*(F.col(f"`{name}`") for name in input_columns))

@@ -39,10 +39,7 @@ def drop_missing_language(df: DataFrame) -> DataFrame:
 def rename_legacy_language(df: DataFrame) -> DataFrame:
     """Move ``,language`` to ``language`` in rows that have only the former."""
     record = F.col("record")
-    moved = F.map_concat(
-        R.drop_keys(record, LEGACY_LANGUAGE),
-        F.create_map(F.lit(LANGUAGE), record[LEGACY_LANGUAGE]),
-    )
+    moved = R.move_key(record, LEGACY_LANGUAGE, LANGUAGE)
     only_legacy = R.has_key(record, LEGACY_LANGUAGE) & ~R.has_key(record, LANGUAGE)
     return df.withColumn("record", F.when(only_legacy, moved).otherwise(record))
 
@@ -65,12 +62,10 @@ def stringify_id(df: DataFrame, *, null_id: str = "None") -> DataFrame:
     if null_id not in ("None", "keep"):
         raise ValueError("null_id is 'None' or 'keep'")
     record = F.col("record")
-    line = F.col("line") if "line" in df.columns else None
-    kind = F.schema_of_variant(record[ID])
-    skipped = ~R.has_key(record, ID) | R.is_nested_kind(kind)
+    skipped = ~R.has_key(record, ID) | R.is_nested(record[ID])
     if null_id == "keep":
-        skipped = skipped | (kind == "VOID")
-    text = strip(R.spelled(record, ID, absent=None, null="None", line=line))
+        skipped = skipped | (record[ID] == "null")
+    text = strip(R.spelled(record, ID, absent=None, null="None", nested=False))
     return df.withColumn("record", F.when(skipped, record).otherwise(R.set_key(record, ID, text)))
 
 

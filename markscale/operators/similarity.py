@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from markscale.functions.chunks import sentence_chunks
 from markscale.functions.vectors import dot
-from markscale.operators.skew import MIN_HOT_ROWS, lookup_join
+from markscale.operators.skew import lookup_join
 from markscale.session import materialise
 
 # An encoder is opened once per task: ``encoder()`` returns a function from a flat array of chunks
@@ -101,9 +101,20 @@ def _vectors(encoder: Encoder) -> Callable[..., Column]:
     return F.arrow_udf(embed, "array<double>").asNondeterministic()
 
 
-def _chunks(name: str, chunker: Chunker) -> Column:
-    """Chunks of a text column; a missing text counts as empty."""
-    return chunker(F.coalesce(F.col(f"`{name}`"), F.lit("")))
+def _with_chunks(df: DataFrame, chunker: Chunker, **names: str) -> DataFrame:
+    """Add the chunks of text columns, ``target=source``; a missing or empty text has none.
+
+    A generator keeps the optimizer from moving the chunk expressions, which may nest functions, into
+    the arguments of a Python function.
+    """
+
+    def chunks(name: str) -> Column:
+        text = F.coalesce(F.col(f"`{name}`"), F.lit(""))
+        return F.when(text != "", chunker(text)).otherwise(F.array().cast("array<string>"))
+
+    found = F.array(F.struct(*[chunks(source).alias(target) for target, source in names.items()]))
+    rows = df.withColumn("_found", F.explode(found))
+    return rows.withColumns({target: F.col("_found")[target] for target in names}).drop("_found")
 
 
 def score(
@@ -121,7 +132,8 @@ def score(
     chunks has no similarity.
     """
     compare = _pair_scores(encoder)
-    return df.withColumn(target_col, compare(_chunks(answer_col, chunker), _chunks(reference_col, chunker)))
+    rows = _with_chunks(df, chunker, _answer=answer_col, _reference=reference_col)
+    return rows.withColumn(target_col, compare("_answer", "_reference")).drop("_answer", "_reference")
 
 
 def score_distinct(
@@ -133,12 +145,12 @@ def score_distinct(
     reference_col: str = "reference",
     target_col: str = "similarity",
     partitions: int | None = None,
-    min_hot_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """The same scores as :func:`score`, with each distinct reference text encoded once.
 
     Worth its shuffles when the encoder is expensive and many rows (the answers of many models)
-    share their references. ``partitions`` sets how many tasks encode the distinct texts.
+    share their references. ``partitions`` sets how many tasks encode the distinct texts. Answers are
+    encoded before the join.
     """
     reference = F.coalesce(F.col(reference_col), F.lit(""))
     # Copies of a text collapse before the shuffle; its digest is the join key.
@@ -146,16 +158,15 @@ def score_distinct(
     if partitions:
         texts = texts.repartition(partitions)
     embed = _vectors(encoder)
-    texts = texts.select(
-        F.sha2("_text", 256).alias("_key"), embed(_chunks("_text", chunker)).alias("_reference_vector"), "_rows"
+    texts = _with_chunks(texts, chunker, _chunks="_text").select(
+        F.sha2("_text", 256).alias("_key"), embed("_chunks").alias("_reference_vector"), "_rows"
     )
     vectors = materialise(texts, "reference-vectors")
-    keyed = df.withColumn("_key", F.sha2(reference, 256))
-    joined = lookup_join(keyed, vectors, "_key", "_rows", min_hot_rows=min_hot_rows)
-    return (
-        joined.withColumn("_answer_vector", embed(_chunks(answer_col, chunker)))
-        .withColumn(target_col, dot(F.col("_answer_vector"), F.col("_reference_vector")))
-        .drop("_key", "_answer_vector", "_reference_vector")
+    answered = _with_chunks(df, chunker, _chunks=answer_col).withColumn("_answer_vector", embed("_chunks"))
+    keyed = answered.drop("_chunks").withColumn("_key", F.sha2(reference, 256))
+    joined = lookup_join(keyed, vectors, "_key", "_rows")
+    return joined.withColumn(target_col, dot(F.col("_answer_vector"), F.col("_reference_vector"))).drop(
+        "_key", "_answer_vector", "_reference_vector"
     )
 
 
@@ -164,21 +175,26 @@ def set_similarity(
 ) -> DataFrame:
     """Mean cosine over all pairs of the vectors on side 0 and side 1 of every group.
 
-    The sums per dimension are partial aggregates, so a group of any size costs one fixed-width
-    row per task in the shuffle and no pair is ever formed. Norms and sums are plain arithmetic on
-    the array elements, which Spark compiles.
+    The sums per dimension are partial aggregates, so a group of any size costs one small row per
+    dimension and task in the shuffle and no pair is ever formed. Every vector must have
+    ``dimensions`` elements; NULL vectors and NULL elements add nothing.
     """
-    places = range(dimensions)
-    squares = " + ".join(f"cast(_v[{i}] as double) * _v[{i}]" for i in places)
-    rows = df.select(*keys, side.alias("_side"), F.col(f"`{vector_col}`").alias("_v")).withColumn(
-        "_norm", F.expr(f"nullif(sqrt({squares}), 0D)")
-    )
+    vector = F.col(f"`{vector_col}`").cast("array<double>")
+    wrong = F.raise_error(F.concat(F.lit(f"a vector is not {dimensions} wide but "), F.size(vector).cast("string")))
+    checked = F.when(vector.isNull() | (F.size(vector) == dimensions), vector).otherwise(wrong)
+    rows = df.select(*keys, side.alias("_side"), checked.alias("_v"))
+    squares = F.aggregate("_v", F.lit(0.0), lambda total, x: total + F.coalesce(x * x, F.lit(0.0)))
     # A zero vector has no direction: it counts, and adds nothing.
-    sums = [F.expr(f"coalesce(sum(_v[{i}] / _norm), 0D) as _{i}") for i in places]
-    sides = rows.groupBy(*keys, "_side").agg(F.count("*").alias("_n"), *sums)
-    mean = F.expr(f"transform(array({', '.join(f'_{i}' for i in places)}), x -> x / _n)")
-    means = sides.select(*keys, "_side", mean.alias("_mean"))
-    both = means.groupBy(*keys).agg(
-        *(F.first(F.when(F.col("_side") == n, F.col("_mean")), ignorenulls=True).alias(f"_mean{n}") for n in (0, 1))
+    norm = F.nullif(F.sqrt(squares), F.lit(0.0))
+    places = rows.select(*keys, "_side", norm.alias("_norm"), F.posexplode_outer("_v").alias("_place", "_x"))
+    sums = places.groupBy(*keys, "_place").agg(
+        *(F.coalesce(F.sum(F.when(F.col("_side") == n, F.col("_x") / F.col("_norm"))), F.lit(0.0)).alias(f"_s{n}") for n in (0, 1)),
+        *(F.count_if(F.col("_side") == n).alias(f"_n{n}") for n in (0, 1)),
+    )
+    whole = sums.groupBy(*keys).agg(
+        F.sum(F.when(F.col("_place").isNotNull(), F.col("_s0") * F.col("_s1"))).alias("_dot"),
+        # A vector is seen once per place; one without elements once in all.
+        *(F.sum(F.when(F.coalesce("_place", F.lit(0)) == 0, F.col(f"_n{n}"))).alias(f"_n{n}") for n in (0, 1)),
     )
-    return both.select(*keys, dot(F.col("_mean0"), F.col("_mean1")).alias("similarity"))
+    pairs = F.nullif(F.col("_n0") * F.col("_n1"), F.lit(0)).cast("double")
+    return whole.select(*keys, (F.col("_dot") / pairs).alias("similarity"))

@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE
 # hot keys whatever the size of the data. That bounds the one table that is broadcast.
-HOT_SHARE = 10_000
-MIN_HOT_ROWS = 100_000
+HOT_SHARE = 1_000
 
 
-def lookup_join(
-    rows: DataFrame,
-    table: DataFrame,
-    key: str,
-    count_col: str,
-    *,
-    min_hot_rows: int = MIN_HOT_ROWS,
-) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, count_col: str) -> DataFrame:
     """Left join of ``rows`` to ``table`` on ``key``.
 
     ``table`` is a written table with one row per key, where ``count_col`` tells how many of
@@ -26,10 +18,7 @@ def lookup_join(
     their one table row is repeated for each; all other keys join as they are.
     """
     total = table.agg(F.sum(count_col)).first()[0] or 0
-    threshold = max(min_hot_rows, total // HOT_SHARE)
-    if total <= threshold:
-        return rows.join(table.drop(count_col), key, "left")
-
+    threshold = max(1, total // HOT_SHARE)
     splits = F.ceil(F.col(count_col) / threshold).cast("int")
     hot = table.filter(F.col(count_col) > threshold).select(key, splits.alias("_splits"))
     dealt = (

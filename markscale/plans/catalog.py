@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from markscale.functions.templates import chat_messages
 from markscale.operators import model_jobs, prep, prompts, similarity
 from markscale.operators.report import MEASURES, TABLES, report, result_table
 from markscale.plans import stages, stubs, views
-from markscale.session import scratch_path, spread
+from markscale.session import deal, scratch_path
 from markscale.sources import sinks
 from markscale.sources.jsonl import parse_records, read_records, read_rows
 
@@ -103,7 +104,7 @@ def _edited(edit: Callable[[DataFrame], DataFrame]) -> Query:
         record = F.col("record")
 
         def shown(key: str) -> Column:
-            return F.to_json(record[key])
+            return record[key]
 
         return rows.select(
             shown("doc").cast("bigint").alias("doc_id"),
@@ -143,7 +144,7 @@ def _prompt_render_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prep.render_prompt(parse_records(views.raw_lines(spark, sf_dir)), ANSWER, question_field="id")
     record = F.col("record")
     return rows.select(
-        F.to_json(record["doc"]).cast("bigint").alias("doc_id"),
+        record["doc"].cast("bigint").alias("doc_id"),
         F.array_join(F.map_keys(record), "|").alias("key_list"),
         F.md5(R.text_value(record, "input")).alias("input"),
     )
@@ -155,7 +156,7 @@ def _answer_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _qa_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(views.view(spark, sf_dir, views.QA_ROWS))
+    return deal(views.view(spark, sf_dir, views.QA_ROWS))
 
 
 def _judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +174,7 @@ def _chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chunks(chunker: Callable[[Column], Column]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        documents = spread(views.table(spark, sf_dir, "documents"))
+        documents = deal(views.table(spark, sf_dir, "documents"))
         chunks = documents.select("doc_id", chunker(F.col("text")).alias("c"))
         return chunks.select(
             "doc_id",
@@ -247,7 +248,7 @@ def _jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.col("record")
     return read_records(spark, path, blank_lines="error", written=True).select(
         "source_file",
-        F.to_json(record["doc"]).cast("bigint").alias("doc_id"),
+        record["doc"].cast("bigint").alias("doc_id"),
         F.array_join(F.map_keys(record), "|").alias("key_list"),
         F.md5(R.text_value(record, "text")).alias("text_md5"),
     )
@@ -276,15 +277,17 @@ def _folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The CSV table by model and language, read back as text fields."""
+    """The four CSV tables, read back as text fields."""
     target = scratch_path(spark, "csv")
     stages.aggregate(spark, _noisy_folder(spark, sf_dir, "csv-in"), target, written=True)
-    name = "by_model_language"
-    columns = [*TABLES[name], *MEASURES]
-    schema = ", ".join(f"{c} string" for c in [*columns, "source_file"])
-    back = spark.read.schema(schema).option("header", True).option("escape", '"').csv(f"{target}/{name}")
-    numbers = {m: F.round(F.col(m).cast("double"), 6) for m in FLOATS}
-    return back.withColumns(numbers)
+
+    def back(name: str) -> DataFrame:
+        schema = ", ".join(f"{c} string" for c in [*TABLES[name], *MEASURES, "source_file"])
+        rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(f"{target}/{name}")
+        return rows.withColumn("table", F.lit(name))
+
+    tables = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(back, TABLES))
+    return tables.withColumns({m: F.round(F.col(m).cast("double"), 6) for m in FLOATS})
 
 
 # The whole evaluation ---------------------------------------------------------------------------

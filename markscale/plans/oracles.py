@@ -198,7 +198,7 @@ ORACLES: dict[str, str] = {
     "prompt_render": f"select doc_id, md5({_PROMPT_EMPTY}) as input from ({PROMPT_ROWS})",
     "prompt_render_keep": f"select doc_id, md5(text) as text, md5({_PROMPT_EMPTY}) as question from ({PROMPT_ROWS})",
     "prompt_render_records": f"""select doc_id, {_keys(prompt=True)} as key_list,
-        md5(concat('T: ', text, chr(10), 'Q: ', case when doc_id % 9 = 4 then '[1,2]' else {_ID_IN_PROMPT} end,
+        md5(concat('T: ', text, chr(10), 'Q: ', case when doc_id % 9 = 4 then '[1, 2]' else {_ID_IN_PROMPT} end,
         ' {{end}}')) as input from ({RAW_PARTS})""",
     "answer_prompt": f"select doc_id, md5({_PROMPT_NONE}) as prompt from ({PROMPT_ROWS})",
     "judge_prompt": f"select conv_id, turn, md5({_JUDGE_PROMPT}) as prompt from ({QA_ROWS})",
@@ -226,9 +226,9 @@ ORACLES: dict[str, str] = {
         case when lang = 'en' then sim end as sim, case when lang <> 'en' then sim end as fallback
         from ({_JUDGED_FILES})""",
     "folder_report": _FOLDER,
-    "csv_report": f"""select concat(source_file, '_by_model_language') as source_file, model, language,
+    "csv_report": f"""select concat(source_file, '_', "table") as source_file, "table", model, language, id, task_type,
         concat(n_total, '.0') as n_total, similarity_mean, similarity_se, accuracy, accuracy_se
-        from ({_FOLDER}) where "table" = 'by_model_language'""",
+        from ({_FOLDER})""",
     "evaluation_end_to_end": _report(
         _CHAIN_ROWS, f"source_file, {_ALL}", source_file="'llmjudge_processed_answers'"
     ),

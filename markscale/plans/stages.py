@@ -18,6 +18,7 @@ from markscale.operators.report import (
     result_table,
     two_score_groups,
 )
+from markscale.session import materialise, release, scratch_path
 from markscale.sources import sinks
 from markscale.sources.jsonl import JSONL, list_files, read_records, read_rows
 
@@ -94,10 +95,12 @@ def infer(
             concurrency=concurrency,
             partitions=partitions,
         )
-    ok, lost = model_jobs.split_outcome(called.select(*_ROW, "answer", "model", "error"), _ROW)
+    calls = scratch_path(spark, "calls")
+    ok, lost = model_jobs.split_outcome(called.select(*_ROW, "answer", "model", "error"), _ROW, calls)
     answered = prep.extend_records(ok, {"answer": F.col("answer"), "model": F.col("model")})
     sinks.write_records(answered, target, per_file=False)
     sinks.write_records(lost, failed, per_file=False)
+    release(spark, calls)
 
 
 def score(
@@ -156,10 +159,12 @@ def judge(
         concurrency=concurrency,
         partitions=partitions,
     )
-    ok, lost = model_jobs.split_outcome(called.select(*_ROW, "_verdict", "error"), _ROW)
+    calls = scratch_path(spark, "calls")
+    ok, lost = model_jobs.split_outcome(called.select(*_ROW, "_verdict", "error"), _ROW, calls)
     judged = prep.extend_records(ok, {model_jobs.JUDGE_COLUMN: F.col("_verdict")})
     sinks.write_records(sinks.prefixed(judged, sinks.JUDGED_PREFIX), target)
     sinks.write_records(sinks.prefixed(lost, sinks.FAILED_PREFIX), failed)
+    release(spark, calls)
 
 
 def aggregate(
@@ -184,11 +189,12 @@ def aggregate(
     if on_empty == "error":
         seen = groups.filter(F.col("table") == BY_FILE).select("source_file")
         empty = list_files(spark, source, pattern=pattern, written=written).join(seen, "source_file", "left_anti")
-        names = [row.source_file for row in empty.take(5)]
-        if names:
-            raise ValueError(f"no valid rows in {names}")
+        count, first = empty.agg(F.count("*"), F.min("source_file")).first()
+        if count:
+            raise ValueError(f"no valid rows in {count} files, the first of them {first!r}")
     results = choose_score(groups, ["n_unknown"] if count_unknown else [])
     if target:
+        results = materialise(results, "report")  # four sinks read it
         for name, keys in TABLES.items():
             table = result_table(results, name)
             named = table.withColumn("source_file", F.concat("source_file", F.lit(f"_{name}")))

@@ -1,17 +1,19 @@
 """Inputs of the registered queries, shaped from the given tables.
 
 The SQL texts run in Spark and in DuckDB. They add spellings, gaps and odd values to the tables by
-``CASE``; every row of the tables stays in.
+``CASE``; every row of a table stays in, but for system turns and for user turns that are the question of a
+reply.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markscale.session import configure, scratch_path, spread
+from markscale.session import configure, deal, scratch_path
 
 # Judged answers: ids, models, verdicts and scores in all the spellings the report must read.
 EVAL_ROWS = """
@@ -38,13 +40,16 @@ select concat(case l_returnflag when 'A' then 'EN' when 'N' then ' cn' else 'fr'
 from lineitem
 """
 
-# One row per assistant turn, with the question before it and a reference text.
+# One row per assistant turn, with the question before it and a reference text; one without an answer per
+# user turn that has no reply.
 QA_ROWS = """
-select a.conv_id, a.turn, q.text as question, a.text as answer, b.text as reference
+select a.conv_id, a.turn, case when a.role = 'user' then a.text else q.text end as question,
+       case when a.role = 'assistant' then a.text end as answer, b.text as reference
 from conversations a
 left join conversations q on q.conv_id = a.conv_id and q.turn = a.turn - 1 and q.role = 'user'
+left join conversations r on r.conv_id = a.conv_id and r.turn = a.turn + 1 and r.role = 'assistant'
 join benchmark b on b.item_id = a.conv_id % (select count(*) from benchmark)
-where a.role = 'assistant'
+where a.role = 'assistant' or (a.role = 'user' and r.role is null)
 """
 
 # Source texts with a question each; some questions are missing.
@@ -83,17 +88,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str, *spread_tables: str) -> DataFrame:
-    """Run one of the texts above over the tables of ``sf_dir``.
+def view(spark: SparkSession, sf_dir: str, sql: str, *dealt: str) -> DataFrame:
+    """Run one of the texts above over the tables of ``sf_dir``; ``dealt`` ones feed much work per row.
 
-    ``spread_tables`` feed much work per row; they are dealt over the cores if they are small.
+    The tables have names of their own for as long as the text is analysed, so that no view of the
+    user's session is touched.
     """
     configure(spark)
-    for name in set(re.findall(r"(?:from|join) (\w+)", sql)):
+    own = f"markscale_{uuid.uuid4().hex}_"
+    names = set(re.findall(r"(?:from|join) (\w+)", sql))
+    for name in names:
         frame = table(spark, sf_dir, name)
-        (spread(frame) if name in spread_tables else frame).createOrReplaceTempView(name)
+        (deal(frame) if name in dealt else frame).createTempView(own + name)
     # Both dialects quote odd column names, each with its own character.
-    return spark.sql(sql.replace('as ",language"', "as `,language`"))
+    text = re.sub(r"\b(from|join) (\w+)", rf"\1 {own}\2", sql).replace('as ",language"', "as `,language`")
+    try:
+        return spark.sql(text)
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(own + name)
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,14 +29,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame, small: int = 1 << 30) -> DataFrame:
-    """Deal the rows of a small input over all cores; leave larger inputs as they are scanned.
+INPUT_TASKS = "spark.markscale.inputTasks"
 
-    A file with one row group is read by one task. Below ``small`` bytes, by Spark's own estimate,
-    a shuffle costs less than leaving the other cores idle; beyond it there are tasks enough.
+
+def deal(df: DataFrame) -> DataFrame:
+    """Deal rows over the number of tasks that the session names in ``spark.markscale.inputTasks``.
+
+    Worth its shuffle where an input of one row group would keep a single core busy. Without the
+    setting the rows stay as they are scanned.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df
+    tasks = df.sparkSession.conf.get(INPUT_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -56,6 +59,11 @@ def _local_root(spark: SparkSession) -> str:
     return _local_scratch
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Free a written intermediate table: an empty one takes its place."""
+    spark.range(0).write.mode("overwrite").parquet(path)
+
+
 def materialise(
     df: DataFrame, label: str, path: str | None = None, partition_by: tuple[str, ...] = ()
 ) -> DataFrame:

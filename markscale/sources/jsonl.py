@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markscale.functions.records import RECORD_TYPE
+from markscale.functions.records import KINDS_TYPE, TEXTS_TYPE, json_texts
 from markscale.functions.text import is_visible, let
 
 JSONL = "*.jsonl"
@@ -27,7 +27,12 @@ RESULT_SCHEMA = T.StructType(
     ]
 )
 
-_JSON_RULES = {"allowSingleQuotes": "false"}
+# The parser's own limits are lifted: a text may be as long as Spark can hold. The typed scan steps over
+# what it does not read, however deep. Open-schema rows hold every value, which takes a task's stack, so
+# there a row nested over 1,000 levels deep is an error.
+_NO_LIMIT = str((1 << 31) - 1)
+_JSON_RULES = {"allowSingleQuotes": "false", "maxStringLen": _NO_LIMIT, "maxNumLen": _NO_LIMIT}
+_DEEP_RULES = {**_JSON_RULES, "maxNestingDepth": _NO_LIMIT}
 _GUARD = "\u0001end"
 _GUARD_JSON = r'{"\u0001end":"1"}'
 
@@ -54,7 +59,8 @@ def named_lines(reader, path: str, pattern: str | None) -> DataFrame:
 def list_files(spark: SparkSession, path: str, *, pattern: str | None = JSONL, written: bool = False) -> DataFrame:
     """``source_file`` of every file that :func:`read_lines` would read, even an empty one.
 
-    The names are those of the file index that Spark keeps for the scan; no file is opened.
+    The names are those of the file index that Spark keeps on the driver for every scan; no file is opened.
+    A listing by tasks would not do: Spark's scans skip empty files.
     """
     paths = [unquote(uri) for uri in read_lines(spark, path, pattern=pattern, written=written).inputFiles()]
     if written:
@@ -83,10 +89,11 @@ def read_records(
 
 def parse_records(lines: DataFrame, *, blank_lines: str = "skip") -> DataFrame:
     line = F.col("line")
-    found = _one_object(line, RECORD_TYPE, lambda guard: F.map_contains_key(guard, _GUARD))
-    # A map read from JSON may repeat a key; rebuilding it keeps the last value.
-    rebuilt = F.transform(found, lambda m: F.map_from_entries(F.map_entries(m)))
-    rows = _strict(rebuilt, line, blank_lines)
+    kinds, texts = (
+        _one_object(line, kind, lambda guard: F.map_contains_key(guard, _GUARD)) for kind in (KINDS_TYPE, TEXTS_TYPE)
+    )
+    # A map read from JSON may repeat a key; building it anew keeps the last value.
+    rows = _strict(F.transform(kinds, lambda kind: json_texts(kind, F.get(texts, F.lit(0)))), line, blank_lines)
     # A generator keeps filters and later columns from parsing the line again.
     return lines.select("*", F.explode(rows).alias("record"))
 
@@ -133,7 +140,7 @@ def _one_object(line: Column, row_type: T.DataType, is_guard: Callable[[Column],
     """
     text = F.concat(F.lit("["), line, F.lit(f",{_GUARD_JSON}]"))
     return let(
-        F.from_json(text, T.ArrayType(row_type), _JSON_RULES),
+        F.from_json(text, T.ArrayType(row_type), _DEEP_RULES if isinstance(row_type, T.StructType) else _JSON_RULES),
         lambda rows: F.when(
             (F.size(rows) == 2) & rows[0].isNotNull() & is_guard(rows[1]), F.slice(rows, 1, 1)
         ),
@@ -143,7 +150,9 @@ def _one_object(line: Column, row_type: T.DataType, is_guard: Callable[[Column],
 def _strict(rows: Column, line: Column, blank_lines: str) -> Column:
     if blank_lines not in ("skip", "error"):
         raise ValueError("blank_lines is 'skip' or 'error'")
-    kept = F.coalesce(rows, F.raise_error(F.concat(F.lit("not one JSON object: "), line)))
+    # The error names the row by its digest and beginning: a line may be of any length.
+    shown = F.concat_ws(" ", F.lit("not one JSON object:"), F.substring(line, 1, 200), F.lit("md5"), F.md5(line))
+    kept = F.coalesce(rows, F.raise_error(shown))
     if blank_lines == "error":
         return kept
     # The first test answers for nearly every line without decoding it.

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from markscale.functions.records import object_text
 from markscale.functions.text import python_float_text
 
 # Name prefixes of the per-file outputs.
@@ -25,7 +26,7 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 def write_records(df: DataFrame, path: str, *, record: str = "record", per_file: bool = True) -> None:
     """Write open-schema rows, one JSON object per line."""
-    line = F.to_json(F.col(record)).alias("line")
+    line = object_text(F.col(record)).alias("line")
     if per_file:
         df.select(line, "source_file").write.mode("overwrite").partitionBy("source_file").text(path)
     else:

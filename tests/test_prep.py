@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from markscale.functions.records import object_text
 from markscale.functions.templates import chat_messages, render
 from markscale.operators import prep, prompts
 from markscale.sources.jsonl import parse_records
@@ -12,7 +13,7 @@ def edited(spark, objects, edit):
     """Apply an edit to JSON objects (or lines) and give the resulting lines."""
     lines = [o if isinstance(o, str) else json.dumps(o, ensure_ascii=False) for o in objects]
     frame = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
-    rows = edit(parse_records(frame)).orderBy("i").select(F.to_json("record"))
+    rows = edit(parse_records(frame)).orderBy("i").select(object_text(F.col("record")))
     return [r[0] for r in rows.collect()]
 
 
@@ -53,20 +54,43 @@ def test_rows_without_a_language_are_dropped(spark):
     assert edited(spark, rows, prep.drop_missing_language) == ['{"language":""}', '{",language":"en"}']
 
 
-def python_id(line):
-    data = json.loads(line)
-    if "id" in data and not isinstance(data["id"], (list, dict)):
-        data["id"] = str(data["id"]).strip()
-    return data
+# The JSON text of an id, and of what it becomes.
+IDS = {
+    "null": '"None"', "true": '"True"', "false": '"False"', '" a "': '"a"', "12": '"12"', "-3": '"-3"', "-0": '"0"',
+    "1.0": '"1.0"', "-0.0": '"-0.0"', "1.50": '"1.5"', "1e20": '"1e+20"', "1e-7": '"1e-07"', "1e400": '"inf"',
+    "12345678.5": '"12345678.5"', "[1]": "[1]", '{"b": 1}': '{"b":1}', '"　x"': '"x"',
+    "123456789012345678901234567890123456789012": '"123456789012345678901234567890123456789012"',
+}
 
 
-IDS = ["null", "true", "false", '" a "', "12", "-3", "1.0", "1.50", "1e20", "1e-7", "12345678.5", "[1]", '{"b":1}']
-IDS += ["12345678901234567890", '"　x"']
+def test_ids_are_spelled_as_in_python(spark):
+    lines = [f'{{"k":1,"id":{i},"z":2}}' for i in IDS] + ['{"k":1}', '{"id":1.5,"id":2.5}']
+    expected = [f'{{"k":1,"id":{i},"z":2}}' for i in IDS.values()] + ['{"k":1}', '{"id":"2.5"}']
+    assert edited(spark, lines, prep.stringify_id) == expected
 
 
-def test_ids_are_spelled_as_in_python(spark):
-    lines = [f'{{"k":1,"id":{i},"z":2}}' for i in IDS] + ['{"k":1}']
-    assert [json.loads(r) for r in edited(spark, lines, prep.stringify_id)] == [python_id(line) for line in lines]
+def test_ids_follow_earlier_edits(spark):
+    edit = lambda df: prep.stringify_id(prep.extend_records(df, {"id": F.lit(8)}))
+    assert edited(spark, ['{"id":1.5}'], edit) == ['{"id":"8"}']
+
+
+def test_values_are_kept_as_they_came(spark):
+    values = {
+        "1.0": "1.0", "-0.0": "-0.0", "1e5": "100000.0", "1e400": "1e999", "-1e400": "-1e999", "0.10": "0.1", "[1, 2.50]": "[1,2.5]",
+        '{"a":  null}': '{"a":null}', "true": "true", '"\\u00e9 \\n"': '"é \\n"', '""': '""', '"Infinity"': '"Infinity"', "12" * 20: "12" * 20,
+        "null": "null", "[1.0, -0.0]": "[1.0,-0.0]",
+    }
+    lines = [f'{{"a":{v},"b":1}}' for v in values]
+    expected = [f'{{"a":{v},"b":1}}' for v in values.values()]
+    assert edited(spark, lines, lambda df: df) == expected
+    assert edited(spark, lines, lambda df: prep.extend_records(df, {"b": F.lit("x")})) == [e.replace('"b":1', '"b":"x"') for e in expected]
+
+
+def test_prompts_spell_values_as_python_does(spark):
+    texts = {"1.0": "1.0", "[1, 2]": "[1, 2]", "[1,2.50]": "[1, 2.5]", '{"a":null}': "{'a': None}", "1e+22": "1e+22", "-0.0": "-0.0", "null": "None", '"é"': "é"}
+    lines = [f'{{"text":{t},"question":true}}' for t in texts]
+    got = edited(spark, lines, lambda df: prep.render_prompt(df, "{text}|{problem}"))
+    assert [json.loads(g)["input"] for g in got] == [f"{t}|True" for t in texts.values()]
 
 
 def test_null_ids_can_be_kept(spark):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from markscale.functions.records import object_text
 from markscale.sources import sinks
 from markscale.sources.jsonl import list_files, read_lines, read_records, read_rows
 
@@ -99,3 +100,16 @@ def test_csv_sink(spark, tmp_path):
     lines = [line for line in body.splitlines() if line != "model,n_total,mean"]
     assert lines == [",3.0,", '" a""x ",1.0,', '"b,c",2.0,1e-05']
     assert text("g")[1] == 'model,n_total,mean\n"line\nbreak",1.0,0.5\n'
+
+
+@pytest.mark.parametrize("line", ['{"id":"x","LLMJudge result":"' + "v" * 21_000_000 + '"}', '{"id":"x","deep":' + "[" * 1500 + "]" * 1500 + "}"])
+def test_long_and_deep_rows_come_through(spark, write_lines, line):
+    folder = write_lines(a=[line])
+    row = read_rows(spark, folder).first()
+    assert row.id == "x" and len(row["LLMJudge result"] or "") in (0, 21_000_000)
+    if "deep" in line:
+        with pytest.raises(Exception, match="not one JSON object"):
+            read_records(spark, folder).collect()
+        return
+    size = read_records(spark, folder).select(F.sum(F.length(object_text(F.col("record"))))).first()[0]
+    assert size == len(line)
