@@ -1,9 +1,10 @@
 import os
-import random
 
 import duckdb
 import pytest
 
+from brute import prose
+
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -22,11 +23,6 @@ def duck(sf_dir):
     return connection
 
 
-def prose(seed, count, vocabulary=400):
-    rng = random.Random(seed)
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(count))
-
-
 #: NULLs in every column, empty, blank and very long texts, ties and repeated rows.
 EDGE_ROWS = [
     (1, prose(1, 60), "en", "a", 1),

@@ -3,8 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from brute import classes
-from conftest import prose
+from brute import classes, prose
 from markscale.llm import ngram_join
 from markscale.llm.ngram_join import components, linked_pairs, one_of_each, runs_for, similarity_classes
 from markscale.llm.queries import ngram_join_query

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import prose
+from brute import prose
 from markscale.llm.queries import quality_query
 from markscale.llm.quality_mil import FEATURES, PASSAGE_BYTES, GatedAttentionModel, add_score, byte_classes, encode, fit, fit_bags
 
