@@ -130,8 +130,10 @@ def find_hits(
     )
     rows = docs.withColumn("__text_key", text_hash(F.col(text)))
     same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text_key") == F.col("__found"))
-    joined = rows.join(per_doc, same, "left").withColumn("__words", words(F.col(text)))
-    hits = F.flatten(F.transform("__candidates", lambda c: exact_windows(c, F.col("__words"), window)))
+    # Texts are shuffled once whatever the number of candidates, so that the plan is one at every size.
+    joined = rows.join(per_doc.hint("merge"), same, "left").withColumn("__words", words(F.col(text)))
+    # Windows of the same words are met along several shifts.
+    hits = F.array_distinct(F.flatten(F.transform("__candidates", lambda c: exact_windows(c, F.col("__words"), window))))
     none = F.array().cast(f"array<struct<item:{items.schema[item].dataType.simpleString()},start:int,length:int>>")
     return joined.withColumns({words_out: F.size("__words").cast("long"), hits_out: F.coalesce(hits, none)}).drop(
         "__text_key", "__key", "__found", "__candidates", "__words"
