@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from markscale.functions import records as R
 from markscale.functions.chunks import packed_chunks, sentence_chunks
@@ -201,9 +202,9 @@ def _cosine_matrix_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(groups, "similarity")
 
 
-def _similarity(scorer) -> Query:
+def _similarity(scorer, chunker: Callable[[Column], Column] = _stop_chunks) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scored = scorer(_qa_rows(spark, sf_dir), similarity.letter_encoder, chunker=_stop_chunks)
+        scored = scorer(_qa_rows(spark, sf_dir), similarity.letter_encoder, chunker=chunker)
         return _rounded(scored.select("conv_id", "turn", "similarity"), "similarity")
 
     return query
@@ -293,8 +294,8 @@ def _csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The whole evaluation ---------------------------------------------------------------------------
 
 
-def _evaluation_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete, score, judge and report, with each stage reading the files of the one before."""
+def _evaluate(spark: SparkSession, sf_dir: str) -> str:
+    """Complete, score and judge, with each stage reading the files of the one before; the folder of all files."""
     qa = _qa_rows(spark, sf_dir)
     item = F.concat(
         F.when(F.col("conv_id") % 2 == 0, F.lit("EN_")).otherwise(F.lit("cn_")),
@@ -334,9 +335,26 @@ def _evaluation_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
         concurrency=1,
         written=True,
     )
+    return root
+
+
+def _evaluation_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _evaluate(spark, sf_dir)
     return _rounded(stages.aggregate(spark, f"{root}/judged", written=True), *FLOATS)
 
 
+def _evaluation_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the two model stages lost, read back from their own outputs."""
+    root = _evaluate(spark, sf_dir)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "question", "answer", "reference")])
+
+    def lost(stage: str, folder: str, **options) -> DataFrame:
+        rows = read_rows(spark, f"{root}/{folder}", schema, strict=True, blank_lines="error", **options)
+        return _hashed(rows.select(F.lit(stage).alias("stage"), *schema.names), "question", "answer", "reference")
+
+    return lost("infer", "answers_failed", pattern=None).unionByName(lost("judge", "judged_failed", written=True))
+
+
 QUERIES: dict[str, Query] = {
     "report_by_model": _one_table("by_model"),
     "report_by_model_language": _one_table("by_model_language"),
@@ -369,6 +387,8 @@ QUERIES: dict[str, Query] = {
     "cosine_matrix_mean": _cosine_matrix_mean,
     "similarity_score": _similarity(similarity.score),
     "similarity_score_distinct": _similarity(similarity.score_distinct),
+    "similarity_score_packed": _similarity(similarity.score, _packed_chunks),
+    "similarity_score_distinct_packed": _similarity(similarity.score_distinct, _packed_chunks),
     "batch_completion_ok": _completion(0),
     "batch_completion_failed": _completion(1),
     "judge_ok": _verdict(0),
@@ -378,4 +398,5 @@ QUERIES: dict[str, Query] = {
     "folder_report": _folder_report,
     "csv_report": _csv_report,
     "evaluation_end_to_end": _evaluation_end_to_end,
+    "evaluation_failed": _evaluation_failed,
 }

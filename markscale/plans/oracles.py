@@ -105,12 +105,23 @@ def _letters(chunk: str) -> str:
         lambda l: cast(length({chunk}) - length(replace({chunk}, l, '')) as double))"""
 
 
-def _pair_mean(rows: str, keys: str) -> str:
+# The same sentences packed into chunks, as one expression.
+_FOLDED = f"""list_reduce(list_transform({_CHUNKS}, lambda p: {{{{'done': cast([] as varchar[]), 'open': p,
+    'units': cast(length(p) as bigint)}}}}), lambda acc, x: case when acc.units + x.units <= {PACK_LIMIT}
+        then {{{{'done': acc.done, 'open': concat(acc.open, x.open), 'units': acc.units + x.units}}}}
+        else {{{{'done': case when acc.open = '' then acc.done else list_append(acc.done, acc.open) end, 'open': x.open,
+              'units': x.units}}}} end,
+    {{{{'done': cast([] as varchar[]), 'open': '', 'units': cast(0 as bigint)}}}})"""
+_PACKED_CHUNKS = f"""case when coalesce({{0}}, '') = '' then [] when length({{0}}) <= {PACK_LIMIT} then [{{0}}]
+    when {_FOLDED}.open = '' then {_FOLDED}.done else list_append({_FOLDED}.done, {_FOLDED}.open) end"""
+
+
+def _pair_mean(rows: str, keys: str, chunks: str = _CHUNKS) -> str:
     """Mean pairwise cosine of the sentences of answer and reference, for every row of ``rows``."""
     return f"""
 (with q as ({rows}),
- a as (select {keys}, unnest({_CHUNKS.format("answer")}) as c from q),
- b as (select {keys}, unnest({_CHUNKS.format("reference")}) as c from q),
+ a as (select {keys}, unnest({chunks.format("answer")}) as c from q),
+ b as (select {keys}, unnest({chunks.format("reference")}) as c from q),
  va as (select {keys}, {_letters("c")} as v from a),
  vb as (select {keys}, {_letters("c")} as v from b)
  select {keys}, avg(coalesce(nullif(list_cosine_similarity(va.v, vb.v), 'nan'::double), 0)) as similarity
@@ -123,6 +134,12 @@ select q.conv_id, q.turn, round(similarity, 6) as similarity
 from ({QA_ROWS}) q left join {_pair_mean(QA_ROWS, "conv_id, turn")} s on s.conv_id = q.conv_id and s.turn = q.turn
 """
 
+_SIMILARITY_PACKED = f"""
+select q.conv_id, q.turn, round(similarity, 6) as similarity
+from ({QA_ROWS}) q
+left join {_pair_mean(QA_ROWS, "conv_id, turn", _PACKED_CHUNKS)} s on s.conv_id = q.conv_id and s.turn = q.turn
+"""
+
 _COSINE = f"""
 with v as (select vec_id // 10 as g, vec_id % 2 as side, embedding::float[{DIMENSIONS}] as e from embeddings)
 select a.g, round(avg(array_cosine_similarity(a.e::double[{DIMENSIONS}], b.e::double[{DIMENSIONS}])), 6) as similarity
@@ -163,6 +180,12 @@ select conv_id, turn, question, reference,
 from ({QA_ROWS})
 where not contains(concat('S: ', reference, chr(10), 'Q: ', coalesce(question, 'None')), 'onth')
 """
+_CHAIN_LOST = f"""
+select 'infer' as stage, concat(case when conv_id % 2 = 0 then 'EN_' else 'cn_' end, lpad(cast(turn % 100 as string), 2, '0')) as id,
+       md5(question) as question, null as answer, md5(reference) as reference
+from ({QA_ROWS})
+where contains(concat('S: ', reference, chr(10), 'Q: ', coalesce(question, 'None')), 'onth')
+"""
 _CHAIN_PROMPT = """concat('Q: ', coalesce(question, 'None'), chr(10), 'A: ', answer, chr(10), 'R: ', reference, chr(10),
     'Verdict:')"""
 _CHAIN_ROWS = f"""
@@ -172,6 +195,12 @@ from (select q.*, {_CHAIN_PROMPT} as prompt, s.similarity from ({_CHAIN_QA}) q
 where {_COUNT_E} % 7 not in (0, 1)
 """
 
+_CHAIN_FAILED = f"""
+{_CHAIN_LOST} union all
+select 'judge' as stage, id, md5(question) as question, md5(answer) as answer, md5(reference) as reference
+from (select *, {_CHAIN_PROMPT} as prompt from ({_CHAIN_QA})) where {_COUNT_E} % 7 in (0, 1)
+"""
+
 ORACLES: dict[str, str] = {
     "report_by_model": _table("by_model", "model"),
     "report_by_model_language": _table("by_model_language", "model, language"),
@@ -210,6 +239,8 @@ ORACLES: dict[str, str] = {
     "cosine_matrix_mean": _COSINE,
     "similarity_score": _SIMILARITY,
     "similarity_score_distinct": _SIMILARITY,
+    "similarity_score_packed": _SIMILARITY_PACKED,
+    "similarity_score_distinct_packed": _SIMILARITY_PACKED,
     "batch_completion_ok": f"""select conv_id, turn, md5(text) as text, question,
         case when not contains(prompt, 'quer') then concat('stub-1 2 ', md5(prompt)) end as answer, 'stub-1' as model
         from ({_ANSWERED}) where not contains(prompt, 'onth')""",
@@ -229,6 +260,7 @@ ORACLES: dict[str, str] = {
     "csv_report": f"""select concat(source_file, '_', "table") as source_file, "table", model, language, id, task_type,
         concat(n_total, '.0') as n_total, similarity_mean, similarity_se, accuracy, accuracy_se
         from ({_FOLDER})""",
+    "evaluation_failed": _CHAIN_FAILED,
     "evaluation_end_to_end": _report(
         _CHAIN_ROWS, f"source_file, {_ALL}", source_file="'llmjudge_processed_answers'"
     ),
