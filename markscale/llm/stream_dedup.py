@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from markscale.session import scratch_path
+from markscale.session import materialise, scratch_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SETTINGS = {
@@ -106,9 +106,10 @@ def stream_dedup(
     groups = read_state(spark, state_dir, schema, key)
 
     rows = with_content(spark.read.schema(schema).parquet(path), key, text, digest)
-    # Every byte is compared: a digest has one text if its smallest and its largest are the same.
-    bytes_seen = rows.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
-    mixed = bytes_seen.where("low <> high").select("digest", F.lit(True).alias("mixed"))
+    # Every byte is compared: rows of one digest that differ anywhere stay apart here.
+    texts_seen = rows.select("digest", "body").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    # As a rule empty. Written, so that its true size decides how it is joined.
+    mixed = materialise(texts_seen.where("n > 1").select("digest", F.lit(True).alias("mixed")), "dedup-clashes")
     marked = groups.join(mixed, "digest", "left")
     alike = (
         rows.select("key", "digest", "place")
@@ -117,7 +118,7 @@ def stream_dedup(
                 F.col("place").eqNullSafe(F.col("__stays")).alias("kept"))
     )
     # Digests that differing texts share: their groups are the texts.
-    clashing = rows.join(marked.where("mixed").select("digest"), "digest")
+    clashing = rows.join(mixed.select("digest"), "digest")
     texts = clashing.groupBy("digest", "body").agg(F.max("place").alias("__stays"), F.count(F.lit(1)).alias("group_size"))
     told_apart = clashing.join(texts, ["digest", "body"]).select(
         "key", "digest", F.col("__stays.key").alias("keep_key"), "group_size",
