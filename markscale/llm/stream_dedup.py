@@ -105,7 +105,8 @@ def stream_dedup(
     schema = StructType([given[key], given[text]])
     state_dir = state_dir or scratch_path(spark, "dedup-state")
     run_stream(spark, path, schema, state_dir, key, text, digest, batch_bytes)
-    groups = read_state(spark, state_dir, schema, key)
+    # Written: the join below is then one of plain exchanges, in which Spark can split a hot digest.
+    groups = materialise(read_state(spark, state_dir, schema, key), "dedup-groups")
 
     rows = with_content(spark.read.schema(schema).parquet(path), key, text, digest)
     # Every byte is compared: rows of one digest that differ anywhere stay apart here.
