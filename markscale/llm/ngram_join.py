@@ -43,7 +43,7 @@ COORDINATES, CHILDREN, LEAF = 64, 2, 128
 DENSE = 0.6
 #: Depth at which the recall is reckoned; buckets of unlike texts are small after a few splits.
 DEPTH = 4
-BLOCK, BLOCK_BYTES = 128, 32 << 20
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 
 SETS = "text_key string, digest string, size long, signature binary"
 
@@ -131,7 +131,7 @@ def token(coordinate: Column) -> Column:
 
 def root_paths(sets: DataFrame, runs: int) -> DataFrame:
     paths = [F.xxhash64(F.lit(r), F.substring("signature", 4 * r + 1, 4)) for r in range(runs)]
-    return sets.select("digest", F.explode(F.array(*paths)).alias("path"))
+    return sets.select("sid", F.explode(F.array(*paths)).alias("path"))
 
 
 def child_paths(rows: DataFrame, sets: DataFrame, runs: int) -> DataFrame:
@@ -141,8 +141,8 @@ def child_paths(rows: DataFrame, sets: DataFrame, runs: int) -> DataFrame:
     gap = 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(pool // CHILDREN - 1)).cast("int")
     picks = [F.lit(runs) + F.pmod(first + gap * i, F.lit(pool)) for i in range(CHILDREN)]
     below = F.array(*[F.xxhash64("path", F.lit(3), p, token(p)) for p in picks])
-    return rows.join(sets.select("digest", "signature"), "digest").select(
-        "digest", F.col("n").alias("parent"), F.explode(below).alias("path")
+    return rows.join(sets.select("sid", "signature"), "sid").select(
+        "sid", F.col("n").alias("parent"), F.explode(below).alias("path")
     )
 
 
@@ -151,7 +151,7 @@ def buckets(rows: DataFrame) -> DataFrame:
     return (
         rows.groupBy("path")
         .agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"),
-             F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"))
+             F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
         .where("n > 1")
     )
 
@@ -162,19 +162,19 @@ def once(found: DataFrame) -> DataFrame:
 
 
 def candidate_buckets(sets: DataFrame, runs: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(small buckets, dense buckets) of all levels, as rows ``path``, ``digest``."""
+    """(small buckets, dense buckets) of all levels, as rows ``path``, ``sid``."""
     small, dense = [], []
     rows = root_paths(sets, runs).withColumn("parent", F.lit(0).cast("long"))
     while True:
         found = materialise(buckets(rows), "buckets")
         large = found.where(f"n > {LEAF}")
         is_dense = F.col("n") >= DENSE * F.col("parent")
-        small.append(rows.join(once(found.where(f"n <= {LEAF}")), "path").select("path", "digest"))
+        small.append(rows.join(once(found.where(f"n <= {LEAF}")), "path").select("path", "sid"))
         if large.limit(1).count() == 0:
             return small, dense
         split_here = (F.col("parent") > 0) & is_dense
-        dense.append(rows.join(once(large.where(split_here)), "path").select("path", "digest"))
-        onward = rows.select("path", "digest").join(large.where(~split_here).select("path", "n"), "path")
+        dense.append(rows.join(once(large.where(split_here)), "path").select("path", "sid"))
+        onward = rows.select("path", "sid").join(large.where(~split_here).select("path", "n"), "path")
         rows = materialise(child_paths(onward, sets, runs), "paths")
 
 
@@ -218,28 +218,28 @@ def signature_links(leaves: DataFrame, sets: DataFrame, threshold: float) -> Dat
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        us: list[str] = []
-        vs: list[str] = []
+        us: list[int] = []
+        vs: list[int] = []
         for group in group_runs(batches, ["path"]):
-            digests = group["digest"].tolist()
-            marks = np.frombuffer(b"".join(group["signature"]), dtype=np.uint32).reshape(len(digests), COORDINATES)
+            sids = group["sid"].tolist()
+            marks = np.frombuffer(b"".join(group["signature"]), dtype=np.uint32).reshape(len(sids), COORDINATES)
             left, right = [], []
-            for i in range(len(digests) - 1):
+            for i in range(len(sids) - 1):
                 near = np.flatnonzero((marks[i + 1 :] == marks[i]).mean(axis=1) >= least)
                 left.append(np.full(len(near), i))
                 right.append(near + i + 1)
-            roots = roots_of(len(digests), np.concatenate(left), np.concatenate(right))
+            roots = roots_of(len(sids), np.concatenate(left), np.concatenate(right))
             for i, root in enumerate(roots):
                 if i != root:
-                    us.append(digests[i])
-                    vs.append(digests[root])
+                    us.append(sids[i])
+                    vs.append(sids[root])
             if len(us) > 50_000:
                 yield pd.DataFrame({"u": us, "v": vs})
                 us, vs = [], []
         yield pd.DataFrame({"u": us, "v": vs})
 
-    rows = leaves.join(sets.select("digest", "signature"), "digest").repartition("path").sortWithinPartitions("path")
-    return rows.mapInPandas(compare, "u string, v string")
+    rows = leaves.join(sets.select("sid", "signature"), "sid").repartition("path").sortWithinPartitions("path")
+    return rows.mapInPandas(compare, "u long, v long")
 
 
 # Components
@@ -273,10 +273,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, key: str, text: str, n: int, threshold: float) -> DataFrame:
     """``digest``, ``root``, ``links``: per block of comparisons, the documents linked to a set, and an edge."""
-    totals = groups.join(sets.drop("signature"), groups["node"] == sets["digest"]).select("digest", "root", "rep", "documents", "size")
+    totals = groups.join(sets.drop("signature"), groups["node"] == sets["sid"]).select("digest", "root", "rep", "documents", "size")
     weigh = totals.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("hashes") * 8 / BLOCK_BYTES)).cast("int")
-    members = totals.join(weigh.select("root", parts.alias("parts")), "root")
+    # Written: a join of its own, whose large groups Spark can split.
+    weighed = materialise(weigh.select("root", parts.alias("parts")), "group-parts")
+    members = totals.join(weighed, "root")
     texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))
     # One plan at every size: the texts are shuffled once.
     rows = texts.join(members.hint("merge"), texts["rep"].eqNullSafe(members["rep"])).select("digest", "root", "parts", "documents", "text")
@@ -291,7 +293,7 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, key: str, t
             out["grams"] = [g.tobytes() for g in found]
             yield out[np.array(own, dtype=bool)]
 
-    schema = "digest string, root string, parts int, documents long, grams binary"
+    schema = "digest string, root long, parts int, documents long, grams binary"
     full = rows.mapInPandas(shingles, schema).dropDuplicates(["digest"])
     part = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
     dealt = full.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -353,7 +355,9 @@ def similarity_classes(
     runs = runs_for(recall, threshold)
     rows = materialise(document_sets(docs, key, text, n), "sets")
     sets = materialise(
-        rows.where("size > 0").groupBy("digest", "size", "signature").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("documents")),
+        rows.where("size > 0").groupBy("digest", "size", "signature").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("documents"))
+        # A short name for the candidate search. Sets that happened to share one would only be compared once more.
+        .withColumn("sid", F.xxhash64("digest")),
         "distinct-sets",
     )
     small, dense = candidate_buckets(sets, runs)
@@ -362,8 +366,8 @@ def similarity_classes(
         leaves = leaves.unionByName(level)
     edges = signature_links(leaves, sets, threshold)
     for level in dense:
-        stars = level.groupBy("path").agg(F.min("digest").alias("v"))
-        edges = edges.unionByName(level.join(stars, "path").select(F.col("digest").alias("u"), "v"))
+        stars = level.groupBy("path").agg(F.min("sid").alias("v"))
+        edges = edges.unionByName(level.join(stars, "path").select(F.col("sid").alias("u"), "v"))
     groups = components(edges)
     links = materialise(exact_links(docs, sets, groups, key, text, n, threshold), "links")
     classes = components(links.select(F.col("digest").alias("u"), F.col("root").alias("v")))
