@@ -43,7 +43,7 @@ COORDINATES, CHILDREN, LEAF = 64, 2, 128
 DENSE = 0.6
 #: Depth at which the recall is reckoned; buckets of unlike texts are small after a few splits.
 DEPTH = 4
-BLOCK, BLOCK_BYTES = 512, 32 << 20
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 SETS = "text_key string, digest string, size long, signature binary"
 
@@ -151,19 +151,20 @@ def buckets(rows: DataFrame) -> DataFrame:
     return (
         rows.groupBy("path")
         .agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"),
-             F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
+             F.bit_xor(F.xxhash64("sid")).alias("x"))
         .where("n > 1")
     )
 
 
 def once(found: DataFrame) -> DataFrame:
     """One path for each set of members."""
-    return found.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n")
+    return found.groupBy("n", "x").agg(F.min("path").alias("path")).select("path", "n")
 
 
 def candidate_buckets(sets: DataFrame, runs: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(small buckets, dense buckets) of all levels, as rows ``path``, ``sid``."""
     small, dense = [], []
+    active = None
     rows = root_paths(sets, runs).withColumn("parent", F.lit(0).cast("long"))
     while True:
         found = materialise(buckets(rows), "buckets")
@@ -175,7 +176,11 @@ def candidate_buckets(sets: DataFrame, runs: int) -> tuple[list[DataFrame], list
         split_here = (F.col("parent") > 0) & is_dense
         dense.append(rows.join(once(large.where(split_here)), "path").select("path", "sid"))
         onward = rows.select("path", "sid").join(large.where(~split_here).select("path", "n"), "path")
-        rows = materialise(child_paths(onward, sets, runs), "paths")
+        if active is None:  # what is split further is a small part of all sets
+            active = materialise(
+                sets.select("sid", "signature").join(onward.select("sid").distinct(), "sid", "left_semi"), "active-sets"
+            )
+        rows = materialise(child_paths(onward, active, runs), "paths")
 
 
 def group_runs(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
