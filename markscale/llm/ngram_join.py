@@ -253,14 +253,14 @@ def signature_links(leaves: DataFrame, sets: DataFrame, threshold: float) -> Dat
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) of every node that has an edge.
 
-    Large-star and small-star rounds; each is written to the shared folder, and only minima and
-    edges move, so a node with very many edges is pre-aggregated.
+    Large-star and small-star rounds; each is written to the shared folder. Only minima and edges move.
     """
     edges = materialise(edges.where("u <> v").distinct(), "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        # Written: the join is then one of plain exchanges, in which Spark can split a node with very many edges.
+        lowest = materialise(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "lowest")
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smaller = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(smaller, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
