@@ -118,6 +118,8 @@ def mix_sources(docs: DataFrame, block_tokens: int = 1024, most: int = 3, weight
 
     cells = chunked_range(sources, F.col("first_cell"), F.col("slots"), "__cell")
     slots = cells.withColumn("position", F.expr("cast(conv(reverse(lpad(bin(__cell), bits, '0')), 2, 10) as bigint)"))
+    # Spark takes exploded rows to be as few as their source; written, their true size decides the joins.
+    slots = materialise(slots.drop("__cell", "source", "weight", "target"), "mix-slots")
     slots = slots.withColumns({"__one": F.lit(1), "__part": F.expr("shiftright(position, bits - 10)")})
     slots = running_start(slots, ["sid"], "__part", ["position"], "__one", "rank")
     slots = slots.withColumns({"epoch": F.expr("rank div blocks"), "block": F.expr("rank % blocks")})
@@ -132,5 +134,5 @@ def repeat_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     taken = mix.taken().where("size > 0").groupBy(F.col("doc_id").alias("__id")).agg(
         F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")
     )
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).where("__times > 0")
+    joined = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["__id"])).where("__times > 0")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
