@@ -6,7 +6,9 @@ encoded (hashed byte trigrams and text statistics, then a learned layer). Gated
 weighted passage representation is scored by a logistic layer.
 
 The model is fitted on the driver from a sample of at most ``per_class`` labelled documents of each
-class, drawn by a hash of the id; each gives at most ``train_passages`` passages, evenly spaced.
+class, drawn by a hash of the id; each gives at most ``train_passages`` passages, evenly spaced. A
+sampled document counts for all labelled documents of its class that it stands for, so that scores
+follow the classes' true shares whether the sample is all of them or a few.
 Scoring is one narrow pass over all documents and all of their passages.
 
 - A NULL or empty text is a bag of one empty passage and has a score like any other.
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markscale.llm.common import hash52
+from markscale.session import materialise
 
 PASSAGE_BYTES = 1024
 TRIGRAMS = 128
@@ -121,9 +124,12 @@ class GatedAttentionModel:
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         return self.forward((np.concatenate(bags) - self.mean) / self.scale, starts)["p"]
 
-    def gradients(self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(
+        self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, counts: np.ndarray | float = 1.0
+    ) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss; ``counts`` weigh the bags."""
         p, f = self.weights, self.forward(x, starts)
-        off = (f["p"] - labels) / len(labels)
+        off = counts * (f["p"] - labels) / len(labels)
         dz = (off[:, None] * p["c"])[f["bag"]]
         da = (f["h"] * dz).sum(axis=1)
         de = f["a"] * (da - np.add.reduceat(f["a"] * da, starts)[f["bag"]])
@@ -136,8 +142,14 @@ class GatedAttentionModel:
         }
 
 
-def fit_bags(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> GatedAttentionModel:
-    """Adam on the bags' logistic loss; the same bags in the same order give the same model."""
+def fit_bags(
+    bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, counts: np.ndarray | None = None
+) -> GatedAttentionModel:
+    """Adam on the bags' logistic loss; the same bags in the same order give the same model.
+
+    ``counts``: how many documents each bag stands for; one if not given.
+    """
+    counts = np.ones(len(bags)) if counts is None else counts / counts.mean()
     stacked = np.concatenate(bags)
     rng = np.random.default_rng(SEED)
     shapes = {"W": (FEATURES, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "v0": (GATE,), "U": (HIDDEN, GATE),
@@ -155,7 +167,8 @@ def fit_bags(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -
             sizes = [len(scaled[j]) for j in chosen]
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
             step += 1
-            for k, g in model.gradients(np.concatenate([scaled[j] for j in chosen]), starts, labels[chosen]).items():
+            x = np.concatenate([scaled[j] for j in chosen])
+            for k, g in model.gradients(x, starts, labels[chosen], counts[chosen]).items():
                 g = g + DECAY * weights[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -178,6 +191,8 @@ def fit(
         .join(docs.select("doc_id"), "doc_id", "left_semi")
         .withColumn("__h", hash52(F.col("doc_id").cast("string")))
     )
+    known = materialise(known, "labelled")
+    totals = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
     drawn = [known.where(F.col("__label") == k).orderBy("__h", "doc_id").limit(per_class) for k in (0, 1)]
     sample = drawn[0].unionByName(drawn[1]).select("doc_id", "__label")  # 2 x per_class rows at most
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -199,7 +214,9 @@ def fit(
     if not learned:
         return None
     encoded = [np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, FEATURES) for r in learned]
-    return fit_bags(encoded, np.array([r["label"] for r in learned], dtype=np.float64))
+    found = np.array([r["label"] for r in learned])
+    counts = np.array([totals[k] for k in found.tolist()]) / np.bincount(found)[found]
+    return fit_bags(encoded, found.astype(np.float64), counts=counts)
 
 
 def add_score(docs: DataFrame, model: GatedAttentionModel | None, text: str = "text", out: str = "score") -> DataFrame:

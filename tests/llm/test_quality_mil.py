@@ -77,3 +77,14 @@ def test_edge_rows(spark, edge_docs, no_docs):
     assert fit(edge_docs, labels.limit(0)) is None and fit(no_docs, labels) is None
     assert add_score(edge_docs, None).first().score == 0.5
     assert add_score(no_docs, model).count() == 0
+
+
+def test_scores_follow_the_true_shares_below_and_above_the_cap(spark):
+    """A text that tells nothing has the share of class 1 as its score, however small the sample of a class."""
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(1, 60)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.86)) for i, _ in rows], "doc_id long, quality int")
+    for per_class in (5000, 300):
+        score = add_score(docs.limit(1), fit(docs, labels, per_class=per_class)).first().score
+        assert abs(score - 0.86) < 0.05
