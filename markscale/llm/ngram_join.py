@@ -7,10 +7,10 @@ equal to their similarity.
 1. Equal sets are joined first; from here on a set stands for all of its documents.
 2. Chosen paths: every run starts at one sampled token; all sets that share it are a bucket. A bucket
    of more than ``LEAF`` sets is split on ``CHILDREN`` further sampled tokens, which the path chooses,
-   and so on. ``runs`` follows from the target recall. Splitting ends at a small bucket, or where a
-   child keeps most of its parent: such a bucket holds sets so similar that splitting is of no use.
-3. Small buckets are compared all-to-all by their signatures, with a margin of four standard errors;
-   dense ones are taken as they are. Buckets of the same sets are compared once.
+   and so on. ``runs`` follows from the target recall at any depth. Splitting ends at a small bucket, or
+   where a child keeps most of its parent: such a bucket holds sets so similar that splitting is of no use.
+3. Small buckets are compared all-to-all by their signatures, with a margin that follows from the target
+   recall; dense ones are taken as they are. Buckets of the same sets are compared once.
 4. Candidate links form groups. Within a group every pair is compared exactly on the full sets, in
    blocks of ``BLOCK`` sets against each other, so that no task holds a large group and no pair is
    ever written: a block gives each set's number of links and one edge to its class.
@@ -38,11 +38,9 @@ from markscale.llm.common import key_text
 from markscale.session import materialise
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.99999
-COORDINATES, CHILDREN, LEAF = 64, 2, 128
+COORDINATES, CHILDREN, LEAF = 96, 2, 128
 #: A child with so much of its parent is dense.
 DENSE = 0.6
-#: Depth at which the recall is reckoned; buckets of unlike texts are small after a few splits.
-DEPTH = 4
 BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 SETS = "text_key string, digest string, size long, signature binary"
@@ -119,10 +117,46 @@ def document_sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 # Chosen paths
 
 
+def matching(n: int, share: float) -> list[float]:
+    """The chances that 0, 1, ... n of ``n`` coordinates match."""
+    return [math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(n + 1)]
+
+
+def lost_below(matches: int, pool: int) -> float:
+    """The chance that no path below a shared root keeps a pair together, however deep the splits are.
+
+    ``matches`` of the ``pool`` coordinates are the pair's. All children that it shares go on, so this
+    is the chance that a branching process dies out; it does not fall with every further split.
+    """
+    shared = [math.comb(matches, k) * math.comb(pool - matches, CHILDREN - k) / math.comb(pool, CHILDREN) for k in range(CHILDREN + 1)]
+    lost = 0.0
+    for _ in range(1000):
+        lost = sum(chance * lost**k for k, chance in enumerate(shared))
+    return lost
+
+
+def path_miss(runs: int, threshold: float) -> float:
+    """The chance that no run finds a pair at the threshold; all runs draw from the same pool of coordinates."""
+    pool = COORDINATES - runs
+    return sum(c * (1 - threshold * (1 - lost_below(m, pool))) ** runs for m, c in enumerate(matching(pool, threshold)))
+
+
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs that find a pair at the threshold with the target recall, at depth ``DEPTH``."""
-    found = threshold * (1 - (1 - threshold) ** CHILDREN) ** (DEPTH - 1)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
+    """The fewest runs whose miss is half of what the target recall allows; ``least_matches`` has the other half."""
+    for runs in range(1, COORDINATES - 2 * CHILDREN):
+        if path_miss(runs, threshold) <= (1 - recall) / 2:
+            return runs
+    raise ValueError(f"{COORDINATES} coordinates do not reach recall {recall} at threshold {threshold}")
+
+
+def least_matches(recall: float, threshold: float) -> int:
+    """The most matching coordinates of which a pair at the threshold has fewer with half of the allowed miss."""
+    below, chances = 0.0, matching(COORDINATES, threshold)
+    for least, chance in enumerate(chances):
+        below += chance
+        if below > (1 - recall) / 2:
+            return least
+    return COORDINATES
 
 
 def token(coordinate: Column) -> Column:
@@ -218,9 +252,9 @@ def roots_of(count: int, left: np.ndarray, right: np.ndarray) -> list[int]:
     return [find(i) for i in range(count)]
 
 
-def signature_links(leaves: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def signature_links(leaves: DataFrame, sets: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
     """Edges ``u``, ``v`` that connect what each small bucket links by signature."""
-    least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    least = least_matches(recall, threshold)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         us: list[int] = []
@@ -230,7 +264,7 @@ def signature_links(leaves: DataFrame, sets: DataFrame, threshold: float) -> Dat
             marks = np.frombuffer(b"".join(group["signature"]), dtype=np.uint32).reshape(len(sids), COORDINATES)
             left, right = [], []
             for i in range(len(sids) - 1):
-                near = np.flatnonzero((marks[i + 1 :] == marks[i]).mean(axis=1) >= least)
+                near = np.flatnonzero((marks[i + 1 :] == marks[i]).sum(axis=1) >= least)
                 left.append(np.full(len(near), i))
                 right.append(near + i + 1)
             roots = roots_of(len(sids), np.concatenate(left), np.concatenate(right))
@@ -369,7 +403,7 @@ def similarity_classes(
     leaves = small[0]
     for level in small[1:]:
         leaves = leaves.unionByName(level)
-    edges = signature_links(leaves, sets, threshold)
+    edges = signature_links(leaves, sets, threshold, recall)
     for level in dense:
         stars = level.groupBy("path").agg(F.min("sid").alias("v"))
         edges = edges.unionByName(level.join(stars, "path").select(F.col("sid").alias("u"), "v"))

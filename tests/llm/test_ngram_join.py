@@ -77,6 +77,39 @@ def test_runs_grow_with_recall():
     assert runs_for(0.9, 0.8) < runs_for(0.99999, 0.8) <= 12
 
 
+def test_signatures_that_a_pair_may_have_are_linked(spark):
+    """Linked by as few matching coordinates as pairs at the threshold have once in 100,000."""
+    import math
+
+    import numpy as np
+
+    n = ngram_join.COORDINATES
+    below = np.cumsum([math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1)])
+    fewest = int(np.searchsorted(below, 1e-5))
+    a = np.arange(n, dtype=np.uint32)
+    b = np.where(a < fewest, a, a + n).astype(np.uint32)
+    sets = spark.createDataFrame([(1, a.tobytes()), (2, b.tobytes())], "sid long, signature binary")
+    leaves = spark.createDataFrame([(7, 1), (7, 2)], "path long, sid long")
+    assert len(ngram_join.signature_links(leaves, sets, 0.8).collect()) == 1
+
+
+def test_recall_holds_at_any_depth():
+    """Pairs of random signatures, split to depth 20 as chosen paths are: the share lost below a root is as reckoned."""
+    rng, pool, trials = random.Random(5), 54, 4000
+    lost = reckoned = 0
+    for _ in range(trials):
+        same = [rng.random() < 0.8 for _ in range(pool)]
+        nodes = 1
+        for _ in range(20):
+            if nodes > 50:
+                break
+            nodes = sum(same[c] for _ in range(nodes) for c in rng.sample(range(pool), ngram_join.CHILDREN))
+        lost += nodes == 0
+        reckoned += ngram_join.lost_below(sum(same), pool)
+    assert abs(lost - reckoned) / trials < 0.02 and 0.05 < lost / trials < 0.1
+    assert ngram_join.path_miss(runs_for(0.99999, 0.8), 0.8) <= 5e-6
+
+
 def test_threshold_is_exact():
     import numpy as np
 
