@@ -10,6 +10,7 @@ What is left (document, item, shift) is compared word by word, which also finds
 the same shift. Rarity is the number of occurrences in all documents.
 
 - A NULL or empty text, or an item without words, has no words and no hits.
+- A NULL item id is an id like any other; ``hit_items`` writes it as an empty string.
 - Rows alike in id and text are judged alike; items of one id and different texts count as one item.
 - Repeated words, overlapping occurrences and items within items are all found.
 - An empty table on either side gives no hits; other columns pass through ``find_hits``.
@@ -123,7 +124,9 @@ def find_hits(
     plans = materialise(lookup_plans(known, counts, window, points), "plans")
     looked_up = materialise(plans.select(F.explode("points.term").alias("term")).distinct(), "looked-up")
     index = materialise(build_index(docs, looked_up, key, text).sortWithinPartitions("term", "key", "pos"), "postings")
-    candidates = intersect_lists(index, plans, points).join(known, ["item", "item_key"])
+    words_of = known.select(F.col("item").alias("__item"), F.col("item_key").alias("__item_key"), "item_words")
+    same_item = F.col("item").eqNullSafe(F.col("__item")) & (F.col("item_key") == F.col("__item_key"))
+    candidates = intersect_lists(index, plans, points).join(words_of, same_item).drop("__item", "__item_key")
     per_doc = candidates.groupBy("key", "text_key").agg(F.collect_list(F.struct("item", "item_words", "shift")).alias("__candidates"))
     per_doc = materialise(per_doc, "candidates").select(
         F.col("key").alias("__key"), F.col("text_key").alias("__found"), "__candidates"

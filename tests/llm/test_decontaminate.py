@@ -54,6 +54,13 @@ def test_edge_rows(spark, edge_docs, no_docs):
     assert all(r.hits == [] for r in find_hits(edge_docs, items.limit(0)).collect())
 
 
+def test_items_without_an_id_are_found(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "x a b c y"), (3, "none")], "doc_id long, text string")
+    items = [(None, "a b c"), (None, "two three"), (7, "a b c")]
+    rows = found(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: (r.n_hit, r.ids) for r in rows} == {1: (2, [""]), 2: (3, ["", "7"]), 3: (0, [])}
+
+
 def test_words_near_each_other(spark):
     docs = spark.createDataFrame([(1, "red big house"), (2, "house x x x x red"), (3, "big red red house big"), (None, "house red"), (4, None)], "doc_id long, text string")
     queries = spark.createDataFrame([(1, ["red", "house"]), (2, ["big", "red", "house"]), (3, ["red", "never"]), (4, ["x"])], "query long, terms array<string>")
