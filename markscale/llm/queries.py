@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markscale.llm import (
-    decontaminate, html_extract, line_spread, mixing, ngram_join, quality_mil, sharding, stream_dedup, url_filters, warc_zip,
+    decontaminate, html_extract, line_spread, mixing, ngram_join, quality_mil, sharding, stream_dedup, token_alignment,
+    url_filters, warc_zip,
 )
 from markscale.llm.common import table
 from markscale.session import configure, scratch_path
@@ -108,6 +109,12 @@ def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    scored, _ = token_alignment.align(table(spark, sf_dir, "documents"))
+    return scored.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_rendezvous_sharding": sharding_query,
     "op2_line_spread": line_spread_query,
@@ -119,4 +126,5 @@ QUERIES = {
     "op8_quality_mil": quality_query,
     "op9_source_mix": mixing_query,
     "op10_main_text": html_query,
+    "op11_token_alignment": token_alignment_query,
 }
