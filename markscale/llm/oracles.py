@@ -149,6 +149,74 @@ select doc_id, size::bigint as size, source_size, target,
 from places
 """
 
+#: Levels of the unrolled trees: up to 3 ** 12 rows a source, up to 3 ** 5 sources.
+MERKLE_LEVELS, MERKLE_TOP = 12, 5
+
+
+def merkle_field(name: str) -> str:
+    return f"coalesce(octet_length(encode({name}::varchar)) || ':' || {name}::varchar, '-')"
+
+
+def merkle_levels(prefix: str, steps: int) -> str:
+    """Tables prefix0 .. of nodes (g, i, n, h); a lone node stays as it is."""
+    return ", ".join(
+        f"""{prefix}{k + 1} as (
+    select g, i, (max(n) + 2) // 3 as n,
+        case when max(n) > 1 then sha256(string_agg(h, '' order by i0)) else max(h) end as h
+    from (select g, i as i0, i // 3 as i, n, h from {prefix}{k}) group by g, i
+)"""
+        for k in range(steps)
+    )
+
+
+def merkle_paths(name: str, prefix: str, steps: int) -> str:
+    """Tables name0 .. of rows (r, g, i, proof, folded), moved up level by level."""
+    return ", ".join(
+        f"""{name}{k + 1} as (
+    select r, p.g, i // 3 as i, proof || coalesce(l, '') || coalesce(m, '') as proof,
+        case when n > 1 then sha256(coalesce(l, '') || folded || coalesce(m, '')) else folded end as folded
+    from (select p.r, p.g, p.i, p.proof, p.folded, max(s.n) as n,
+            string_agg(s.h, '' order by s.i) filter (s.i < p.i) as l, string_agg(s.h, '' order by s.i) filter (s.i > p.i) as m
+          from {name}{k} p join {prefix}{k} s on s.g = p.g and s.i // 3 = p.i // 3
+          group by p.r, p.g, p.i, p.proof, p.folded) p
+)"""
+        for k in range(steps)
+    )
+
+
+MERKLE = f"""
+with recursive steps(n, c, round) as (
+    select n, n, 0 from range(256) t(n)
+    union all
+    select n, {CRC_STEP}, round + 1 from steps where round < 8
+), crc_table as (
+    select list(c order by n) as crcs from steps where round = 8
+), prints as (
+    select *, xor(list_reduce(
+            list_transform(regexp_extract_all(hex(encode(doc_id::varchar)), '..'), lambda b: ('0x' || b)::bigint),
+            lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as crc
+    from documents, crc_table
+), leaves as (
+    select row_number() over () as r, doc_id, coalesce('=' || source, '') as g,
+        sha256({" || ".join(merkle_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) as leaf,
+        sha256({" || ".join(merkle_field(c) for c in ("doc_id", "source", "lang", "n_chars"))} || case when crc % 2 = 0
+            then {merkle_field("replace(text, chr(10), '')")} else {merkle_field("text")} end) as changed
+    from prints
+), s0 as (
+    select r, g, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i,
+        count(*) over (partition by g) as n, leaf as h, changed from leaves
+), {merkle_levels("s", MERKLE_LEVELS)}, t0 as (
+    select 0 as g, row_number() over (order by encode(g)) - 1 as i, count(*) over () as n, h, g as name from s{MERKLE_LEVELS}
+), {merkle_levels("t", MERKLE_TOP)}, p0 as (
+    select r, g, i, '' as proof, changed as folded from s0
+), {merkle_paths("p", "s", MERKLE_LEVELS)}, q0 as (
+    select r, 0 as g, t0.i, proof, folded from p{MERKLE_LEVELS} p join t0 on t0.name = p.g
+), {merkle_paths("q", "t", MERKLE_TOP)}
+select doc_id, leaf, t0.h as subroot, top.h as root, sha256(proof) as proof_sha256, folded as folded_root,
+    folded = top.h as verified
+from leaves join q{MERKLE_TOP} using (r) join t0 on t0.name = leaves.g, t{MERKLE_TOP} top
+"""
+
 ORACLES = {
     "op1_rendezvous_sharding": SHARDING,
     "op2_line_spread": LINE_SPREAD,
@@ -157,4 +225,5 @@ ORACLES = {
     "op6_stream_dedup": STREAM_DEDUP,
     "op7_decontamination": DECONTAMINATION,
     "op9_source_mix": SOURCE_MIX,
+    "op13_merkle_manifest": MERKLE,
 }

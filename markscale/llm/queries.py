@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markscale.llm import (
-    decontaminate, html_extract, line_spread, mixing, ngram_join, quality_mil, sharding, stream_dedup, token_alignment,
+    decontaminate, html_extract, line_spread, merkle_manifest, mixing, ngram_join, quality_mil, sharding, stream_dedup, token_alignment,
     url_filters, warc_zip,
 )
 from markscale.llm.common import table
@@ -115,6 +115,24 @@ def token_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("groups", "groups_sha256")
 
 
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    fields = ("doc_id", "source", "lang", "n_chars")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = docs.select(
+        "doc_id", "source",
+        merkle_manifest.leaf(*map(F.col, fields), text).alias("leaf"),
+        F.when(hit, merkle_manifest.leaf(*map(F.col, fields), F.replace(text, F.lit("\n"), F.lit("")))).alias("tampered"),
+    )
+    found = merkle_manifest.manifest(rows, "source", "doc_id", "leaf")
+    folded = found.withColumn("folded_root", merkle_manifest.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_rendezvous_sharding": sharding_query,
     "op2_line_spread": line_spread_query,
@@ -127,4 +145,5 @@ QUERIES = {
     "op9_source_mix": mixing_query,
     "op10_main_text": html_query,
     "op11_token_alignment": token_alignment_query,
+    "op13_merkle_manifest": merkle_query,
 }
