@@ -217,6 +217,24 @@ select doc_id, leaf, t0.h as subroot, top.h as root, sha256(proof) as proof_sha2
 from leaves join q{MERKLE_TOP} using (r) join t0 on t0.name = leaves.g, t{MERKLE_TOP} top
 """
 
+CHAT_FORMAT = r"""
+with rows as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all
+    select -7, turn, role, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) t(turn, role)
+), shown as (
+    select *, '### ' || replace(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>'), ': ', ':\ ') || ': '
+        || replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>') || '</turn>' || chr(10) as formatted
+    from rows
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(length(formatted))::bigint as formatted_chars
+from shown group by conv_id
+"""
+
 ORACLES = {
     "op1_rendezvous_sharding": SHARDING,
     "op2_line_spread": LINE_SPREAD,
@@ -225,5 +243,6 @@ ORACLES = {
     "op6_stream_dedup": STREAM_DEDUP,
     "op7_decontamination": DECONTAMINATION,
     "op9_source_mix": SOURCE_MIX,
+    "op12_chat_format": CHAT_FORMAT,
     "op13_merkle_manifest": MERKLE,
 }

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markscale.llm import (
-    decontaminate, html_extract, line_spread, merkle_manifest, mixing, ngram_join, quality_mil, sharding, stream_dedup, token_alignment,
+    chat_format, decontaminate, html_extract, line_spread, merkle_manifest, mixing, ngram_join, quality_mil, sharding, stream_dedup, token_alignment,
     url_filters, warc_zip,
 )
 from markscale.llm.common import table
@@ -115,6 +115,55 @@ def token_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("groups", "groups_sha256")
 
 
+#: A conversation of its own whose texts hold the template's marks.
+MARKED = [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+def as_records(conversations: DataFrame) -> DataFrame:
+    """Every conversation as one JSON object, in one of the layouts that its turns fit, picked by its id."""
+    turns = F.col("turns")
+    texts, roles = F.col("turns.text"), F.col("turns.role")
+    pick = F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
+
+    def listed(path: str, role: str, text: str, named=lambda r: r) -> Column:
+        return F.transform(turns, lambda t: F.struct(named(t["role"]).alias(role), t["text"].alias(text))).alias(path)
+
+    def from_role(role):
+        return F.when(role == "user", F.lit("human")).when(role == "assistant", F.lit("gpt")).otherwise(role)
+
+    pair = roles == F.array(F.lit("user"), F.lit("assistant"))
+    triple = roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
+    system = F.when(triple, texts[0])
+    user, answer = F.element_at(texts, -2), F.element_at(texts, -1)
+    cut = F.instr(user, "\n")
+    split = (cut > 1) & (cut < F.char_length(user))
+    first = F.when(split, F.substring(user, F.lit(1), cut - 1)).otherwise(user)
+    rest = F.when(split, F.substring(user, cut + 1, F.char_length(user)))
+    known = F.forall(roles, lambda r: r.isin("system", "user", "assistant"))
+    record = (
+        F.when((pick == 1) & known, F.to_json(F.struct(listed("conversations", "from", "value", from_role))))
+        .when((pick == 2) & (pair | triple), F.to_json(F.struct(system.alias("system"), first.alias("instruction"), rest.alias("input"), answer.alias("output"))))
+        .when((pick == 3) & (pair | triple), F.to_json(F.struct(system.alias("system"), user.alias("prompt"), answer.alias("response"))))
+        .when(pick == 4, F.to_json(F.struct(F.struct(listed("turns", "speaker", "utterance")).alias("dialog"))))
+        .otherwise(F.to_json(F.struct(listed("messages", "role", "content"))))
+    )
+    return conversations.select("conv_id", record.alias("record"))
+
+
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(MARKED, rows.schema))
+    records = as_records(chat_format.turns_of_rows(rows, "conv_id"))
+    formatted = chat_format.render(chat_format.canonical_turns(records, "record"))
+    found = chat_format.read_back(formatted)
+    return found.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), chat_format.turns_digest(F.col("turns")).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.col("text")
@@ -145,5 +194,6 @@ QUERIES = {
     "op9_source_mix": mixing_query,
     "op10_main_text": html_query,
     "op11_token_alignment": token_alignment_query,
+    "op12_chat_format": chat_query,
     "op13_merkle_manifest": merkle_query,
 }

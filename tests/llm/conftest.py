@@ -18,7 +18,7 @@ def sf_dir():
 @pytest.fixture(scope="session")
 def duck(sf_dir):
     connection = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
         connection.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     return connection
 
