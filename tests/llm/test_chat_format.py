@@ -121,7 +121,9 @@ def test_rows_by_turn(spark):
 
 
 def test_the_querys_records_come_in_all_layouts_and_lose_nothing(spark, sf_dir):
-    turns = C.turns_of_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    pairs = [(-1 - i, k, role, f"{role} {i}\nmore") for i in range(40) for k, role in enumerate(("user", "assistant"))]
+    turns = C.turns_of_rows(rows.unionByName(spark.createDataFrame(pairs, rows.schema)), "conv_id")
     found = C.canonical_turns(as_records(turns), "record").withColumnRenamed("turns", "found")
     joined = turns.join(found, "conv_id").collect()
     assert {r.layout for r in joined} == {"messages", "conversations", "dialog", "instruction", "prompt"}
