@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from markscale.functions.records import object_text
 from markscale.operators import prep
 from markscale.operators.report import report
 from markscale.sources.jsonl import parse_records, parse_rows
@@ -28,5 +29,5 @@ def test_report_over_arriving_files(spark, write_lines):
 def test_rows_are_cleaned_as_they_arrive(spark, write_lines):
     folder = write_lines(a=['{",language":"ZH","id":1}', ""])
     rows = prep.normalize(parse_records(stream_lines(spark, folder)))
-    out = drain(rows.select(F.to_json("record").alias("line")), "append", "clean_rows")
+    out = drain(rows.select(object_text(F.col("record")).alias("line")), "append", "clean_rows")
     assert [r.line for r in out.collect()] == ['{"id":"1","language":"cn"}']
