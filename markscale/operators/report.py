@@ -1,7 +1,8 @@
 """Accuracy and mean similarity, with standard errors, by model, language, task and item.
 
-All four tables come out of one grouping-sets aggregation: one scan, partial aggregation in every
-task (so a group that holds most rows still shuffles as one small row per task), one exchange.
+Rows are aggregated once, into the finest groups that the wanted tables need, with partial aggregation in every
+task (so a group that holds most rows still shuffles as one small row per task). The states of these
+groups are written, and the coarser tables are merged from them, each from the smallest table that has its keys.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from markscale.functions.fields import (
     task_from_id,
     verdict_label,
 )
+from markscale.operators.measures import Measure, State, count_where, mean, row_count, share
 from markscale.operators.model_jobs import JUDGE_COLUMN
 from markscale.operators.skew import lookup_join
 from markscale.session import materialise
@@ -36,9 +38,13 @@ TABLES = {
 }
 BY_FILE = "by_file"
 
+# The columns of the standard measures.
 MEASURES = ["n_total", "similarity_mean", "similarity_se", "accuracy", "accuracy_se"]
+STANDARD = (row_count(), mean("similarity"), share("accuracy", lambda: F.col("is_correct")))
+UNKNOWN_VERDICTS = count_where("n_unknown", lambda: F.col("llm_label") == "unknown")
 
 _KEYS = ["source_file", "model", "language", "id", "task_type"]
+_ROWS, _HAS = "_rows", "_has_score"
 
 
 def derive_fields(df: DataFrame, *, judge_col: str = JUDGE_COLUMN) -> DataFrame:
@@ -61,40 +67,106 @@ def derive_fields(df: DataFrame, *, judge_col: str = JUDGE_COLUMN) -> DataFrame:
     ).withColumn("is_correct", is_correct(F.col("llm_label")))
 
 
-def _moments(name: str) -> dict[str, Column]:
-    value = F.col(name)
-    return {f"{name}_n": F.count(value), f"{name}_mean": F.avg(value), f"{name}_sd": F.stddev_samp(value)}
+class _States:
+    """The states of all measures over one or more score columns, as columns of one table."""
 
+    def __init__(self, scores: Sequence[str], measures: Sequence[Measure]):
+        self.parts = [(f"_{score}_{k}_", F.col(score), measure) for score in scores for k, measure in enumerate(measures)]
 
-def _error_of_mean(count: Column, deviation: Column) -> Column:
-    null = F.lit(None).cast("double")
-    return F.when(count == 1, F.lit(0.0)).otherwise(F.nanvl(deviation / F.sqrt(count), null))
+    def _all(self, of) -> State:
+        return {f"{prefix}{name}": value for prefix, score, m in self.parts for name, value in of(prefix, score, m).items()}
 
+    def _columns(self, prefix: str, score: Column, measure: Measure, mark: str = "") -> State:
+        return {name: F.col(f"{mark}{prefix}{name}") for name in measure.initial(score)}
 
-def _grouped(rows: DataFrame, scores: list[str], tables: dict[str, list[str]], count_unknown: bool) -> DataFrame:
-    """Groups of all ``tables`` in one aggregation; keys that a table lacks are NULL."""
-    measures = {"n_total": F.count("*"), "accuracy": F.avg(F.col("is_correct").cast("double"))}
-    for name in scores:
-        measures.update(_moments(name))
-    if BY_FILE in tables:
-        measures["has_score"] = F.max("has_score")
-    if count_unknown:
-        measures["n_unknown"] = F.count_if(F.col("llm_label") == "unknown")
+    def initial(self) -> State:
+        return self._all(lambda prefix, score, m: m.initial(score))
+
+    def merge(self) -> State:
+        return self._all(lambda prefix, score, m: m.merge(self._columns(prefix, score, m)))
+
+    def centred(self) -> State:
+        def of(prefix, score, m):
+            merged = {name: F.col(f"_to{prefix}{name}") for name in m.merge(self._columns(prefix, score, m))}
+            return m.centred(self._columns(prefix, score, m), merged) if m.centred else {}
+
+        return self._all(of)
+
+    def finish(self, pick: Column | None = None) -> State:
+        """The measures' columns; with two scores those of the first where ``pick`` holds, else of the second."""
+        found = [m.finish(self._columns(prefix, score, m)) for prefix, score, m in self.parts]
+        if pick is None:
+            return {name: value for columns in found for name, value in columns.items()}
+        half = len(found) // 2
+        pairs = zip(found[:half], found[half:])
+        return {name: F.when(pick, a[name]).otherwise(b[name]) for a, b in pairs for name in a}
+
+
+def _extra(initial: bool, by_file: bool) -> State:
+    if not by_file:
+        return {}
+    rows = {_ROWS: F.count(F.lit(1)) if initial else F.sum(_ROWS)}
+    return rows | {_HAS: F.max("has_score" if initial else _HAS)}
+
+
+def _aggregated(df: DataFrame, keys: list[str], values: State) -> DataFrame:
+    return df.groupBy(*keys).agg(*(value.alias(name) for name, value in values.items()))
+
+
+def _merged(groups: DataFrame, keys: list[str], states: _States, by_file: bool) -> DataFrame:
+    """The groups of fewer ``keys`` from the states of finer ones."""
+    merge, centred = states.merge() | _extra(False, by_file), states.centred()
+    if not centred:
+        return _aggregated(groups, keys, merge)
+    # What the union comes to goes back to its parts: one row per coarse group, so a small side of the join.
+    totals = _aggregated(groups, keys, states.merge())
+    totals = totals.select(*(F.col(k).alias(f"_of_{k}") for k in keys), *(F.col(c).alias(f"_to{c}") for c in states.merge()))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    return _aggregated(groups.join(totals, same), keys, merge | centred)
 
+
+def _rolled_up(rows: DataFrame, tables: dict[str, list[str]], states: _States) -> dict[str, DataFrame]:
+    """The groups of every table. ``rows`` is read once."""
+    by_file = BY_FILE in tables
+    sets = {name: ["source_file", *keys] for name, keys in tables.items()}
+    finest = [key for key in _KEYS if any(key in keys for keys in sets.values())]
+    initial = states.initial() | _extra(True, by_file)
+    base = _aggregated(rows, finest, initial)
+    if list(sets.values()) == [finest]:
+        return {name: base for name in sets}
+    # From the finest on, each table is made of the smallest one before it that has its keys.
+    known, found = [(finest, materialise(base, "report-groups"))], {}
+    for name, keys in sorted(sets.items(), key=lambda item: -len(item[1])):
+        have, source = min((k for k in known if set(keys) <= set(k[0])), key=lambda k: len(k[0]))
+        made = source if set(have) == set(keys) else _merged(source, keys, states, by_file)
+        if made is not source and any(set(other) < set(keys) for other in sets.values()):
+            made = materialise(made, f"report-{name}")
+            known.append((keys, made))
+        found[name] = made
+    return found
+
+
+def _together(found: dict[str, DataFrame]) -> DataFrame:
+    """All tables as one; keys that a table lacks are NULL."""
+
+    def shaped(name: str, groups: DataFrame) -> DataFrame:
+        keys = [F.col(k) if k in groups.columns else F.lit(None).cast("string").alias(k) for k in _KEYS]
+        return groups.select(F.lit(name).alias("table"), *keys, *(c for c in groups.columns if c not in _KEYS))
+
+    return reduce(lambda a, b: a.unionByName(b), (shaped(*item) for item in found.items()))
+
+
+def _streamed(rows: DataFrame, tables: dict[str, list[str]], states: _States) -> DataFrame:
+    """All tables in one aggregation over grouping sets: a stream can be aggregated only once."""
     sets = {name: ["source_file", *keys] for name, keys in tables.items()}
-    used = [key for key in _KEYS if any(key in keys for keys in sets.values())]
-    if len(sets) == 1:
-        grouped, table = rows.groupBy(*used), F.lit(next(iter(sets)))
-    else:
-        grouped = rows.groupingSets(list(sets.values()), *used)
-        table = F.coalesce(
-            *(
-                F.when(reduce(and_, (F.grouping(key) == int(key not in keys) for key in used)), F.lit(name))
-                for name, keys in sets.items()
-            )
+    table = F.coalesce(
+        *(
+            F.when(reduce(and_, (F.grouping(key) == int(key not in keys) for key in _KEYS)), F.lit(name))
+            for name, keys in sets.items()
         )
-    groups = grouped.agg(table.alias("table"), *(value.alias(name) for name, value in measures.items()))
-    return groups.withColumns({key: F.lit(None).cast("string") for key in _KEYS if key not in used})
+    )
+    grouped = rows.groupingSets(list(sets.values()), *_KEYS)
+    return grouped.agg(table.alias("table"), *(value.alias(name) for name, value in states.initial().items()))
 
 
 def _complete_keys(groups: DataFrame) -> DataFrame:
@@ -103,18 +175,8 @@ def _complete_keys(groups: DataFrame) -> DataFrame:
     return groups.filter(F.col("model").isNotNull() & ~no_id)
 
 
-def _result(groups: DataFrame, count: Column, mean: Column, deviation: Column, extra: list[str]) -> DataFrame:
-    share, size = F.col("accuracy"), F.col("n_total")
-    return groups.select(
-        "table",
-        *_KEYS,
-        "n_total",
-        mean.alias("similarity_mean"),
-        _error_of_mean(count, deviation).alias("similarity_se"),
-        "accuracy",
-        F.sqrt(share * (1 - share) / size).alias("accuracy_se"),
-        *extra,
-    )
+def _result(groups: DataFrame, values: State) -> DataFrame:
+    return groups.select("table", *_KEYS, *(value.alias(name) for name, value in values.items()))
 
 
 def report(
@@ -123,14 +185,18 @@ def report(
     judge_col: str = JUDGE_COLUMN,
     tables: Sequence[str] = tuple(TABLES),
     score_source: str = "by_file",
+    measures: Sequence[Measure] = STANDARD,
     count_unknown: bool = False,
 ) -> DataFrame:
-    """One row per group of each of ``tables``: ``table``, the keys, and the measures.
+    """One row per group of each of ``tables``: ``table``, the keys, and the columns of the ``measures``.
 
     ``score_source`` names the score column, or is ``"by_file"``: then a file uses ``similarity``
     if any of its rows has the key, else ``strict_semantic_score``. If both columns exist, both are
     aggregated in the one pass and the choice is made on the small result. ``count_unknown`` adds
     ``n_unknown``, the rows without a readable verdict.
+
+    With more than one table the rows are aggregated, and the finest groups written, when this is called. A
+    stream is aggregated over grouping sets instead.
     """
     if "source_file" not in df.columns:
         df = df.withColumn("source_file", F.lit("all"))
@@ -142,54 +208,47 @@ def report(
         if score_source not in types:
             raise ValueError(f"no column {score_source!r}")
         known = [score_source]
-    extra = ["n_unknown"] if count_unknown else []
+    if count_unknown:
+        measures = [*measures, UNKNOWN_VERDICTS]
     if len(known) == 2:
-        return choose_score(two_score_groups(df, count_unknown, tables=tables, judge_col=judge_col), extra)
+        return choose_score(two_score_groups(df, measures, tables=tables, judge_col=judge_col), measures)
 
-    rows = derive_fields(df.filter(F.col("model").isNotNull()), judge_col=judge_col)
     value = coerce_score(F.col(f"`{known[0]}`"), types[known[0]]) if known else F.lit(None).cast("double")
-    scored = rows.select(*_KEYS, "llm_label", "is_correct", value.alias("score"))
-    groups = _complete_keys(_grouped(scored, ["score"], {t: TABLES[t] for t in tables}, count_unknown))
-    return _result(groups, F.col("score_n"), F.col("score_mean"), F.col("score_sd"), extra)
+    rows = derive_fields(df.filter(F.col("model").isNotNull()).withColumn("score", value), judge_col=judge_col)
+    states, wanted = _States(["score"], measures), {t: TABLES[t] for t in tables}
+    groups = _streamed(rows, wanted, states) if df.isStreaming else _together(_rolled_up(rows, wanted, states))
+    return _result(_complete_keys(groups), states.finish())
 
 
 def two_score_groups(
     df: DataFrame,
-    count_unknown: bool = False,
+    measures: Sequence[Measure] = STANDARD,
     *,
     tables: Sequence[str] = tuple(TABLES),
     judge_col: str = JUDGE_COLUMN,
 ) -> DataFrame:
-    """Written table of groups with the measures of both scores, and one group per file."""
+    """Groups with the states of both scores, and one group per file. Aggregates the rows when it is called."""
     types = {field.name: field.dataType for field in df.schema.fields}
-    both = derive_fields(df, judge_col=judge_col).select(
-        *_KEYS,
-        "llm_label",
-        "is_correct",
-        F.col(SCORE).isNotNull().alias("has_score"),
-        coerce_score(F.col(SCORE), types[SCORE]).alias("score"),
-        coerce_score(F.col(FALLBACK_SCORE), types[FALLBACK_SCORE]).alias("fallback"),
+    scored = df.withColumns(
+        {
+            "has_score": F.col(SCORE).isNotNull(),
+            "score": coerce_score(F.col(SCORE), types[SCORE]),
+            "fallback": coerce_score(F.col(FALLBACK_SCORE), types[FALLBACK_SCORE]),
+        }
     )
     sets = {**{t: TABLES[t] for t in tables}, BY_FILE: []}
-    groups = _grouped(both, ["score", "fallback"], sets, count_unknown)
-    return materialise(groups, "report-groups", partition_by=("table",))
+    return _together(_rolled_up(derive_fields(scored, judge_col=judge_col), sets, _States(["score", "fallback"], measures)))
 
 
-def choose_score(groups: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Pick the score of every file from the groups of :func:`two_score_groups`."""
-    files = groups.filter(F.col("table") == BY_FILE).select(
-        "source_file", F.col("has_score").alias("_has"), F.col("n_total").alias("_rows")
-    )
-    tables = _complete_keys(groups.filter(F.col("table") != BY_FILE))
-    chosen = lookup_join(tables, files, "source_file", "_rows")
-    pick = {
-        part: F.when(F.col("_has"), F.col(f"score_{part}")).otherwise(F.col(f"fallback_{part}"))
-        for part in ("n", "mean", "sd")
-    }
-    return _result(chosen, pick["n"], pick["mean"], pick["sd"], extra or [])
+def choose_score(groups: DataFrame, measures: Sequence[Measure] = STANDARD) -> DataFrame:
+    """Pick the score of every file from the groups of :func:`two_score_groups`. Counts the files' rows when it is called."""
+    files = groups.filter(F.col("table") == BY_FILE).select("source_file", F.col(_HAS).alias("_has"), F.col(_ROWS).alias("_n"))
+    tables = _complete_keys(groups.filter(F.col("table") != BY_FILE)).drop(_ROWS, _HAS)
+    chosen = lookup_join(tables, files, "source_file", "_n")
+    return _result(chosen, _States(["score", "fallback"], measures).finish(F.col("_has")))
 
 
 def result_table(results: DataFrame, name: str) -> DataFrame:
     """One of the four tables with its own keys, from the rows of :func:`report`."""
-    extra = [c for c in results.columns if c == "n_unknown"]
-    return results.filter(F.col("table") == name).select("source_file", *TABLES[name], *MEASURES, *extra)
+    columns = [c for c in results.columns if c != "table" and c not in _KEYS]
+    return results.filter(F.col("table") == name).select("source_file", *TABLES[name], *columns)

@@ -20,7 +20,8 @@ from markscale.functions.fields import (
 )
 from markscale.functions.templates import chat_messages
 from markscale.operators import model_jobs, prep, prompts, similarity
-from markscale.operators.report import MEASURES, TABLES, report, result_table
+from markscale.operators.measures import Measure
+from markscale.operators.report import MEASURES, STANDARD, TABLES, report, result_table
 from markscale.plans import stages, stubs, views
 from markscale.session import deal, scratch_path
 from markscale.sources import sinks
@@ -80,6 +81,20 @@ def _unknown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_table(results, "by_model").select("model", "n_total", "n_unknown")
 
 
+#: A measure that the library does not ship: how far scores reach, and how many reach one.
+REACH = Measure(
+    initial=lambda score: {"low": F.min(score), "top": F.max(score), "high": F.count_if(score >= 1), "n": F.count(score)},
+    merge=lambda s: {"low": F.min(s["low"]), "top": F.max(s["top"]), "high": F.sum(s["high"]), "n": F.sum(s["n"])},
+    finish=lambda s: {"score_range": s["top"] - s["low"], "high_share": s["high"] / F.nullif(s["n"], F.lit(0))},
+)
+
+
+def _own_measures_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _eval_rows(spark, sf_dir).withColumnRenamed("sim", "similarity")
+    results = report(rows, judge_col="judge", measures=[*STANDARD, REACH])
+    return _rounded(results, *FLOATS, "score_range", "high_share").drop("source_file")
+
+
 # Fields ---------------------------------------------------------------------------------------
 
 
@@ -363,6 +378,7 @@ QUERIES: dict[str, Query] = {
     "report_all": _eval_report,
     "report_all_lineitem": _lineitem_report,
     "report_unknown_verdicts": _unknown_report,
+    "report_own_measures": _own_measures_report,
     "verdict_label": _field("judge", "llm_label", verdict_label),
     "correct_flag": _field("judge", "is_correct", lambda c: is_correct(verdict_label(c))),
     "language_from_id": _field("id", "language", language_from_id),

@@ -36,7 +36,9 @@ g as (select case when grouping(id) = 0 then 'by_model_language_id' when groupin
              round(avg(case when llm_label = 'correct' then 1e0 else 0e0 end), 6) as accuracy,
              round(sqrt(avg(case when llm_label = 'correct' then 1e0 else 0e0 end)
                    * avg(case when llm_label = 'correct' then 0e0 else 1e0 end) / count(*)), 6) as accuracy_se,
-             count(*) filter (llm_label = 'unknown') as n_unknown
+             count(*) filter (llm_label = 'unknown') as n_unknown,
+             round(max(score) - min(score), 6) as score_range,
+             round(count(*) filter (score >= 1) / nullif(count(score), 0), 6) as high_share
       from f group by {_GROUPING_SETS})
 select {columns} from g
 where not ("table" = 'by_model_language_id' and id is null) and {where}
@@ -208,6 +210,7 @@ ORACLES: dict[str, str] = {
     "report_by_model_task": _table("by_model_task", "model, task_type"),
     "report_all": _report(EVAL_ROWS, _ALL),
     "report_all_lineitem": _report(LINE_ROWS, _ALL),
+    "report_own_measures": _report(EVAL_ROWS, f"{_ALL}, score_range, high_share"),
     "report_unknown_verdicts": _report(EVAL_ROWS, "model, n_total, n_unknown", "\"table\" = 'by_model'"),
     "verdict_label": f"select doc_id, {_LABEL} as llm_label from ({EVAL_ROWS})",
     "correct_flag": f"select doc_id, {_LABEL} = 'correct' as is_correct from ({EVAL_ROWS})",

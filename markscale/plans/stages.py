@@ -5,15 +5,20 @@ Rows keep every key they came with. Each function replaces what its output folde
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markscale.functions import records as R
 from markscale.functions.templates import ANSWER_TEMPLATE, JUDGE_TEMPLATE
 from markscale.operators import model_jobs, prep, similarity
+from markscale.operators.measures import Measure
 from markscale.operators.report import (
     BY_FILE,
+    STANDARD,
     TABLES,
+    UNKNOWN_VERDICTS,
     choose_score,
     result_table,
     two_score_groups,
@@ -173,11 +178,12 @@ def aggregate(
     target: str | None = None,
     *,
     on_empty: str = "error",
+    measures: Sequence[Measure] = STANDARD,
     count_unknown: bool = False,
     pattern: str | None = JSONL,
     written: bool = False,
 ) -> DataFrame:
-    """Report over every file of a folder; with ``target`` also as CSV tables.
+    """Report over every file of a folder, of any ``measures``; with ``target`` also as CSV tables.
 
     The tables of a file go to ``<target>/<table>/source_file=<file>_<table>``. A file without any
     valid row is an error, or is left out under ``on_empty="skip"``.
@@ -185,14 +191,15 @@ def aggregate(
     if on_empty not in ("error", "skip"):
         raise ValueError("on_empty is 'error' or 'skip'")
     rows = read_rows(spark, source, pattern=pattern, written=written)
-    groups = two_score_groups(rows, count_unknown)
+    measures = [*measures, UNKNOWN_VERDICTS] if count_unknown else measures
+    groups = two_score_groups(rows, measures)
     if on_empty == "error":
         seen = groups.filter(F.col("table") == BY_FILE).select("source_file")
         empty = list_files(spark, source, pattern=pattern, written=written).join(seen, "source_file", "left_anti")
         count, first = empty.agg(F.count("*"), F.min("source_file")).first()
         if count:
             raise ValueError(f"no valid rows in {count} files, the first of them {first!r}")
-    results = choose_score(groups, ["n_unknown"] if count_unknown else [])
+    results = choose_score(groups, measures)
     if target:
         results = materialise(results, "report")  # four sinks read it
         for name, keys in TABLES.items():

@@ -1,9 +1,12 @@
 import json
 import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from markscale.operators import report as report_module
+from markscale.operators.measures import Measure, row_count
 from markscale.operators.report import report, result_table
 from markscale.plans import stages
 from markscale.sources.jsonl import read_rows
@@ -101,11 +104,58 @@ def test_csv_tables(spark, write_lines, tmp_path):
     assert body == ["a,01,1.0,,,0.0,0.0", "b,02,1.0,0.5,0.0,1.0,0.0"]
 
 
-def test_report_is_one_exchange_with_map_side_aggregation(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_rows_are_read_once_and_never_expanded(spark, monkeypatch):
     df = spark.createDataFrame([("en_1", "m", "[Correct]", 1.0)], SCHEMA)
-    plan = report(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
-    assert "partial_avg" in plan and "Expand" in plan and "Sort" not in plan
+    written = []
+    keep = report_module.materialise
+    monkeypatch.setattr(report_module, "materialise", lambda groups, label: written.append(plan_of(groups)) or keep(groups, label))
+    results = report(df)
+    base, *rest = written
+    assert base.count("Exchange") == 1 and "partial_avg" in base and "RDD" in base
+    # All else is made of written groups.
+    assert all("Expand" not in plan for plan in [*written, plan_of(results)])
+    assert all("RDD" not in plan for plan in [*rest, plan_of(results)])
+
+
+def test_groups_keep_their_precision_when_merged(spark):
+    # The spread is a billionth of the values: sums of squares would lose it.
+    values = [(f"en_{i % 50:02}", "m", None, 1e9 + (i % 7) * 1e-1 + (i % 50)) for i in range(3000)]
+    table = groups(report(spark.createDataFrame(values, SCHEMA)), "by_model", ["model"])
+    spread = statistics.stdev(v[3] for v in values) / math.sqrt(len(values))
+    assert table[("m",)].similarity_se == pytest.approx(spread, rel=1e-6)
+    assert table[("m",)].similarity_mean == pytest.approx(statistics.fmean(v[3] for v in values), rel=1e-15)
+
+
+LENGTHS = Measure(
+    initial=lambda score: {"longest": F.max(F.length("answer")), "kinds": F.bit_or(F.when(score > 1, 1).otherwise(2))},
+    merge=lambda state: {"longest": F.max(state["longest"]), "kinds": F.bit_or(state["kinds"])},
+    finish=lambda state: {"longest": state["longest"], "kinds": state["kinds"]},
+)
+
+
+def test_own_measures_over_any_columns(spark):
+    rows = [("en_01", "m", 1.0, "a"), ("en_02", "m", 2.0, "bbb"), ("cn_02", "m", None, None), ("x", "n", 0.0, "cc")]
+    df = spark.createDataFrame(rows, "id string, model string, similarity double, answer string")
+    results = report(df, measures=[row_count(), LENGTHS])
+    assert result_table(results, "by_model").columns == ["source_file", "model", "n_total", "longest", "kinds"]
+    table = groups(results, "by_model", ["model"])
+    assert (table[("m",)].longest, table[("m",)].kinds) == (3, 3)
+    assert (table[("n",)].longest, table[("n",)].kinds) == (2, 2)
+    task = groups(results, "by_model_task", ["model", "task_type"])
+    assert (task[("m", "02")].n_total, task[("m", "02")].longest) == (2, 3)
+
+
+def test_own_measures_follow_the_score_of_each_file(spark, write_lines):
+    lines = ['{"id":"en_01","model":"m","similarity":5,"strict_semantic_score":9}', '{"id":"en_02","model":"m","similarity":7}']
+    other = ['{"id":"en_01","model":"m","strict_semantic_score":3}']
+    top = Measure(lambda score: {"top": F.max(score)}, lambda s: {"top": F.max(s["top"])}, lambda s: {"top": s["top"]})
+    results = stages.aggregate(spark, write_lines(a=lines, b=other), measures=[top], count_unknown=True)
+    found = {(r.source_file, r.top, r.n_unknown) for r in result_table(results, "by_model").collect()}
+    assert found == {("a", 7.0, 2), ("b", 3.0, 1)}
 
 
 def test_one_table_needs_no_expansion(spark):
