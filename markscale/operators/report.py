@@ -71,30 +71,30 @@ class _States:
     """The states of all measures over one or more score columns, as columns of one table."""
 
     def __init__(self, scores: Sequence[str], measures: Sequence[Measure]):
-        self.parts = [(f"_{score}_{k}_", F.col(score), measure) for score in scores for k, measure in enumerate(measures)]
+        self.parts = []
+        for score in scores:
+            for k, measure in enumerate(measures):
+                prefix, initial = f"_{score}_{k}_", measure.initial(F.col(score))
+                self.parts.append((prefix, initial, {name: F.col(f"{prefix}{name}") for name in initial}, measure))
 
     def _all(self, of) -> State:
-        return {f"{prefix}{name}": value for prefix, score, m in self.parts for name, value in of(prefix, score, m).items()}
-
-    def _columns(self, prefix: str, score: Column, measure: Measure, mark: str = "") -> State:
-        return {name: F.col(f"{mark}{prefix}{name}") for name in measure.initial(score)}
+        return {f"{prefix}{name}": value for prefix, initial, state, m in self.parts for name, value in of(prefix, initial, state, m).items()}
 
     def initial(self) -> State:
-        return self._all(lambda prefix, score, m: m.initial(score))
+        return self._all(lambda prefix, initial, state, m: initial)
 
     def merge(self) -> State:
-        return self._all(lambda prefix, score, m: m.merge(self._columns(prefix, score, m)))
+        return self._all(lambda prefix, initial, state, m: m.merge(state))
 
     def centred(self) -> State:
-        def of(prefix, score, m):
-            merged = {name: F.col(f"_to{prefix}{name}") for name in m.merge(self._columns(prefix, score, m))}
-            return m.centred(self._columns(prefix, score, m), merged) if m.centred else {}
+        def of(prefix, initial, state, m):
+            return m.centred(state, {name: F.col(f"_to{prefix}{name}") for name in m.merge(state)}) if m.centred else {}
 
         return self._all(of)
 
     def finish(self, pick: Column | None = None) -> State:
         """The measures' columns; with two scores those of the first where ``pick`` holds, else of the second."""
-        found = [m.finish(self._columns(prefix, score, m)) for prefix, score, m in self.parts]
+        found = [m.finish(state) for _, _, state, m in self.parts]
         if pick is None:
             return {name: value for columns in found for name, value in columns.items()}
         half = len(found) // 2
@@ -119,8 +119,8 @@ def _merged(groups: DataFrame, keys: list[str], states: _States, by_file: bool)
     if not centred:
         return _aggregated(groups, keys, merge)
     # What the union comes to goes back to its parts: one row per coarse group, so a small side of the join.
-    totals = _aggregated(groups, keys, states.merge())
-    totals = totals.select(*(F.col(k).alias(f"_of_{k}") for k in keys), *(F.col(c).alias(f"_to{c}") for c in states.merge()))
+    whole = states.merge()
+    totals = _aggregated(groups, keys, whole).select(*(F.col(k).alias(f"_of_{k}") for k in keys), *(F.col(c).alias(f"_to{c}") for c in whole))
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
     return _aggregated(groups.join(totals, same), keys, merge | centred)
 
@@ -134,15 +134,16 @@ def _rolled_up(rows: DataFrame, tables: dict[str, list[str]], states: _States) -
     base = _aggregated(rows, finest, initial)
     if list(sets.values()) == [finest]:
         return {name: base for name in sets}
-    # From the finest on, each table is made of the smallest one before it that has its keys.
-    known, found = [(finest, materialise(base, "report-groups"))], {}
-    for name, keys in sorted(sets.items(), key=lambda item: -len(item[1])):
-        have, source = min((k for k in known if set(keys) <= set(k[0])), key=lambda k: len(k[0]))
-        made = source if set(have) == set(keys) else _merged(source, keys, states, by_file)
-        if made is not source and any(set(other) < set(keys) for other in sets.values()):
-            made = materialise(made, f"report-{name}")
-            known.append((keys, made))
-        found[name] = made
+    # Each table is made of the smallest other one that has its keys. An id has one language and one task, so
+    # the finest groups with ids are those of the table by id.
+    base = materialise(base, "report-groups")
+    implied = {"language", "task_type"} if "id" in finest else set()
+    found = {name: base for name, keys in sets.items() if set(keys) | implied >= set(finest)}
+    rest = sorted((name for name in sets if name not in found), key=lambda name: -len(sets[name]))
+    parents = {name: min((p for p in rest if set(sets[name]) < set(sets[p])), key=lambda p: len(sets[p]), default=None) for name in rest}
+    for name in rest:
+        made = _merged(found.get(parents[name], base), sets[name], states, by_file)
+        found[name] = materialise(made, f"report-{name}") if name in parents.values() else made
     return found
 
 
