@@ -1,19 +1,23 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame functions only.
 
-The index holds one posting (term, document, position) per token, for the terms that the test items
-look up. It is dealt by documents: every part has the postings of its own documents, so a frequent
-term is spread over all parts and lists of one document meet without a hot key.
+The texts are read once. Every word that any test item has becomes a posting (document, word id, position) in a
+written table; a document has one more row there with its number of words. All that follows reads postings, so
+texts are neither tokenised again nor shuffled. The index is dealt by documents: every part has the postings of its
+own documents, so a frequent word is spread over all parts and lists of one document meet without a hot key.
 
 For every window of an item, the ``points`` rarest of its words are looked up. The list of the
 rarest is read first; each further list, offset-adjusted, only keeps candidates that it continues.
-What is left (document, item, shift) is compared word by word, which also finds all windows along
-the same shift. Rarity is the number of occurrences in all documents.
+What is left (document, item, shift) is compared word by word with the postings; unbroken runs of at least a window
+are the phrase matches, all windows along the same shift at once. Rarity is the number of occurrences in all documents.
 
 - A NULL or empty text, or an item without words, has no words and no hits.
 - A NULL item id is an id like any other; ``hit_items`` writes it as an empty string.
 - Rows alike in id and text are judged alike; items of one id and different texts count as one item.
-- Repeated words, overlapping occurrences and items within items are all found.
-- An empty table on either side gives no hits; other columns pass through ``find_hits``.
+- Repeated words, overlapping occurrences and items within items are all found. Texts of any length are read whole.
+- An empty table on either side gives no hits; other columns pass through ``find_hits``, but for those it adds and for
+  names that begin with two underscores, which are reserved.
+
+``find_hits`` and ``judge_documents`` run their jobs when they are called.
 """
 
 from __future__ import annotations
@@ -22,40 +26,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from markscale.llm.common import words
-from markscale.session import materialise
+from markscale.llm.common import lower_ascii, words
+from markscale.session import configure, materialise
 
 WINDOW, POINTS = 13, 3
-#: Terms whose bytes stay below this are sent to every task; more are joined by a shuffle.
+#: Tables of words or documents whose bytes stay below this are sent to every task; larger ones are joined by a shuffle.
 TERM_BYTES = 32 << 20
+#: What stands between words, before A to Z are lower-cased.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def text_hash(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``text_key``, ``pos``, ``term``: a row per word."""
-    rows = df.select(F.col(key).alias("key"), text_hash(F.col(text)).alias("text_key"), words(F.col(text)).alias("__words"))
-    return rows.select("key", "text_key", F.posexplode("__words").alias("pos", "term"))
+def by_size(table: DataFrame, size: Column) -> DataFrame:
+    """A written table, marked for broadcast if its counted bytes allow it."""
+    held = table.agg(F.sum(size + 64)).first()[0] or 0
+    return F.broadcast(table) if held <= TERM_BYTES else table
 
 
-def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """The token rows of ``terms`` (distinct, written). Its bytes are counted before it is broadcast."""
-    held = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    return rows.join(F.broadcast(terms) if held <= TERM_BYTES else terms, "term", "left_semi")
+def with_pieces(df: DataFrame, text: Column) -> DataFrame:
+    """Add ``__words``: the words of a text in order, their case as it stands.
 
+    The split stands behind a generator, so nothing that uses it evaluates it again.
+    """
+    rows = df.withColumn("__split", F.explode(F.array(F.split(F.coalesce(text, F.lit("")), SEPARATORS))))
+    split, size = F.col("__split"), F.size("__split")
+    first = (split[0] == "").cast("int")
+    last = ((size > 1) & (F.element_at(split, -1) == "")).cast("int")
+    return rows.withColumn("__words", F.slice("__split", first + 1, size - first - last)).drop("__split")
 
-def build_index(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings ``term``, ``key``, ``text_key``, ``pos``; of all terms, or of those given."""
-    rows = tokens(docs, key, text)
-    return (rows if terms is None else with_terms(rows, terms)).select("term", "key", "text_key", "pos")
 
+def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``text_key``, ``pos``, ``term``: a row per word."""
+    rows = with_pieces(df.select(F.col(key).alias("key"), text_hash(F.col(text)).alias("text_key"), F.col(text).alias("__text")), F.col("__text"))
+    placed = rows.select("key", "text_key", F.posexplode("__words").alias("pos", "__word"))
+    return placed.select("key", "text_key", "pos", lower_ascii(F.col("__word")).alias("term"))
 
-def term_counts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Occurrences of each given term in all documents; 0 for terms that no document has."""
-    found = with_terms(tokens(docs, key, text), terms).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+
+def build_index(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Postings ``term``, ``key``, ``text_key``, ``pos``; of all terms, or of those given (distinct, written)."""
+    rows = tokens(docs, key, text)
+    if terms is not None:
+        rows = rows.join(by_size(terms, F.octet_length("term")), "term", "left_semi")
+    return rows.select("term", "key", "text_key", "pos")
 
 
 def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -64,16 +79,46 @@ def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
     return rows.where(F.size("item_words") > 0).dropDuplicates(["item", "item_key"])
 
 
-def lookup_plans(items: DataFrame, counts: DataFrame, window: int = WINDOW, points: int = POINTS) -> DataFrame:
+def vocabulary(items: DataFrame) -> DataFrame:
+    """``word``, ``term``: the distinct words of :func:`item_words` with ids from 1; the empty word has the id 0."""
+    distinct = items.select(F.explode("item_words").alias("word")).distinct()
+    numbered = distinct.withColumn("term", F.monotonically_increasing_id() + 1)
+    none = items.sparkSession.createDataFrame([("", 0)], "word string, term long")
+    return materialise(numbered.unionByName(none), "vocabulary")
+
+
+def item_places(items: DataFrame, terms: DataFrame) -> DataFrame:
+    """``item``, ``item_key``, ``size``, ``offset``, ``term``: a row per word of an item."""
+    placed = items.select("item", "item_key", F.size("item_words").alias("size"), F.posexplode("item_words").alias("offset", "word"))
+    return placed.join(terms, "word").drop("word")
+
+
+def postings(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
+    """The written postings ``doc``, ``term``, ``pos`` of the words in ``terms``, the one pass over the texts.
+
+    ``doc`` numbers the rows of ``docs``. Rows of ``head`` have ``key``, ``text_key`` and, as ``pos``, the number of words.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("__text")).withColumn("doc", F.monotonically_increasing_id())
+    rows = with_pieces(rows.withColumn("text_key", text_hash(F.col("__text"))), F.col("__text")).drop("__text")
+    placed = rows.select("doc", "key", "text_key", F.size("__words").alias("n"), F.posexplode(F.concat(F.array(F.lit("")), "__words")).alias("at", "__word"))
+    head = F.col("at") == 0
+    found = placed.withColumn("word", lower_ascii(F.col("__word"))).join(by_size(terms, F.octet_length("word")), "word")
+    table = found.select(
+        "doc", "term", F.when(head, F.col("n")).otherwise(F.col("at") - 1).alias("pos"),
+        F.when(head, F.col("key")).alias("key"), F.when(head, F.col("text_key")).alias("text_key"), head.alias("head"),
+    )
+    return materialise(table, "postings", partition_by=("head",))
+
+
+def lookup_plans(places: DataFrame, counts: DataFrame, window: int = WINDOW, points: int = POINTS) -> DataFrame:
     """Per item the distinct ``points``: (count, term, offset) of the rarest words of its windows, rarest first.
 
     Windows with a word that no document has cannot occur and are left out.
     """
-    placed = items.select("item", "item_key", F.size("item_words").alias("size"), F.posexplode("item_words").alias("offset", "term"))
     length = F.least(F.lit(window), F.col("size"))
     first = F.greatest(F.col("offset") - length + 1, F.lit(0))
     last = F.least(F.col("offset"), F.col("size") - length)
-    in_windows = placed.join(counts, "term").withColumn("at", F.explode(F.sequence(first, last)))
+    in_windows = places.join(counts, "term").withColumn("at", F.explode(F.sequence(first, last)))
     ranked = Window.partitionBy("item", "item_key", "at").orderBy("n", "term", "offset")
     chosen = in_windows.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= points)
     plans = chosen.groupBy("item", "item_key", "at").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("points"))
@@ -81,66 +126,77 @@ def lookup_plans(items: DataFrame, counts: DataFrame, window: int = WINDOW, poin
 
 
 def intersect_lists(index: DataFrame, plans: DataFrame, points: int = POINTS) -> DataFrame:
-    """Distinct ``key``, ``text_key``, ``item``, ``item_key``, ``shift`` that all lists of a plan share."""
+    """Distinct ``doc``, ``item``, ``item_key``, ``shift`` that all lists of a plan share."""
     rarest = plans.withColumns({"term": F.col("points")[0]["term"], "offset": F.col("points")[0]["offset"]})
     found = index.join(rarest, "term").withColumn("shift", F.col("pos") - F.col("offset")).drop("term", "pos", "offset")
     for k in range(1, points):
         point = F.get("points", F.lit(k))
-        lists = index.select(
-            F.col("key").alias("__key"), F.col("text_key").alias("__text_key"), F.col("term").alias("__term"), F.col("pos").alias("__pos")
-        )
         # Only plans of that many points are narrowed further.
-        narrowed = found.where(F.size("points") > k).withColumns({"__t": point["term"], "__p": F.col("shift") + point["offset"]})
-        same = (
-            F.col("key").eqNullSafe(F.col("__key")) & (F.col("text_key") == F.col("__text_key"))
-            & (F.col("__t") == F.col("__term")) & (F.col("__p") == F.col("__pos"))
-        )
-        narrowed = narrowed.join(lists, same, "left_semi").drop("__t", "__p")
+        narrowed = found.where(F.size("points") > k).withColumns({"term": point["term"], "pos": F.col("shift") + point["offset"]})
+        narrowed = narrowed.join(index, ["doc", "term", "pos"], "left_semi").drop("term", "pos")
         found = narrowed.unionByName(found.where(F.size("points") <= k))
-    return found.select("key", "text_key", "item", "item_key", "shift").distinct()
-
-
-def exact_windows(candidate: Column, text_words: Column, window: int) -> Column:
-    """Where the item's windows stand in the document, along one candidate's shift."""
-    item, shift = candidate["item_words"], candidate["shift"]
-    length = F.least(F.lit(window), F.size(item))
-    low = F.greatest(F.lit(0), -shift)
-    high = F.least(F.size(item) - length, F.size(text_words) - length - shift)
-    same = F.filter(
-        F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")),
-        lambda w: F.slice(text_words, shift + w + 1, length) == F.slice(item, w + 1, length),
-    )
-    return F.transform(same, lambda w: F.struct(candidate["item"].alias("item"), (shift + w).alias("start"), length.alias("length")))
+    return found.select("doc", "item", "item_key", "shift").distinct()
+
+
+def exact_runs(candidates: DataFrame, places: DataFrame, index: DataFrame, window: int) -> DataFrame:
+    """Distinct ``doc``, ``item``, ``start``, ``length``: every occurrence of an item's window along the candidates' shifts."""
+    size = places.select(F.col("item").alias("__item"), F.col("item_key").alias("__item_key"), "size", "offset", "term")
+    same = F.col("item").eqNullSafe(F.col("__item")) & (F.col("item_key") == F.col("__item_key"))
+    wanted = candidates.join(size, same).drop("__item", "__item_key").withColumn("pos", F.col("shift") + F.col("offset"))
+    met = wanted.join(index, ["doc", "term", "pos"], "left_semi")
+    # Offsets that follow each other keep their distance from their rank.
+    along = ["doc", "item", "item_key", "shift"]
+    ranked = met.withColumn("run", F.col("offset") - F.row_number().over(Window.partitionBy(*along).orderBy("offset")))
+    runs = ranked.groupBy(*along, "run").agg(F.min("pos").alias("first"), F.count(F.lit(1)).cast("int").alias("n"), F.first("size").alias("size"))
+    length = F.least(F.lit(window), F.col("size"))
+    whole = runs.withColumn("length", length).where(F.col("n") >= F.col("length"))
+    starts = F.sequence(F.col("first"), F.col("first") + F.col("n") - F.col("length"))
+    # Windows of the same words are met along several shifts.
+    return whole.select("doc", "item", F.explode(starts).alias("start"), "length").distinct()
 
 
-def find_hits(
+def judge_documents(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    window: int = WINDOW, points: int = POINTS, words_out: str = "n_words", hits_out: str = "hits",
+    window: int = WINDOW, points: int = POINTS,
 ) -> DataFrame:
-    """``docs`` with ``n_words`` and ``hits`` (or so named): every occurrence (item, first word, length) of an item's window."""
+    """A row per row of ``docs``: ``key``, ``text_key``, ``n_words`` and ``hits``, every occurrence (item, first word, length) of an item's window."""
+    configure(docs.sparkSession)
     known = materialise(item_words(items, item), "items")
-    terms = materialise(known.select(F.explode("item_words").alias("term")).distinct(), "terms")
-    counts = materialise(term_counts(docs, terms, key, text), "term-counts")
-    plans = materialise(lookup_plans(known, counts, window, points), "plans")
+    terms = vocabulary(known)
+    places = materialise(item_places(known, terms), "item-places")
+    table = postings(docs, terms, key, text)
+    index = table.where(~F.col("head")).select("doc", "term", "pos")
+    occurring = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(terms.where("term > 0").select("term").join(occurring, "term", "left").fillna(0, "n"), "term-counts")
+    plans = materialise(lookup_plans(places, counts, window, points), "plans")
     looked_up = materialise(plans.select(F.explode("points.term").alias("term")).distinct(), "looked-up")
-    index = materialise(build_index(docs, looked_up, key, text).sortWithinPartitions("term", "key", "pos"), "postings")
-    words_of = known.select(F.col("item").alias("__item"), F.col("item_key").alias("__item_key"), "item_words")
-    same_item = F.col("item").eqNullSafe(F.col("__item")) & (F.col("item_key") == F.col("__item_key"))
-    candidates = intersect_lists(index, plans, points).join(words_of, same_item).drop("__item", "__item_key")
-    per_doc = candidates.groupBy("key", "text_key").agg(F.collect_list(F.struct("item", "item_words", "shift")).alias("__candidates"))
-    per_doc = materialise(per_doc, "candidates").select(
-        F.col("key").alias("__key"), F.col("text_key").alias("__found"), "__candidates"
-    )
-    rows = docs.withColumn("__text_key", text_hash(F.col(text)))
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text_key") == F.col("__found"))
-    # Texts are shuffled once whatever the number of candidates, so that the plan is one at every size.
-    joined = rows.join(per_doc.hint("merge"), same, "left").withColumn("__words", words(F.col(text)))
-    # Windows of the same words are met along several shifts.
-    hits = F.array_distinct(F.flatten(F.transform("__candidates", lambda c: exact_windows(c, F.col("__words"), window))))
+    lists = materialise(index.join(by_size(looked_up, F.lit(8)), "term", "left_semi"), "looked-up-lists")
+    candidates = materialise(intersect_lists(lists, plans, points), "candidates")
+    in_question = materialise(candidates.select("doc").distinct(), "documents-in-question")
+    near = index.join(by_size(in_question, F.lit(8)), "doc", "left_semi")
+    hits = exact_runs(candidates, places, near, window).groupBy("doc").agg(F.collect_list(F.struct("item", "start", "length")).alias("hits"))
     none = F.array().cast(f"array<struct<item:{items.schema[item].dataType.simpleString()},start:int,length:int>>")
-    return joined.withColumns({words_out: F.size("__words").cast("long"), hits_out: F.coalesce(hits, none)}).drop(
-        "__text_key", "__key", "__found", "__candidates", "__words"
-    )
+    heads = table.where("head").select("doc", "key", "text_key", F.col("pos").cast("long").alias("n_words"))
+    return heads.join(hits, "doc", "left").select("key", "text_key", "n_words", F.coalesce("hits", none).alias("hits"))
+
+
+def find_hits(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+    window: int = WINDOW, points: int = POINTS, words_out: str = "n_words", hits_out: str = "hits",
+) -> DataFrame:
+    """``docs`` with ``n_words`` and ``hits`` (or so named) of :func:`judge_documents`."""
+    judged = judge_documents(docs, items, key, text, item, window, points).dropDuplicates(["key", "text_key"])
+    judged = judged.select(F.col("key").alias("__key"), F.col("text_key").alias("__found"), F.col("n_words").alias("__n"), F.col("hits").alias("__hits"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text_key") == F.col("__found"))
+    joined = docs.withColumn("__text_key", text_hash(F.col(text))).join(judged, same)
+    return joined.withColumns({words_out: F.col("__n"), hits_out: F.col("__hits")}).drop("__text_key", "__key", "__found", "__n", "__hits")
+
+
+def drop_documents(docs: DataFrame, bad: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose ``key`` and ``text_key`` stand in ``bad``. Few of those are sent to every task."""
+    bad = materialise(bad.select(F.col("key").alias("__key"), F.col("text_key").alias("__bad")).distinct(), "dropped")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (text_hash(F.col(text)) == F.col("__bad"))
+    return docs.join(by_size(bad, F.lit(48)), same, "left_anti")
 
 
 def hit_words(hits: Column) -> Column:

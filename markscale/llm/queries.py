@@ -72,9 +72,10 @@ def stream_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.judge_documents(docs, table(spark, sf_dir, "benchmark"))
     counted = found.select(
-        "doc_id", "n_words", decontaminate.hit_words(F.col("hits")).alias("n_hit"), decontaminate.hit_items(F.col("hits")).alias("items")
+        F.col("key").alias("doc_id"), "n_words", decontaminate.hit_words(F.col("hits")).alias("n_hit"),
+        decontaminate.hit_items(F.col("hits")).alias("items"),
     )
     return counted.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

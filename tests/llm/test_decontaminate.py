@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import hits, words
+from markscale.llm import decontaminate
 from markscale.llm.decontaminate import build_index, find_hits, hit_items, hit_words, proximity_matches
 
 
@@ -45,6 +46,22 @@ def test_against_brute_force(spark, window, points):
     check(rows, list(dict.fromkeys(items)), window)
 
 
+def test_tables_too_large_to_broadcast_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "TERM_BYTES", 0)
+    test_against_brute_force(spark, 4, 3)
+    docs = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a b"), (2, None)], "doc_id long, text string")
+    bad = docs.where("text = 'a b'").select(F.col("doc_id").alias("key"), decontaminate.text_hash(F.col("text")).alias("text_key"))
+    assert sorted(map(repr, decontaminate.drop_documents(docs, bad).collect())) == ["Row(doc_id=1, text='c')", "Row(doc_id=2, text=None)"]
+
+
+def test_separators_at_the_ends_and_case(spark):
+    texts = ["", " ", "--", "a", " a", "a ", "--A--b--", "É-Z é", "\x00x\x7f", "Ab\u00a0Cd", "x" * 50_000 + " y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.key: r.terms for r in build_index(docs).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("terms")).collect()}
+    for i, text in enumerate(texts):
+        assert [(t.pos, t.term) for t in found.get(i, [])] == list(enumerate(words(text)))
+
+
 def test_edge_rows(spark, edge_docs, no_docs):
     items = spark.createDataFrame([(1, "漢字"), (2, "other text"), (3, None)], "item_id long, text string")
     rows = found(edge_docs, items)
