@@ -31,9 +31,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents of which benchmark passages cover a twentieth or more."""
-    found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), words_out="__n_words", hits_out="__hits")
-    clean = ~decontaminate.contaminated(decontaminate.hit_words(F.col("__hits")), F.col("__n_words"))
-    return found.where(clean).select(*docs.columns)
+    judged = decontaminate.judge_documents(docs, table(spark, sf_dir, "benchmark"))
+    bad = judged.where(decontaminate.contaminated(decontaminate.hit_words(F.col("hits")), F.col("n_words")))
+    return decontaminate.drop_documents(docs, bad)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
