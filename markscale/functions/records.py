@@ -8,6 +8,7 @@ all of their digits. Edits rely on ``spark.sql.mapKeyDedupPolicy = LAST_WIN`` (s
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,8 +18,10 @@ from pyspark.sql import types as T
 
 from markscale.functions.text import python_float_text
 
-KINDS_TYPE = T.MapType(T.StringType(), T.VariantType())
-TEXTS_TYPE = T.MapType(T.StringType(), T.StringType())
+RECORD_TYPE = T.MapType(T.StringType(), T.StringType())
+
+_encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+_encode_ascii = json.JSONEncoder(separators=(",", ":")).encode
 
 
 def quoted(text: Column) -> Column:
@@ -26,27 +29,37 @@ def quoted(text: Column) -> Column:
     return F.to_json(text.cast("variant"))
 
 
-def json_texts(kinds: Column, texts: Column) -> Column:
-    """The JSON text of every value, from one object read as variants and as texts.
+def _value_text(value) -> str:
+    if isinstance(value, float) and value in (float("inf"), float("-inf")):
+        return "1e999" if value > 0 else "-1e999"
+    text = _encode(value)
+    try:
+        text.encode()
+    except UnicodeEncodeError:  # half of a surrogate pair has no UTF-8
+        text = _encode_ascii(value)
+    return text
 
-    The texts lack the quotes of strings; the variants tell which values are strings. Rows nested too
-    deep for the former are spelled from the latter.
-    """
 
-    def pair(kind: Column, text: Column) -> Column:
-        is_string = (F.schema_of_variant(kind["value"]) == "STRING") & F.try_variant_get(kind["value"], "$", "string").eqNullSafe(text["value"])
-        value = (
-            F.when(is_string, quoted(text["value"]))
-            .when(text["value"].isin('"Infinity"', '"-Infinity"'), F.when(text["value"].contains("-"), F.lit("-1e999")).otherwise(F.lit("1e999")))
-            .otherwise(F.coalesce(text["value"], F.lit("null")))
-        )
-        return F.struct(text["key"].alias("key"), value.alias("value"))
-
-    shallow = F.map_from_entries(F.zip_with(F.map_entries(kinds), F.map_entries(texts), pair))
-    deep = F.map_from_entries(
-        F.transform(F.map_entries(kinds), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value")))
-    )
-    return F.when(texts.isNull(), deep).otherwise(shallow)
+def _pairs(line: str | None) -> list[tuple[str, str]] | None:
+    try:
+        record = json.loads(line.strip()) if line else None
+        if isinstance(record, dict):
+            return [(key.encode("utf-8", "replace").decode(), _value_text(value)) for key, value in record.items()]
+    except (ValueError, RecursionError):
+        pass
+    return None
+
+
+@F.arrow_udf(RECORD_TYPE)
+def record_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """A line that is one JSON object as a record, anything else as NULL. Every line is parsed once.
+
+    Values keep their kind and worth: a quoted number stays a string, ``1.0`` a float, a whole number has all of its digits and the
+    token ``NaN`` stays what it is. A repeated key has its last value.
+    """
+    sys.set_int_max_str_digits(0)
+    for lines in batches:
+        yield pa.array([_pairs(line) for line in lines.to_pylist()], pa.map_(pa.string(), pa.string()))
 
 
 def object_text(record: Column) -> Column:

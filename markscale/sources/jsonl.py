@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markscale.functions.records import KINDS_TYPE, TEXTS_TYPE, json_texts
+from markscale.functions.records import record_of
 from markscale.functions.text import is_visible, let
 
 JSONL = "*.jsonl"
@@ -27,12 +27,10 @@ RESULT_SCHEMA = T.StructType(
     ]
 )
 
-# The parser's own limits are lifted: a text may be as long as Spark can hold. The typed scan steps over
-# what it does not read, however deep. Open-schema rows hold every value, which takes a task's stack, so
-# there a row nested over 1,000 levels deep is an error.
+# The parser's own limits are lifted: a text may be as long as Spark can hold, and the typed scan steps over
+# what it does not read, however deep.
 _NO_LIMIT = str((1 << 31) - 1)
-_JSON_RULES = {"allowSingleQuotes": "false", "maxStringLen": _NO_LIMIT, "maxNumLen": _NO_LIMIT}
-_DEEP_RULES = {**_JSON_RULES, "maxNestingDepth": _NO_LIMIT}
+_JSON_RULES = {"allowSingleQuotes": "false", "maxStringLen": _NO_LIMIT, "maxNumLen": _NO_LIMIT, "maxNestingDepth": _NO_LIMIT}
 _GUARD = "\u0001end"
 _GUARD_JSON = r'{"\u0001end":"1"}'
 
@@ -88,14 +86,10 @@ def read_records(
 
 
 def parse_records(lines: DataFrame, *, blank_lines: str = "skip") -> DataFrame:
-    line = F.col("line")
-    kinds, texts = (
-        _one_object(line, kind, lambda guard: F.map_contains_key(guard, _GUARD)) for kind in (KINDS_TYPE, TEXTS_TYPE)
-    )
-    # A map read from JSON may repeat a key; building it anew keeps the last value.
-    rows = _strict(F.transform(kinds, lambda kind: json_texts(kind, F.get(texts, F.lit(0)))), line, blank_lines)
-    # A generator keeps filters and later columns from parsing the line again.
-    return lines.select("*", F.explode(rows).alias("record"))
+    # Declared non-deterministic, so that filters and later columns never parse the line again.
+    parsed = lines.withColumn("_record", record_of.asNondeterministic()("line"))
+    rows = _strict(F.array("_record"), F.col("_record").isNotNull(), F.col("line"), blank_lines)
+    return parsed.select(*lines.columns, F.explode(rows).alias("record"))
 
 
 def read_rows(
@@ -128,7 +122,7 @@ def parse_rows(
     guarded = T.StructType([*schema.fields, T.StructField(_GUARD, T.StringType())])
     rows = _one_object(line, guarded, lambda guard: guard[_GUARD].isNotNull())
     if strict:
-        rows = _strict(rows, line, blank_lines)
+        rows = _strict(rows, rows.isNotNull(), line, blank_lines)
     return lines.select("source_file", F.inline(rows)).drop(_GUARD)
 
 
@@ -140,19 +134,19 @@ def _one_object(line: Column, row_type: T.DataType, is_guard: Callable[[Column],
     """
     text = F.concat(F.lit("["), line, F.lit(f",{_GUARD_JSON}]"))
     return let(
-        F.from_json(text, T.ArrayType(row_type), _DEEP_RULES if isinstance(row_type, T.StructType) else _JSON_RULES),
+        F.from_json(text, T.ArrayType(row_type), _JSON_RULES),
         lambda rows: F.when(
             (F.size(rows) == 2) & rows[0].isNotNull() & is_guard(rows[1]), F.slice(rows, 1, 1)
         ),
     )
 
 
-def _strict(rows: Column, line: Column, blank_lines: str) -> Column:
+def _strict(rows: Column, known: Column, line: Column, blank_lines: str) -> Column:
     if blank_lines not in ("skip", "error"):
         raise ValueError("blank_lines is 'skip' or 'error'")
     # The error names the row by its digest and beginning: a line may be of any length.
     shown = F.concat_ws(" ", F.lit("not one JSON object:"), F.substring(line, 1, 200), F.lit("md5"), F.md5(line))
-    kept = F.coalesce(rows, F.raise_error(shown))
+    kept = F.when(known, rows).otherwise(F.raise_error(shown))
     if blank_lines == "error":
         return kept
     # The first test answers for nearly every line without decoding it.

@@ -107,9 +107,37 @@ def test_long_and_deep_rows_come_through(spark, write_lines, line):
     folder = write_lines(a=[line])
     row = read_rows(spark, folder).first()
     assert row.id == "x" and len(row["LLMJudge result"] or "") in (0, 21_000_000)
-    if "deep" in line:
-        with pytest.raises(Exception, match="not one JSON object"):
-            read_records(spark, folder).collect()
-        return
     size = read_records(spark, folder).select(F.sum(F.length(object_text(F.col("record"))))).first()[0]
     assert size == len(line)
+
+
+def test_rows_beyond_the_parsers_depth_fail_the_strict_scan_only(spark, write_lines):
+    folder = write_lines(a=['{"id":"x","deep":' + "[" * 100_000 + "]" * 100_000 + "}"])
+    assert read_rows(spark, folder).first().id == "x"
+    with pytest.raises(Exception, match="not one JSON object"):
+        read_records(spark, folder).collect()
+
+
+def test_a_line_is_parsed_once(spark, write_lines):
+    rows = read_records(spark, write_lines(a=['{"id":1}'])).where(F.col("record")["id"] == "1")
+    plan = rows.withColumn("more", F.map_keys("record"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("record_of(") == 1 and "from_json" not in plan
+
+
+@pytest.mark.parametrize(
+    ("line", "written"),
+    [
+        ('{"a":NaN}', '{"a":NaN}'),
+        ('{"a":"NaN","b":"Infinity"}', '{"a":"NaN","b":"Infinity"}'),
+        ('{"a":Infinity,"b":-Infinity}', '{"a":1e999,"b":-1e999}'),
+        ('{"a":[NaN,1.0]}', '{"a":[NaN,1.0]}'),
+        ('{"a":"\\ud83d\\ude00","b":"\\ud83d"}', '{"a":"😀","b":"\\ud83d"}'),
+        ('{"a":1,"b":2,"a":3}', '{"a":3,"b":2}'),
+        ("\u3000{} ", "{}"),
+        ('{"a":' + "9" * 5000 + "}", '{"a":' + "9" * 5000 + "}"),
+        ('{"a":"x\\u2028y/\\/"}', '{"a":"x\u2028y//"}'),
+    ],
+)
+def test_values_are_written_as_they_were_read(spark, write_lines, line, written):
+    rows = read_records(spark, write_lines(a=[line]))
+    assert [r.line for r in rows.select(object_text(F.col("record")).alias("line")).collect()] == [written]
