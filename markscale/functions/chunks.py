@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from markscale.functions.text import is_visible, let, strip
 
@@ -14,9 +17,6 @@ from markscale.functions.text import is_visible, let, strip
 FULL_STOP = "。"
 CHUNK_LIMIT = 24
 
-# Packing copies the list of finished chunks once per block instead of once per sentence.
-_BLOCK = 64
-
 
 def characters(text: Column) -> Column:
     return F.length(text)
@@ -33,6 +33,23 @@ def sentence_chunks(text: Column, delimiter: str = FULL_STOP) -> Column:
     return F.transform(sentences, lambda s: F.concat(s, F.lit(delimiter)))
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _starts(limits: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Where chunks start (from 1, and one past the end), from the running sums of the sentences' sizes.
+
+    Each start is found by bisection, so the steps grow with the chunks of a text and not with its length squared.
+    """
+    limit, found = limits[0].as_py() if len(limits) else 0, []
+    for row in range(len(sizes)):
+        total = np.concatenate(([0], np.cumsum(sizes[row].values.to_numpy(), dtype=np.int64)))
+        starts, at = [], 0
+        while at < len(total) - 1:
+            starts.append(at + 1)
+            at = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
+        found.append([*starts, at + 1])
+    return pa.array(found, pa.list_(pa.int32()))
+
+
 def packed_chunks(
     text: Column,
     delimiter: str = FULL_STOP,
@@ -41,55 +58,18 @@ def packed_chunks(
 ) -> Column:
     """Sentences packed in order into chunks of at most ``limit`` units.
 
-    A text within the limit is one chunk as it stands, and a longer sentence is its own chunk.
+    A text within the limit is one chunk as it stands, and a longer sentence is its own chunk. Only the sizes of
+    sentences leave the JVM; what comes back are the chunks' starts, by which the sentences are sliced once.
     """
-    size = F.lit(limit)
-    measured = F.transform(
-        sentence_chunks(text, delimiter), lambda s: F.struct(s.alias("text"), length(s).alias("units"))
-    )
-    empty = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("units")
-    )
+    long = length(text) > limit
+    none = F.array().cast("array<int>")
+    sizes = F.when(long, F.transform(sentence_chunks(text, delimiter), lambda s: length(s))).otherwise(none)
+    starts = _starts(F.lit(limit), F.coalesce(sizes, none))
 
-    def place(state: Column, sentence: Column) -> Column:
-        total = state["units"] + sentence["units"]
-        fits = total <= size
-        closed = F.when(fits | (state["open"] == ""), state["done"]).otherwise(
-            F.concat(state["done"], F.array(state["open"]))
-        )
-        return F.struct(
-            closed.alias("done"),
-            F.when(fits, F.concat(state["open"], sentence["text"])).otherwise(sentence["text"]).alias("open"),
-            F.when(fits, total).otherwise(sentence["units"]).alias("units"),
-        )
-
-    def place_block(state: Column, block: Column) -> Column:
-        start = F.struct(
-            F.array().cast("array<string>").alias("done"),
-            state["open"].alias("open"),
-            state["units"].alias("units"),
-        )
-        return let(
-            F.aggregate(block, start, place),
-            lambda last: F.struct(
-                F.concat(state["done"], last["done"]).alias("done"),
-                last["open"].alias("open"),
-                last["units"].alias("units"),
-            ),
-        )
-
-    def pack(items: Column) -> Column:
-        starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(_BLOCK))).otherwise(
-            F.array().cast("array<int>")
-        )
-        blocks = F.transform(starts, lambda at: F.slice(items, at, F.lit(_BLOCK)))
-        return F.aggregate(
-            blocks,
-            empty,
-            place_block,
-            lambda last: F.when(last["open"] == "", last["done"]).otherwise(
-                F.concat(last["done"], F.array(last["open"]))
-            ),
-        )
-
-    return F.when(length(text) <= size, F.array(text)).otherwise(let(measured, pack))
+    spans = F.zip_with(
+        F.slice(starts, F.lit(1), F.size(starts) - 1), F.slice(starts, F.lit(2), F.size(starts)), lambda at, end: F.struct(at.alias("at"), (end - at).alias("n"))
+    )
+    # A Python function may stand beside a lambda, not in it.
+    parts = F.struct(sentence_chunks(text, delimiter).alias("sentences"), spans.alias("spans"))
+    packed = let(parts, lambda p: F.transform(p["spans"], lambda c: F.array_join(F.slice(p["sentences"], c["at"], c["n"]), "")))
+    return F.when(long, packed).when(text.isNotNull(), F.array(text))

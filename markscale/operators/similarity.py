@@ -170,31 +170,133 @@ def score_distinct(
     )
 
 
+#: Bytes of sums that a task holds before it passes them on.
+SUM_BYTES = 32 << 20
+
+
+class _Sums:
+    """Per group the sums of the unit vectors of either side, how many vectors there were, and whether any had elements."""
+
+    def __init__(self, dimensions: int):
+        self.width, self.held = 2 * dimensions, {}
+
+    def add(self, key: tuple, sums: np.ndarray, counts: np.ndarray, seen: bool) -> None:
+        known = self.held.get(key)
+        if known is None:
+            self.held[key] = [sums.copy(), counts.copy(), seen]
+        else:
+            known[0] += sums
+            known[1] += counts
+            known[2] |= seen
+
+    def full(self) -> bool:
+        return len(self.held) * self.width * 8 > SUM_BYTES
+
+    def drain(self, types: list[pa.DataType]) -> tuple[list[pa.Array], list]:
+        """The key columns and the states, which are forgotten."""
+        held, self.held = self.held, {}
+        return [pa.array(list(values), kind) for values, kind in zip(zip(*held), types)], list(held.values())
+
+
+def _keys_of(batch: pa.RecordBatch, count: int) -> tuple[dict[tuple, int], np.ndarray]:
+    """The distinct keys of a batch and the number of each row's key."""
+    numbers: dict[tuple, int] = {}
+    rows = zip(*(batch.column(i).to_pylist() for i in range(count)))
+    return numbers, np.fromiter((numbers.setdefault(key, len(numbers)) for key in rows), np.int64, batch.num_rows)
+
+
+def _block_sums(names: list[str], dimensions: int):
+    """From rows (keys, side, vector) to a row per group and block of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, types = _Sums(dimensions), None
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(len(names))]
+            numbers, owner = _keys_of(batch, len(names))
+            side = batch.column(len(names)).fill_null(-1).to_numpy(zero_copy_only=False)
+            vectors = batch.column(len(names) + 1)
+            place = np.where((side == 0) | (side == 1), owner * 2 + side, len(numbers) * 2)
+            counts = np.bincount(place, minlength=len(numbers) * 2 + 1)[:-1].reshape(-1, 2)
+            valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+            rows = vectors.drop_null().flatten().fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, dimensions)
+            norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+            # A zero vector has no direction: it counts, and adds nothing.
+            units = rows / np.where(norms == 0, 1.0, norms)
+            order = np.argsort(place[valid], kind="stable")
+            ranked = place[valid][order]
+            starts = np.flatnonzero(np.diff(ranked, prepend=-1))
+            total = np.zeros((len(numbers) * 2 + 1, dimensions))
+            if len(starts):
+                total[ranked[starts]] = np.add.reduceat(units[order], starts, axis=0)
+            total = total[:-1].reshape(len(numbers), -1)
+            seen = np.bincount(owner[valid], minlength=len(numbers)) > 0
+            for key, k in numbers.items():
+                sums.add(key, total[k], counts[k], bool(seen[k]))
+            if sums.full():
+                yield from _state_rows(sums, names, types)
+        if types is not None:
+            yield from _state_rows(sums, names, types)
+
+    return run
+
+
+def _state_rows(sums: _Sums, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    keys, states = sums.drain(types)
+    if states:
+        flat = pa.array(np.concatenate([s[0] for s in states]))
+        offsets = pa.array(np.arange(len(states) + 1) * sums.width, pa.int32())
+        columns = [pa.ListArray.from_arrays(offsets, flat), *(pa.array([int(s[1][n]) for s in states], pa.int64()) for n in (0, 1)), pa.array([s[2] for s in states])]
+        yield pa.RecordBatch.from_arrays([*keys, *columns], [*names, "_sums", "_n0", "_n1", "_seen"])
+
+
+def _merge_sums(names: list[str], dimensions: int):
+    """From the block sums, sorted by group, to a row per group with its similarity."""
+
+    def finished(sums: _Sums, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        keys, states = sums.drain(types)
+        if states:
+            values = [
+                float(s[0][:dimensions] @ s[0][dimensions:]) / float(s[1][0] * s[1][1]) if s[2] and s[1].all() else None for s in states
+            ]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(values, pa.float64())], [*names, "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, types = _Sums(dimensions), None
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(len(names))]
+            numbers, owner = _keys_of(batch, len(names))
+            keys = list(numbers)
+            rows = batch.column(len(names)).flatten().to_numpy().reshape(-1, 2 * dimensions)
+            counts = np.stack([batch.column(len(names) + 1 + n).to_numpy() for n in (0, 1)], axis=1)
+            seen = batch.column(len(names) + 3).to_pylist()
+            for i, number in enumerate(owner):
+                sums.add(keys[number], rows[i], counts[i], seen[i])
+            if sums.full():
+                # Groups come in order, so only the last one can go on in the next batch.
+                last = keys[owner[-1]]
+                rest = sums.held.pop(last)
+                yield from finished(sums, types)
+                sums.held[last] = rest
+        if types is not None:
+            yield from finished(sums, types)
+
+    return run
+
+
 def set_similarity(
     df: DataFrame, keys: list[str], side: Column, vector_col: str, dimensions: int
 ) -> DataFrame:
     """Mean cosine over all pairs of the vectors on side 0 and side 1 of every group.
 
-    The sums per dimension are partial aggregates, so a group of any size costs one small row per
-    dimension and task in the shuffle and no pair is ever formed. Every vector must have
-    ``dimensions`` elements; NULL vectors and NULL elements add nothing.
+    Every task sums up the unit vectors of its rows by group, so a group of any size costs one row of two
+    sums per task in the shuffle, and no pair is ever formed. Every vector must have ``dimensions`` elements; NULL
+    elements add nothing, and a NULL or zero vector counts and adds nothing. ``keys`` are columns of plain values.
     """
     vector = F.col(f"`{vector_col}`").cast("array<double>")
     wrong = F.raise_error(F.concat(F.lit(f"a vector is not {dimensions} wide but "), F.size(vector).cast("string")))
     checked = F.when(vector.isNull() | (F.size(vector) == dimensions), vector).otherwise(wrong)
-    rows = df.select(*keys, side.alias("_side"), checked.alias("_v"))
-    squares = F.aggregate("_v", F.lit(0.0), lambda total, x: total + F.coalesce(x * x, F.lit(0.0)))
-    # A zero vector has no direction: it counts, and adds nothing.
-    norm = F.nullif(F.sqrt(squares), F.lit(0.0))
-    places = rows.select(*keys, "_side", norm.alias("_norm"), F.posexplode_outer("_v").alias("_place", "_x"))
-    sums = places.groupBy(*keys, "_place").agg(
-        *(F.coalesce(F.sum(F.when(F.col("_side") == n, F.col("_x") / F.col("_norm"))), F.lit(0.0)).alias(f"_s{n}") for n in (0, 1)),
-        *(F.count_if(F.col("_side") == n).alias(f"_n{n}") for n in (0, 1)),
-    )
-    whole = sums.groupBy(*keys).agg(
-        F.sum(F.when(F.col("_place").isNotNull(), F.col("_s0") * F.col("_s1"))).alias("_dot"),
-        # A vector is seen once per place; one without elements once in all.
-        *(F.sum(F.when(F.coalesce("_place", F.lit(0)) == 0, F.col(f"_n{n}"))).alias(f"_n{n}") for n in (0, 1)),
-    )
-    pairs = F.nullif(F.col("_n0") * F.col("_n1"), F.lit(0)).cast("double")
-    return whole.select(*keys, (F.col("_dot") / pairs).alias("similarity"))
+    rows = df.select(*keys, side.cast("int").alias("_side"), checked.alias("_v"))
+    kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema.fields[: len(keys)])
+    blocks = rows.mapInArrow(_block_sums(keys, dimensions), f"{kinds}, _sums array<double>, _n0 long, _n1 long, _seen boolean")
+    together = blocks.repartition(*keys).sortWithinPartitions(*keys)
+    return together.mapInArrow(_merge_sums(keys, dimensions), f"{kinds}, similarity double")
