@@ -151,7 +151,8 @@ def _together(found: dict[str, DataFrame]) -> DataFrame:
     """All tables as one; keys that a table lacks are NULL."""
 
     def shaped(name: str, groups: DataFrame) -> DataFrame:
-        keys = [F.col(k) if k in groups.columns else F.lit(None).cast("string").alias(k) for k in _KEYS]
+        own = ["source_file", *TABLES.get(name, [])]
+        keys = [F.col(k) if k in own else F.lit(None).cast("string").alias(k) for k in _KEYS]
         return groups.select(F.lit(name).alias("table"), *keys, *(c for c in groups.columns if c not in _KEYS))
 
     return reduce(lambda a, b: a.unionByName(b), (shaped(*item) for item in found.items()))

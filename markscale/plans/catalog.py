@@ -239,6 +239,19 @@ def _completion(outcome: int) -> Query:
     return lambda spark, sf_dir: _hashed(_completions(spark, sf_dir)[outcome], "text")
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the even conversations, then one over all rows, which asks only what the first did not."""
+    rows = _qa_rows(spark, sf_dir).select("conv_id", "turn", F.col("reference").alias("text"), "question")
+    params = model_jobs.CallParams(model="stub-1", system_prompt=SYSTEM)
+    path = scratch_path(spark, "ledger")
+
+    def run(part: DataFrame) -> DataFrame:
+        return model_jobs.complete(part, stubs.completion_endpoint, params, template=ANSWER, concurrency=1, ledger=path)
+
+    run(rows.where("conv_id % 2 = 0"))
+    return run(rows).select("conv_id", "turn", "answer", F.col("error").isNotNull().alias("failed"))
+
+
 def _verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = _qa_rows(spark, sf_dir)
     called = model_jobs.judge(
@@ -407,6 +420,7 @@ QUERIES: dict[str, Query] = {
     "similarity_score_distinct_packed": _similarity(similarity.score_distinct, _packed_chunks),
     "batch_completion_ok": _completion(0),
     "batch_completion_failed": _completion(1),
+    "batch_completion_ledger": _ledger,
     "judge_ok": _verdict(0),
     "judge_failed": _verdict(1),
     "jsonl_strict": _jsonl_strict,

@@ -249,6 +249,9 @@ ORACLES: dict[str, str] = {
         from ({_ANSWERED}) where not contains(prompt, 'onth')""",
     "batch_completion_failed": f"""select conv_id, turn, md5(text) as text, question
         from ({_ANSWERED}) where contains(prompt, 'onth')""",
+    "batch_completion_ledger": f"""select conv_id, turn,
+        case when not contains(prompt, 'quer') and not contains(prompt, 'onth') then concat('stub-1 2 ', md5(prompt)) end as answer,
+        contains(prompt, 'onth') as failed from ({_ANSWERED})""",
     "judge_ok": f"""select conv_id, turn, md5(question) as question, md5(answer) as answer, md5(reference) as reference,
         {_VERDICT} as judge_raw from ({_JUDGED}) where {_COUNT_E} % 7 not in (0, 1)""",
     "judge_failed": f"""select conv_id, turn, md5(question) as question, md5(answer) as answer,

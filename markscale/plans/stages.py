@@ -71,18 +71,19 @@ def infer(
     prompt_field: str | None = None,
     concurrency: int = 8,
     partitions: int | None = None,
+    ledger: str | None = None,
     written: bool = False,
 ) -> None:
     """Answer every row of a file; rows whose call fails go to ``failed`` as they are.
 
-    Rows that only have a rendered prompt name its field in ``prompt_field``.
+    ``ledger`` is the path of a table that keeps all replies, so that a rerun asks only what is unanswered. Rows that only have a rendered prompt name its field in ``prompt_field``.
     """
     rows = read_records(spark, source, blank_lines="error", pattern=None, written=written)
     record = F.col("record")
     if prompt_field:
         asked = rows.select(*_ROW, R.spelled(record, prompt_field, absent="None", null="None").alias("_prompt"))
         called = model_jobs.complete(
-            asked, connect, params, prompt_col="_prompt", concurrency=concurrency, partitions=partitions
+            asked, connect, params, prompt_col="_prompt", concurrency=concurrency, partitions=partitions, ledger=ledger
         )
     else:
         asked = rows.select(
@@ -99,6 +100,7 @@ def infer(
             question_col="_question",
             concurrency=concurrency,
             partitions=partitions,
+            ledger=ledger,
         )
     calls = scratch_path(spark, "calls")
     ok, lost = model_jobs.split_outcome(called.select(*_ROW, "answer", "model", "error"), _ROW, calls)
@@ -142,6 +144,7 @@ def judge(
     template: str = JUDGE_TEMPLATE,
     concurrency: int = 8,
     partitions: int | None = None,
+    ledger: str | None = None,
     pattern: str | None = JSONL,
     written: bool = False,
 ) -> None:
@@ -163,6 +166,7 @@ def judge(
         verdict_col="_verdict",
         concurrency=concurrency,
         partitions=partitions,
+        ledger=ledger,
     )
     calls = scratch_path(spark, "calls")
     ok, lost = model_jobs.split_outcome(called.select(*_ROW, "_verdict", "error"), _ROW, calls)

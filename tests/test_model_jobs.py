@@ -1,10 +1,12 @@
 import json
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from markscale.operators import model_jobs
 from markscale.operators.model_jobs import CallParams, JudgeParams, complete, judge, split_outcome
 from markscale.operators.similarity import letter_encoder
 from markscale.plans import stages
@@ -170,3 +172,93 @@ def test_answers_can_come_from_a_rendered_prompt(spark, write_lines, tmp_path):
     )
     line = json.loads(read_lines(spark, str(tmp_path / "o"), pattern=None).first().line)
     assert json.loads(line["answer"])[0] == [{"role": "user", "content": "ready"}]
+
+
+def dying(path, calls):
+    """A provider that takes its task down after so many calls."""
+    connect = counting(path)
+
+    def open_client():
+        from pathlib import Path
+
+        call = connect()
+
+        def last(messages, params):
+            if len(list(Path(path).iterdir())) >= calls:
+                raise SystemExit("killed")
+            return call(messages, params)
+
+        return last
+
+    return open_client
+
+
+def test_a_rerun_asks_only_what_is_unanswered(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(model_jobs, "WAVE_ROWS", 10)
+    asked, ledger = tmp_path / "asked", str(tmp_path / "ledger")
+    asked.mkdir()
+    df = rows(spark, *(f"t{i % 40}" for i in range(60)))  # 40 requests, 20 of them twice
+    with pytest.raises(Exception):
+        complete(df, dying(str(asked), 25), PARAMS, concurrency=1, ledger=ledger)
+    kept = model_jobs.read_ledger(spark, ledger).count()
+    before = len(list(asked.iterdir()))
+    assert 0 < kept <= before <= 26
+    out = complete(df, counting(str(asked)), PARAMS, concurrency=1, ledger=ledger)
+    assert out.columns == ["i", "text", "question", "error", "answer", "model"]
+    assert {(r.answer, r.error) for r in out.collect()} == {(" [Correct] \n", None)} and out.count() == 60
+    assert len(list(asked.iterdir())) == before + 40 - kept
+    complete(df, counting(str(asked)), PARAMS, ledger=ledger).collect()
+    assert len(list(asked.iterdir())) == before + 40 - kept
+    # Other parameters are other requests.
+    complete(df.limit(1), counting(str(asked)), CallParams(model="m2"), ledger=ledger).collect()
+    assert len(list(asked.iterdir())) == before + 41 - kept
+
+
+def test_failed_calls_are_asked_again_and_a_reply_stays(spark, tmp_path):
+    ledger, flag = str(tmp_path / "ledger"), tmp_path / "well"
+    path = str(flag)
+
+    def connect():
+        from pathlib import Path
+
+        def call(messages, params):
+            if "boom" in messages[-1]["content"] and not Path(path).exists():
+                raise RuntimeError("no")
+            return "yes"
+
+        return call
+
+    df = rows(spark, "a", "boom", "boom")
+    first = complete(df, connect, PARAMS, ledger=ledger).orderBy("i").collect()
+    assert [(r.answer, r.error) for r in first] == [("yes", None), (None, "RuntimeError: no"), (None, "RuntimeError: no")]
+    flag.touch()
+    again = complete(df, connect, PARAMS, ledger=ledger).collect()
+    assert {(r.answer, r.error) for r in again} == {("yes", None)}
+    assert complete(df.where("false"), connect, PARAMS, ledger=ledger).count() == 0
+
+
+def test_replies_leave_in_small_batches_and_in_order(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(model_jobs, "REPLY_CHARS", 1000)
+    keep = model_jobs._reply_rows
+    monkeypatch.setattr(model_jobs, "_reply_rows", lambda replies: sizes.append(len(replies)) or keep(replies))
+    monkeypatch.setattr(model_jobs.F, "arrow_udf", lambda function, kind: type("Plain", (), {"asNondeterministic": lambda self: function})())
+    ask = model_jobs._caller(lambda: lambda messages, params: messages[0]["content"] * 300, PARAMS, 4)
+    kind = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))
+    batches = [pa.array([[{"role": "user", "content": str(n)}] for n in range(low, low + 50)], kind) for low in (0, 50, 100)]
+    replies = [r["reply"] for batch in ask(iter(batches)) for r in batch.to_pylist()]
+    assert replies == [str(n) * 300 for n in range(150)]
+    # Only the last one also has the calls that were still under way.
+    assert max(sizes[:-1]) <= 4 and sizes[-1] <= 8 and sum(sizes) == 150
+
+
+def test_stages_with_a_ledger(spark, write_lines, tmp_path):
+    source = write_lines(a=['{"id":"1","text":"t","question":"q"}', '{"id":"2","text":"boom","question":"q"}'])
+    for name in ("one", "two"):
+        stages.infer(
+            spark, f"{source}/a.jsonl", str(tmp_path / name), str(tmp_path / f"{name}_failed"), counting(str(tmp_path)), PARAMS, ledger=str(tmp_path / "calls")
+        )
+        assert read_lines(spark, str(tmp_path / name), pattern=None).count() == 1
+        assert read_lines(spark, str(tmp_path / f"{name}_failed"), pattern=None).count() == 1
+    # The failed call was made twice, the other once.
+    assert sum(p.is_file() and len(p.name) == 32 for p in tmp_path.iterdir()) == 3

@@ -121,6 +121,12 @@ def test_the_rows_are_read_once_and_never_expanded(spark, monkeypatch):
     assert all("RDD" not in plan for plan in [*rest, plan_of(results)])
 
 
+def test_keys_that_a_table_lacks_are_null(spark):
+    for r in report(spark.createDataFrame([("en_01", "m", None, 1.0)], SCHEMA)).collect():
+        own = {"by_model": "model", "by_model_language": "model language", "by_model_language_id": "model language id", "by_model_task": "model task_type"}
+        assert [k for k in ("model", "language", "id", "task_type") if r[k] is not None] == own[r["table"]].split()
+
+
 def test_groups_keep_their_precision_when_merged(spark):
     # The spread is a billionth of the values: sums of squares would lose it.
     values = [(f"en_{i % 50:02}", "m", None, 1e9 + (i % 7) * 1e-1 + (i % 50)) for i in range(3000)]
