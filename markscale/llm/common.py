@@ -56,10 +56,17 @@ def running_start(
     return joined.withColumn(out, total.cast("long")).drop("__start")
 
 
-def chunked_range(df: DataFrame, first: Column, count: Column, out: str, chunk: int = 1 << 16) -> DataFrame:
-    """One row for each of ``count`` whole numbers from ``first``; no array is longer than ``chunk``."""
+def chunked_range(
+    df: DataFrame, first: Column, count: Column, out: str, chunk: int = 1 << 16, dealt: list[str] | None = None
+) -> DataFrame:
+    """One row for each of ``count`` whole numbers from ``first``; no array is longer than ``chunk``.
+
+    With ``dealt``, columns that tell the rows of ``df`` apart, chunks go to different tasks before they are written out.
+    """
     rows = df.withColumns({"__first": first, "__count": count}).where("__count > 0")
     rows = rows.withColumn("__chunk", F.explode(F.expr(f"sequence(0L, cast((__count - 1) div {chunk} as bigint))")))
+    if dealt:
+        rows = rows.repartition(*dealt, "__chunk")
     low = F.col("__first") + F.col("__chunk") * chunk
     high = F.least(low + chunk, F.col("__first") + F.col("__count")) - 1
     return rows.withColumn(out, F.explode(F.sequence(low, high))).drop("__first", "__count", "__chunk")

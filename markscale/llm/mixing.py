@@ -30,6 +30,10 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BLOCKS = 1024
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
@@ -78,7 +82,8 @@ class Mix:
             F.expr(f"(start + size - 1) div {b} - start div {b} + 1"), "block",
         )
         low = F.greatest(F.col("block") * b, start)
-        joined = spans.join(self.schedule, ["sid", "block"])
+        # Both sides grow with the corpus; written, they look smaller than they are.
+        joined = spans.join(self.schedule.hint("merge"), ["sid", "block"])
         high = F.least(F.col("block") * b + F.col("words"), start + size)
         return joined.where(low < high).select(
             "position", "epoch", "sid", "doc_id", "start", (low - start).alias("from_word"), (high - start).alias("to_word")
@@ -88,12 +93,12 @@ class Mix:
         """``placed`` with the words taken of each document, repeats counted."""
         sums = self.pieces().groupBy("sid", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("__taken"))
         counted = F.when(F.col("size") > 0, F.coalesce("__taken", F.lit(0))).otherwise(0).cast("long")
-        return self.placed.join(sums, ["sid", "start"], "left").withColumn("taken", counted).drop("__taken")
+        return self.placed.join(sums.hint("merge"), ["sid", "start"], "left").withColumn("taken", counted).drop("__taken")
 
 
 def mix_sources(docs: DataFrame, block_tokens: int = 1024, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> Mix:
     """Plan the mix of ``docs`` (``doc_id``, ``source``, ``text``)."""
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_hash(F.col("text")).alias("text_hash"))
     rows = materialise(narrow, "mix-sizes")  # the texts are read once
     ranked = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = ranked.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -114,9 +119,9 @@ def mix_sources(docs: DataFrame, block_tokens: int = 1024, most: int = 3, weight
     keyed = rows.join(sources.select("sid", F.col("source").alias("__source")), F.col("source").eqNullSafe(F.col("__source")))
     keyed = keyed.drop("__source").withColumn("__h", hash52(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = keyed.withColumn("__part", F.col("__h") % BLOCKS)
-    placed = running_start(keyed, ["sid"], "__part", ["__h", "doc_id", "size"], "size", "start").drop("__h", "__part")
+    placed = running_start(keyed, ["sid"], "__part", ["__h", "doc_id", "size", "text_hash"], "size", "start").drop("__h", "__part")
 
-    cells = chunked_range(sources, F.col("first_cell"), F.col("slots"), "__cell")
+    cells = chunked_range(sources, F.col("first_cell"), F.col("slots"), "__cell", dealt=["sid"])
     slots = cells.withColumn("position", F.expr("cast(conv(reverse(lpad(bin(__cell), bits, '0')), 2, 10) as bigint)"))
     # Spark takes exploded rows to be as few as their source; written, their true size decides the joins.
     slots = materialise(slots.drop("__cell", "source", "weight", "target"), "mix-slots")
@@ -130,9 +135,20 @@ def mix_sources(docs: DataFrame, block_tokens: int = 1024, most: int = 3, weight
 
 
 def repeat_documents(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` as whole documents: each as many times as the mix takes it, halves rounded up."""
-    taken = mix.taken().where("size > 0").groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")
+    """``docs`` as whole documents: each as many times as the mix takes it, halves rounded up.
+
+    A document is known by source, id and text, so ids that sources share, or that are NULL, keep to their own
+    counts. Rows alike in all three share what the mix takes of them.
+    """
+    counts = mix.taken().where("size > 0").groupBy(
+        F.col("source").alias("__source"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")
+    ).agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("__times"), F.count(F.lit(1)).alias("__rows"))
+    same = (
+        docs["source"].eqNullSafe(F.col("__source")) & docs["doc_id"].eqNullSafe(F.col("__id"))
+        & (text_hash(docs["text"]) == F.col("__text"))
     )
-    joined = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["__id"])).where("__times > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    joined = docs.join(counts.hint("merge"), same)
+    alike = Window.partitionBy("__source", "__id", "__text").orderBy("__text")
+    times = F.expr("__times div __rows") + (F.row_number().over(alike) <= F.expr("__times % __rows")).cast("long")
+    repeated = joined.withColumn("__copies", times).where("__copies > 0")
+    return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)

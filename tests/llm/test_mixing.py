@@ -76,3 +76,21 @@ def test_edge_rows(edge_docs, no_docs):
 def test_reruns_agree(edge_docs):
     first, second = (sorted(map(repr, mix_sources(edge_docs).taken().collect())) for _ in range(2))
     assert first == second
+
+
+def test_shared_and_missing_ids_keep_each_source_at_its_target(spark):
+    rows = [(i % 50 if i % 5 else None, source, f"{source} {i} " + "w " * (i % 9)) for source in ("a", "b", None) for i in range(300)]
+    rows += [(1, "a", "alike in all columns")] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mix = mix_sources(docs, block_tokens=16)
+    got = repeat_documents(docs, mix).collect()
+    size = lambda text: len(text.split())
+    for s in mix.sources.collect():
+        words = sum(size(r.text) for r in got if r.source == s.source)
+        assert abs(words - s.target) <= 0.03 * s.target
+    times = {}
+    for r in got:
+        times[r.source, r.text] = times.get((r.source, r.text), 0) + 1
+    # No document more than three times; seven rows alike at most three times seven.
+    assert max(n for (_, text), n in times.items() if text != "alike in all columns") <= 3
+    assert times.get(("a", "alike in all columns"), 0) <= 21
