@@ -25,7 +25,7 @@ from markscale.operators.report import MEASURES, STANDARD, TABLES, report, resul
 from markscale.plans import stages, stubs, views
 from markscale.session import deal, scratch_path
 from markscale.sources import sinks
-from markscale.sources.jsonl import parse_records, read_records, read_rows
+from markscale.sources.jsonl import list_files, parse_records, read_records, read_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -305,6 +305,18 @@ def _folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(results, *FLOATS)
 
 
+def _plain_folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over a folder of plain files, each of a language and a million documents, and the files without a row."""
+    judged = views.judged_lines(spark, sf_dir)
+    named = F.concat("source_file", F.lit("_"), F.expr("doc_id div 1000000").cast("string"))
+    rows = views.with_noise(judged.withColumn("source_file", named))
+    path = scratch_path(spark, "plain-in")
+    sinks.write_plain(rows, path, files=spark.createDataFrame([("nothing",)], "source_file string"))
+    results = _rounded(stages.aggregate(spark, path, on_empty="skip"), *FLOATS)
+    empty = list_files(spark, path).join(results.select("source_file").distinct(), "source_file", "left_anti")
+    return results.unionByName(empty.withColumn("table", F.lit("no rows")), allowMissingColumns=True)
+
+
 def _csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four CSV tables, read back as text fields."""
     target = scratch_path(spark, "csv")
@@ -426,6 +438,7 @@ QUERIES: dict[str, Query] = {
     "jsonl_strict": _jsonl_strict,
     "jsonl_lenient": _jsonl_lenient,
     "folder_report": _folder_report,
+    "plain_folder_report": _plain_folder_report,
     "csv_report": _csv_report,
     "evaluation_end_to_end": _evaluation_end_to_end,
     "evaluation_failed": _evaluation_failed,

@@ -174,6 +174,10 @@ _VERDICT = f"case when {_COUNT_E} % 7 = 2 then '[Corr' when {_COUNT_E} % 2 = 0 t
 _JUDGED_FILES = f"select e.*, d.lang from ({EVAL_ROWS}) e join documents d on d.doc_id = e.doc_id"
 _FOLDER_ROWS = f"select id, model, judge, case when lang <> 'de' then sim end as sim, lang from ({_JUDGED_FILES})"
 _FOLDER = _report(_FOLDER_ROWS, f'source_file, {_ALL}', source_file="lang")
+_PLAIN = _report(
+    f"select id, model, judge, case when lang <> 'de' then sim end as sim, lang, doc_id from ({_JUDGED_FILES})",
+    f"source_file, {_ALL}", source_file="concat(lang, '_', doc_id // 1000000)",
+)
 
 _CHAIN_QA = f"""
 select conv_id, turn, question, reference,
@@ -263,6 +267,9 @@ ORACLES: dict[str, str] = {
         case when lang = 'en' then sim end as sim, case when lang <> 'en' then sim end as fallback
         from ({_JUDGED_FILES})""",
     "folder_report": _FOLDER,
+    "plain_folder_report": f"""select * from ({_PLAIN}) union all
+        select {", ".join(f"'nothing' as {c}" if c == "source_file" else f"'no rows' as {c}" if c == '"table"' else f"null as {c}"
+                          for c in f"source_file, {_ALL}".split(", "))}""",
     "csv_report": f"""select concat(source_file, '_', "table") as source_file, "table", model, language, id, task_type,
         concat(n_total, '.0') as n_total, similarity_mean, similarity_se, accuracy, accuracy_se
         from ({_FOLDER})""",

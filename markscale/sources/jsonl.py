@@ -7,6 +7,7 @@ from collections.abc import Callable
 from urllib.parse import unquote
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from markscale.functions.records import record_of
 from markscale.functions.text import is_visible, let
 
 JSONL = "*.jsonl"
+#: A folder beside the data, which scans step over, with the rows and bytes of every file.
+MANIFEST, MANIFEST_TYPE = "_manifest", "source_file string, rows long, bytes long"
 
 # Scores stay variants, so that JSON booleans, quoted numbers and absent keys can be told apart.
 RESULT_SCHEMA = T.StructType(
@@ -50,16 +53,31 @@ def read_lines(spark: SparkSession, path: str, *, pattern: str | None = JSONL, w
 def named_lines(reader, path: str, pattern: str | None) -> DataFrame:
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"[.]jsonl$", "")
+    # The name stands there as in a URI, where a plus sign is itself.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    stem = F.regexp_replace(name, r"[.]jsonl$", "")
     return reader.text(path).select(stem.alias("source_file"), F.col("value").alias("line"))
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """``source_file``, ``rows``, ``bytes`` of a folder whose sink left a manifest."""
+    try:
+        return spark.read.schema(MANIFEST_TYPE).parquet(f"{path.rstrip('/')}/{MANIFEST}")
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def list_files(spark: SparkSession, path: str, *, pattern: str | None = JSONL, written: bool = False) -> DataFrame:
     """``source_file`` of every file that :func:`read_lines` would read, even an empty one.
 
-    The names are those of the file index that Spark keeps on the driver for every scan; no file is opened.
-    A listing by tasks would not do: Spark's scans skip empty files.
+    The names come from the folder's manifest if it has one. Else they are those of the file index that Spark keeps on the
+    driver for every scan; no file is opened. (A listing by tasks would not do: Spark's scans skip empty files.)
     """
+    manifest = read_manifest(spark, path) if pattern == JSONL else None
+    if manifest is not None:
+        return manifest.select("source_file")
     paths = [unquote(uri) for uri in read_lines(spark, path, pattern=pattern, written=written).inputFiles()]
     if written:
         folders = (re.search(r"/source_file=([^/]*)/", p) for p in paths)

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from markscale.functions.records import object_text
 from markscale.sources import sinks
-from markscale.sources.jsonl import list_files, read_lines, read_records, read_rows
+from markscale.sources.jsonl import list_files, read_lines, read_manifest, read_records, read_rows
 
 BROKEN = ["{bad", "[1]", "3", "null", '{"id":"x"} x', '{"id":"x"}{"id":"y"}', '{"id":"x"},{"id":"y"}', '{"id":"x"}]g']
 BROKEN += ["{'id':'x'}", '{"id":"x",}', '{"id":01}', '{"id":"x"', '{"id":"x"},{}]']
@@ -141,3 +141,20 @@ def test_a_line_is_parsed_once(spark, write_lines):
 def test_values_are_written_as_they_were_read(spark, write_lines, line, written):
     rows = read_records(spark, write_lines(a=[line]))
     assert [r.line for r in rows.select(object_text(F.col("record")).alias("line")).collect()] == [written]
+
+
+def test_plain_files_with_a_manifest(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    rows = [("a b", '{"id":"1"}'), ("a b", '{"id":"é"}'), ("x=%1", "{}"), ("c+d", "{}"), ("中", " ")]
+    files = spark.createDataFrame([("none",), ("none",), ("a b",)], "source_file string")
+    for _ in range(2):  # what was there before is replaced
+        sinks.write_plain(spark.createDataFrame(rows, "source_file string, line string"), path, files=files)
+    assert sorted(p.name for p in (tmp_path / "plain").glob("*.jsonl")) == sorted(["a b.jsonl", "c+d.jsonl", "none.jsonl", "x=%1.jsonl", "中.jsonl"])
+    assert sorted((tmp_path / "plain" / "a b.jsonl").read_text().splitlines()) == ['{"id":"1"}', '{"id":"é"}']
+    manifest = {tuple(r) for r in read_manifest(spark, path).collect()}
+    assert manifest == {("a b", 2, 23), ("none", 0, 0), ("x=%1", 1, 3), ("c+d", 1, 3), ("中", 1, 2)}
+    assert all((tmp_path / "plain" / f"{name}.jsonl").stat().st_size == size for name, _, size in manifest)
+    assert {r.source_file for r in list_files(spark, path).collect()} == {name for name, _, _ in manifest}
+    assert {(r.source_file, r.line) for r in read_lines(spark, path).collect()} == set(rows)
+    sinks.write_plain(spark.createDataFrame([], "source_file string, line string"), path)
+    assert read_lines(spark, path).count() == 0 and read_manifest(spark, path).count() == 0
