@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from markscale.session import materialise
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: A pair of ids is one number: the id of A times this, plus the id of B.
 PAIR = 1 << 31
 #: The sign of a space in pieces, and the pattern that splits a text before byte-level merges.
