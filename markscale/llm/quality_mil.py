@@ -6,7 +6,8 @@ encoded (hashed byte trigrams and text statistics, then a learned layer). Gated
 weighted passage representation is scored by a logistic layer.
 
 The model is fitted on the driver from a sample of at most ``per_class`` labelled documents of each
-class, drawn by a hash of the id; each gives at most ``train_passages`` passages, evenly spaced. A
+class, drawn by a hash of the id, always with all of its passages. Where texts are long, the sample of a class
+ends with the document that reaches ``class_passages``. A
 sampled document counts for all labelled documents of its class that it stands for, so that scores
 follow the classes' true shares whether the sample is all of them or a few.
 Scoring is one narrow pass over all documents and all of their passages.
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markscale.llm.common import hash52
@@ -37,7 +38,8 @@ FEATURES = STATISTICS + TRIGRAMS
 #: A text is encoded in pieces of so many bytes, so that memory does not grow with it.
 SLAB_BYTES = 1 << 20
 
-PER_CLASS, TRAIN_PASSAGES = 3000, 64
+#: Bounds of the sample of labelled rows, in whole documents: their number, and the passages that complete it.
+PER_CLASS, CLASS_PASSAGES = 3000, 60_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 16, 40, 64, 3e-3, 1e-4, 7
 
 
@@ -181,7 +183,7 @@ def id_remainder(doc_id: Column, folds: int = 5) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, train_passages: int = TRAIN_PASSAGES
+    docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, class_passages: int = CLASS_PASSAGES
 ) -> GatedAttentionModel | None:
     """Learn from labelled rows outside of fold 0; None if there are none."""
     known = (
@@ -196,21 +198,22 @@ def fit(
     drawn = [known.where(F.col("__label") == k).orderBy("__h", "doc_id").limit(per_class) for k in (0, 1)]
     sample = drawn[0].unionByName(drawn[1]).select("doc_id", "__label")  # 2 x per_class rows at most
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = rows.groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
+    rows = materialise(rows.groupBy("doc_id", "__label").agg(F.min("text").alias("text")), "sampled")
+    # A class is 3,000 rows of two numbers at most here; its earlier documents' passages decide.
+    size = F.ceil(F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)) / PASSAGE_BYTES)
+    sizes = rows.select("doc_id", "__label", size.alias("size"), hash52(F.col("doc_id").cast("string")).alias("__h"))
+    earlier = Window.partitionBy("__label").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    whole = sizes.withColumn("__before", F.coalesce(F.sum("size").over(earlier), F.lit(0))).where(F.col("__before") < class_passages)
+    rows = rows.join(F.broadcast(whole.select("doc_id")), "doc_id", "left_semi")
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds = byte_classes()
         for batch in batches:
-            found = []
-            for text in batch["text"]:
-                bag = encode(text, kinds)
-                if len(bag) > train_passages:
-                    bag = bag[np.linspace(0, len(bag) - 1, train_passages).astype(int)]
-                found.append(bag.tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["__label"], "bag": found})
+            for doc_id, label, text in zip(batch["doc_id"], batch["__label"], batch["text"]):
+                yield pd.DataFrame({"doc_id": [doc_id], "label": [label], "bag": [encode(text, kinds).tobytes()]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    learned = sorted(rows.mapInPandas(bags, f"doc_id {kind}, label int, bag binary").collect(), key=lambda r: r["doc_id"])
+    learned = sorted(rows.select("doc_id", "__label", "text").mapInPandas(bags, f"doc_id {kind}, label int, bag binary").collect(), key=lambda r: r["doc_id"])
     if not learned:
         return None
     encoded = [np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, FEATURES) for r in learned]

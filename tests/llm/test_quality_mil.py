@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -68,6 +69,33 @@ def test_held_out_accuracy(spark, sf_dir):
     assert sum(p == y for p, y in judged) / len(judged) > 0.9
 
 
+def test_held_out_classes_are_told_apart(spark, sf_dir):
+    """On the next larger tables: these have only a handful of held-out documents of class 0."""
+    larger = str(Path(sf_dir).with_name("sf0.01"))
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    rows = [r for r in quality_query(spark, larger).collect() if r.held_out]
+    good, bad = ([r for r in rows if labels.get(r.doc_id) == y] for y in (1, 0))
+    above = sum((g.score > b.score) + (g.score == b.score) / 2 for g in good for b in bad)
+    assert above / (len(good) * len(bad)) > 0.95
+    assert sum(r.predicted == 0 for r in bad) >= 0.7 * len(bad) and sum(r.predicted for r in good) >= 0.95 * len(good)
+
+
+def test_one_bad_passage_of_a_very_long_text_is_learned(spark):
+    """The bad passage is one of some 150; samples are bounded by whole documents."""
+    rng = np.random.default_rng(5)
+    rows, marks = [], []
+    for i in range(120):
+        lines = [prose(int(rng.integers(1 << 30)), 160) for _ in range(150)]
+        if i % 2:
+            lines[rng.integers(len(lines))] = "#$%&=@ 0123 " * 90
+        rows.append((i, "\n".join(lines)))
+        marks.append((i, 1 - i % 2))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    found = add_score(docs, fit(docs, labels)).select("doc_id", "score").collect()
+    assert all(r.score > 0.5 if r.doc_id % 2 == 0 else r.score < 0.5 for r in found)
+    assert isinstance(fit(docs, labels, class_passages=1), GatedAttentionModel)
+
+
 def test_edge_rows(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (6, None), (99, 1), (9, 1)], "doc_id long, quality int")
     model = fit(edge_docs, labels)
