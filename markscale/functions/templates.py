@@ -47,11 +47,17 @@ def render(template: str, slots: Mapping[str, Column]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def chat_messages(prompt: Column, system_prompt: str | None = None) -> Column:
-    """``array<struct<role, content>>``: the system message if there is one, then the user's."""
-    messages = [("user", prompt)]
-    if system_prompt:
-        messages.insert(0, ("system", F.lit(system_prompt)))
-    return F.array(
-        *(F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in messages)
-    )
+def _message(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
+def chat_messages(prompt: Column, system_prompt: str | Column | None = None) -> Column:
+    """``array<struct<role, content>>``: the system message if there is one, then the user's.
+
+    ``system_prompt`` is one text for all rows, or a column; rows where that is NULL or empty have no system message.
+    """
+    user = F.array(_message("user", prompt))
+    if isinstance(system_prompt, Column):
+        own = F.array(_message("system", system_prompt), _message("user", prompt))
+        return F.when(F.coalesce(system_prompt, F.lit("")) != "", own).otherwise(user)
+    return F.array(_message("system", F.lit(system_prompt)), _message("user", prompt)) if system_prompt else user

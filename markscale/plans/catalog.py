@@ -181,8 +181,9 @@ def _judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = F.explode(chat_messages(F.col("question"), SYSTEM)).alias("m")
-    return _qa_rows(spark, sf_dir).select("conv_id", "turn", messages).select("conv_id", "turn", "m.role", "m.content")
+    system = F.coalesce("instruction", F.lit(SYSTEM))
+    messages = F.explode(chat_messages(F.col("question"), system)).alias("m")
+    return deal(views.view(spark, sf_dir, views.SYSTEM_ROWS)).select("conv_id", "turn", messages).select("conv_id", "turn", "m.role", "m.content")
 
 
 # Similarity -----------------------------------------------------------------------------------

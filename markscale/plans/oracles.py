@@ -7,7 +7,7 @@ computed from the tables without files in between.
 from __future__ import annotations
 
 from markscale.plans.catalog import DIMENSIONS, PACK_LIMIT, SYSTEM
-from markscale.plans.views import EVAL_ROWS, LINE_ROWS, PROMPT_ROWS, QA_ROWS, RAW_PARTS, TAGGED_ROWS
+from markscale.plans.views import EVAL_ROWS, LINE_ROWS, PROMPT_ROWS, QA_ROWS, RAW_PARTS, SYSTEM_ROWS, TAGGED_ROWS
 
 _LABEL = r"""case when judge is null or regexp_extract(judge, '\[([^\[\]]+)\]\s*$', 1) = '' then 'unknown'
      else lower(trim(regexp_extract(judge, '\[([^\[\]]+)\]\s*$', 1), e' \t\n')) end"""
@@ -238,7 +238,8 @@ ORACLES: dict[str, str] = {
         ' {{end}}')) as input from ({RAW_PARTS})""",
     "answer_prompt": f"select doc_id, md5({_PROMPT_NONE}) as prompt from ({PROMPT_ROWS})",
     "judge_prompt": f"select conv_id, turn, md5({_JUDGE_PROMPT}) as prompt from ({QA_ROWS})",
-    "chat_messages": f"""select conv_id, turn, 'system' as role, '{SYSTEM}' as content from ({QA_ROWS})
+    "chat_messages": f"""select * from (select conv_id, turn, 'system' as role, coalesce(instruction, '{SYSTEM}') as content
+        from ({SYSTEM_ROWS})) where content <> ''
         union all select conv_id, turn, 'user', question from ({QA_ROWS})""",
     "chunk_sentences": f"""select doc_id, cast(len(c) as bigint) as n_chunks, md5(array_to_string(c, '|')) as chunks_md5
         from (select doc_id, {_CHUNKS.format("text")} as c from documents)""",

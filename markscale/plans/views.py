@@ -52,6 +52,14 @@ join benchmark b on b.item_id = a.conv_id % (select count(*) from benchmark)
 where a.role = 'assistant' or (a.role = 'user' and r.role is null)
 """
 
+# The same rows with the text of their conversation's system turn, if it has one.
+SYSTEM_ROWS = f"""
+select a.*, s.instruction
+from ({QA_ROWS}) a
+left join (select conv_id, max(text) as instruction from conversations where role = 'system' group by conv_id) s
+  on s.conv_id = a.conv_id
+"""
+
 # Source texts with a question each; some questions are missing.
 PROMPT_ROWS = """
 select doc_id, text, case when lang <> 'fr' then concat('What does {problem} mean in ', source, '?') end as question

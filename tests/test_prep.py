@@ -152,3 +152,6 @@ def test_chat_messages(spark):
     assert [tuple(m) for m in with_system] == [("system", "s"), ("user", "p")]
     for none in (None, ""):
         assert [tuple(m) for m in one.select(chat_messages(F.lit("p"), none)).first()[0]] == [("user", "p")]
+    rows = spark.createDataFrame([("p", "own"), ("q", ""), (None, None)], "p string, s string")
+    got = [[tuple(m) for m in r[0]] for r in rows.select(chat_messages(F.col("p"), F.col("s"))).collect()]
+    assert got == [[("system", "own"), ("user", "p")], [("user", "q")], [("user", None)]]
