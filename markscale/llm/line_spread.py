@@ -7,6 +7,9 @@
 
 - Lines are the pieces between line feeds, compared as they are. Lines of white space only stay.
 - A NULL site is no site. A NULL text stays NULL and has no lines; an empty text has one blank line.
+- A text whose every line goes, as of a document copied whole to that many sites, becomes empty and its row stays: whole copies
+  are for the deduplication operators to judge.
+- Texts of any length are read whole; a row holds one text and the hashes of its removed lines.
 - Rows alike in id and text are cleaned alike; an empty table gives an empty result.
 - Result columns replace columns of the same name; other columns pass through.
 """

@@ -5,6 +5,11 @@ record) and ``indexes/index.cdxj`` (one line per record with its offset and leng
 are stored, a record's bytes lie at ``member start + offset`` of the package, and reading it needs
 the central directory, the index and that one range; nothing is unpacked.
 
+A package of up to ``row_bytes`` is one row of Spark's binary scan, of which ranges are taken. A larger one is opened
+where it lies: one task reads its directories and indexes and cuts its records into ranges of neighbours, and
+the ranges are dealt over tasks, each of which seeks and reads its own. A package may so have any size, and many
+tasks read it; a task holds one range, or one package's list of record places.
+
 Packages are written through Spark's own text sink, one row per file, so that they reach any file
 system that Spark reaches and a repeated task replaces its files. The line end that the sink adds is
 the package's one-byte archive comment.
@@ -13,7 +18,7 @@ the package's one-byte archive comment.
   breaks in a url come back percent-encoded.
 - Of records with equal payloads of at least ``min_bytes`` the one with the largest id is the response
   and the others revisit it; rows that repeat that id are responses too. NULL ids rank below all others.
-- An empty table gives packages without records, and no rows.
+- An empty table gives packages without records, and no rows. A record longer than a range is a range of its own.
 """
 
 from __future__ import annotations
@@ -27,8 +32,11 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
+from urllib.parse import quote, urlsplit
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +44,10 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payload bytes after which a package is closed; a larger payload has a package of its own.
 PACKAGE_BYTES = 4 << 20
 MIN_REVISIT_BYTES = 1000
+#: Packages beyond ROW_BYTES are read by ranges of about RANGE_BYTES, TASK_BYTES of them by a task.
+ROW_BYTES, RANGE_BYTES, TASK_BYTES = 64 << 20, 8 << 20, 128 << 20
+#: Bytes of an index that are read at a time.
+INDEX_BYTES = 1 << 20
 SINK_END = b"\n"
 
 
@@ -61,6 +73,7 @@ ZIP64_EXTRA, FULL16, FULL32 = 1, 0xFFFF, 0xFFFFFFFF
 STORED, ENCRYPTED_FLAG = 0, 1
 
 ReadAt = Callable[[int, int], bytes]
+Opener = Callable[[str], BinaryIO]
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -139,12 +152,48 @@ def read_index(read_at: ReadAt, members: dict[str, tuple[int, int]]) -> Iterator
     for name in sorted(members):
         if not name.endswith(".cdxj"):
             continue
-        for line in read_at(*members[name]).split(b"\n"):
+        for line in lines_at(read_at, *members[name]):
             if line.strip():
                 entry = json.loads(line[line.index(b"{") :])
                 yield f"archive/{entry['filename']}", int(entry["offset"]), int(entry["length"])
 
 
+def lines_at(read_at: ReadAt, start: int, length: int) -> Iterator[bytes]:
+    """The lines of a member, of which a piece is held at a time."""
+    rest = b""
+    for at in range(start, start + length, INDEX_BYTES):
+        *lines, rest = (rest + read_at(at, min(INDEX_BYTES, start + length - at))).split(b"\n")
+        yield from lines
+    yield rest
+
+
+def record_places(read_at: ReadAt, size: int) -> Iterator[tuple[int, int]]:
+    """Start in the package and length of every record that the indexes name."""
+    members = read_directory(read_at, size)
+    for member, offset, length in read_index(read_at, members):
+        if member not in members:
+            raise ArchiveError(f"the index names {member}, which is not stored")
+        start, whole = members[member]
+        if offset < 0 or length < 0 or offset + length > whole:
+            raise ArchiveError("a record reaches beyond its member")
+        yield start + offset, length
+
+
+def neighbours(places: Iterable[tuple[int, int]], limit: int) -> Iterator[tuple[int, list[int]]]:
+    """Records that follow each other without a gap, as start and lengths; ``limit`` bytes or one record at most."""
+    begin, end, lengths = 0, 0, []
+    for start, length in sorted(places):
+        if lengths and (start != end or start + length - begin > limit):
+            yield begin, lengths
+            lengths = []
+        if not lengths:
+            begin = start
+        lengths.append(length)
+        end = start + length
+    if lengths:
+        yield begin, lengths
+
+
 def parse_record(data: bytes) -> dict:
     """One gzip member: headers and payload of a WARC record, its digest checked."""
     raw = gzip.decompress(data)
@@ -170,12 +219,25 @@ def parse_record(data: bytes) -> dict:
 
 
 def read_package(read_at: ReadAt, size: int) -> Iterator[dict]:
-    members = read_directory(read_at, size)
-    for member, offset, length in read_index(read_at, members):
-        start, whole = members[member]
-        if offset + length > whole:
-            raise ArchiveError("a record reaches beyond its member")
-        yield parse_record(read_at(start + offset, length))
+    for start, length in record_places(read_at, size):
+        yield parse_record(read_at(start, length))
+
+
+def open_seekable(path: str) -> BinaryIO:
+    """The file at a path of Spark's, local or in any store that Arrow reaches, to seek in."""
+    parts = urlsplit(path)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store, inside = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+    return store.open_input_file(inside)
+
+
+def range_reader(handle: BinaryIO) -> tuple[ReadAt, int]:
+    def read_at(at: int, length: int) -> bytes:
+        handle.seek(at)
+        return handle.read(length)
+
+    return read_at, handle.seek(0, io.SEEK_END)
 
 
 # Writing
@@ -273,21 +335,60 @@ def write_packages(
     packages.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
-def read_packages(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """The records of all packages under ``path``; ``columns`` drops what is not needed early."""
+def read_packages(
+    spark: SparkSession, path: str, columns: Iterable[str] | None = None, row_bytes: int = ROW_BYTES,
+    range_bytes: int = RANGE_BYTES, open_file: Opener = open_seekable,
+) -> DataFrame:
+    """The records of all packages under ``path``; ``columns`` drops what is not needed early.
+
+    Lists the packages when it is called. ``open_file`` opens those of more than ``row_bytes`` on the executors; pass
+    your own for a store that Arrow does not reach.
+    """
     kinds = dict(part.strip().split(" ") for part in RECORD.split(","))
     wanted = list(columns or kinds)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in wanted)
+
+    def frame_of(rows: list[dict]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=list(kinds))[wanted]
+        for c in wanted:
+            if kinds[c] == "long":
+                frame[c] = frame[c].astype("Int64")
+        return frame
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 view = memoryview(content)
-                rows = list(read_package(lambda at, length: bytes(view[at : at + length]), len(view)))
-                frame = pd.DataFrame(rows, columns=list(kinds))[wanted]
-                for c in wanted:
-                    if kinds[c] == "long":
-                        frame[c] = frame[c].astype("Int64")
-                yield frame
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInPandas(records, ", ".join(f"{c} {kinds[c]}" for c in wanted))
+                yield frame_of(list(read_package(lambda at, length: bytes(view[at : at + length]), len(view))))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for package in batch["path"]:
+                with open_file(package) as handle:
+                    found = list(neighbours(record_places(*range_reader(handle)), range_bytes))
+                for i in range(0, len(found), 1000):
+                    part = found[i : i + 1000]
+                    yield pd.DataFrame({"path": package, "start": [p[0] for p in part], "lengths": [p[1] for p in part]})
+
+    def by_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for package, start, lengths in zip(batch["path"], batch["start"], batch["lengths"]):
+                with open_file(package) as handle:
+                    data = range_reader(handle)[0](int(start), int(sum(lengths)))
+                rows, at = [], 0
+                for length in lengths:
+                    rows.append(parse_record(data[at : at + length]))
+                    at += length
+                yield frame_of(rows)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = files.where(F.col("length") > row_bytes).select("path", "length")
+    n_large, n_bytes = large.agg(F.count(F.lit(1)), F.sum("length")).first()
+    records = files.where(F.col("length") <= row_bytes).select("content").mapInPandas(whole, schema)
+    if not n_large:
+        return records
+    # Told numbers of tasks: what is shuffled here is small, what it stands for is not.
+    packages = large.select("path").repartition(min(n_large, 10_000), "path")
+    ranges = packages.mapInPandas(cut, "path string, start long, lengths array<long>")
+    dealt = ranges.repartition(max(1, n_bytes // TASK_BYTES), "path", "start")
+    return records.unionByName(dealt.mapInPandas(by_range, schema))

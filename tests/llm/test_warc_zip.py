@@ -1,5 +1,6 @@
 import hashlib
 import io
+import random
 import struct
 import zipfile
 
@@ -62,6 +63,25 @@ def test_only_needed_ranges_are_read():
     assert sum(asked) - before < len(data) / 50
 
 
+def test_neighbours_are_read_together():
+    found = warc_zip.neighbours([(30, 5), (0, 10), (10, 10), (35, 0), (35, 50), (85, 1), (90, 2)], 20)
+    assert list(found) == [(0, [10, 10]), (30, [5, 0]), (35, [50]), (85, [1]), (90, [2])]
+    assert list(warc_zip.neighbours([], 20)) == []
+
+
+def test_index_lines_cross_pieces(monkeypatch):
+    data = package(40)
+    whole = list(warc_zip.read_index(reader(data)[0], read_directory(*reader(data))))
+    monkeypatch.setattr(warc_zip, "INDEX_BYTES", 7)
+    assert list(warc_zip.read_index(reader(data)[0], read_directory(*reader(data)))) == whole and len(whole) == 40
+
+
+def test_an_index_that_names_no_member_is_refused():
+    data = package().replace(b'"data.warc.gz"', b'"dado.warc.gz"')
+    with pytest.raises(ArchiveError):
+        list(read_package(*reader(data)))
+
+
 def test_broken_packages_are_refused():
     data = package()
     for bad in (b"", b"not a package", data[:-30], data.replace(b"PK\x01\x02", b"PK\x09\x09", 1)):
@@ -81,14 +101,50 @@ def test_pages_round_trip(spark, tmp_path):
     ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("refers_to", F.lit(2))
     write_packages(df, str(tmp_path / "w"), package_size=4000)
-    got = read_packages(spark, str(tmp_path / "w")).collect()
     want = []
     for page, url, html in pages:
         body = (html or "").encode()
         revisit = html == same and page != 3
         want.append((page, None if url is None else url.replace("\n", "%0A"), "revisit" if revisit else "response", 3 if revisit else None,
                      len(body), hashlib.sha1(body).hexdigest(), None if revisit else body))
-    assert sorted(map(repr, ([*r[:6], None if r[6] is None else bytes(r[6])] for r in got))) == sorted(map(repr, map(list, want)))
+    for limit in (warc_zip.ROW_BYTES, 3000, 0):  # as rows, as rows and by ranges, by ranges only
+        got = read_packages(spark, str(tmp_path / "w"), row_bytes=limit, range_bytes=500).collect()
+        assert sorted(map(repr, ([*r[:6], None if r[6] is None else bytes(r[6])] for r in got))) == sorted(map(repr, map(list, want)))
+
+
+def test_large_packages_are_never_read_whole(spark, tmp_path):
+    """Every read of a package of 0.7 MB is of 70 KB at most; the ranges are dealt over tasks."""
+    rng = random.Random(2)
+    folder = tmp_path / "a folder %20 of packages"
+    folder.mkdir()
+    payloads = {i: rng.randbytes(rng.choice([0, 100, 5_000, 60_000])) for i in range(60)}
+    records = [(f"http://x/{i}", record_bytes(i, f"http://x/{i}", p, hashlib.sha1(p).digest(), None)) for i, p in payloads.items()]
+    (folder / "one.zip").write_bytes(to_zip64(package_bytes(records) + b"\n"))
+    assert (folder / "one.zip").stat().st_size > 600_000
+
+    def guarded(path):
+        handle = warc_zip.open_seekable(path)
+
+        class Guarded:
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                handle.close()
+
+            def seek(self, *spot):
+                return handle.seek(*spot)
+
+            def read(self, length):
+                if length > 70_000:
+                    raise MemoryError(length)
+                return handle.read(length)
+
+        return Guarded()
+
+    got = read_packages(spark, str(folder), row_bytes=0, range_bytes=50_000, open_file=guarded)
+    assert {r.page_id: bytes(r.payload) for r in got.collect()} == payloads
+    assert read_packages(spark, str(folder), ["page_id"], row_bytes=0).count() == 60
 
 
 def test_no_pages(spark, tmp_path):
