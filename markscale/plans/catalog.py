@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ from markscale.operators import model_jobs, prep, prompts, similarity
 from markscale.operators.measures import Measure
 from markscale.operators.report import MEASURES, STANDARD, TABLES, report, result_table
 from markscale.plans import stages, stubs, views
-from markscale.session import deal, scratch_path
+from markscale.session import deal, materialise, scratch_path
 from markscale.sources import sinks
 from markscale.sources.jsonl import list_files, parse_records, read_records, read_rows
 
@@ -318,20 +318,42 @@ def _plain_folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.unionByName(empty.withColumn("table", F.lit("no rows")), allowMissingColumns=True)
 
 
-def _csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four CSV tables, read back as text fields."""
-    target = scratch_path(spark, "csv")
-    stages.aggregate(spark, _noisy_folder(spark, sf_dir, "csv-in"), target, written=True)
+def _csv_tables(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """The four CSV tables of every file, read back as text fields beside the path and first byte of what a task read."""
+    target = scratch_path(spark, label)
+    stages.aggregate(spark, _noisy_folder(spark, sf_dir, f"{label}-in"), target, written=True)
 
     def back(name: str) -> DataFrame:
         schema = ", ".join(f"{c} string" for c in [*TABLES[name], *MEASURES, "source_file"])
         rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(f"{target}/{name}")
-        return rows.withColumn("table", F.lit(name))
+        spot = {"part": F.col("_metadata.file_path"), "first_byte": F.col("_metadata.file_block_start")}
+        return rows.withColumns({"table": F.lit(name), **spot})
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(back, TABLES))
 
-    tables = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(back, TABLES))
+
+def _csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _csv_tables(spark, sf_dir, "csv").drop("part", "first_byte")
     return tables.withColumns({m: F.round(F.col(m).cast("double"), 6) for m in FLOATS})
 
 
+def _csv_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of every row of the CSV tables and its place, counted from 1, in its file's table.
+
+    Parts follow each other by name. Rows are numbered within the piece of a part that a task read, pieces by the rows before them.
+    """
+    block = ["table", "source_file", "part", "first_byte"]
+    keys = ["model", "language", "id", "task_type"]
+    # Numbers rise within a piece; written, so that they are drawn once.
+    numbered = _csv_tables(spark, sf_dir, "csv-order").select(*block, *keys, F.monotonically_increasing_id().alias("n"))
+    rows = materialise(numbered, "csv-rows")
+    pieces = rows.groupBy(*block).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy("table", "source_file").orderBy("part", "first_byte").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("least") + 1)
+    placed = rows.join(starts.drop("least", "rows"), block)
+    return placed.select("source_file", "table", *keys, (F.col("n") + F.col("start")).alias("place"))
+
+
 # The whole evaluation ---------------------------------------------------------------------------
 
 
@@ -441,6 +463,7 @@ QUERIES: dict[str, Query] = {
     "folder_report": _folder_report,
     "plain_folder_report": _plain_folder_report,
     "csv_report": _csv_report,
+    "csv_order": _csv_order,
     "evaluation_end_to_end": _evaluation_end_to_end,
     "evaluation_failed": _evaluation_failed,
 }

@@ -274,6 +274,10 @@ ORACLES: dict[str, str] = {
     "csv_report": f"""select concat(source_file, '_', "table") as source_file, "table", model, language, id, task_type,
         concat(n_total, '.0') as n_total, similarity_mean, similarity_se, accuracy, accuracy_se
         from ({_FOLDER})""",
+    "csv_order": f"""select concat(source_file, '_', "table") as source_file, "table", model, language, id, task_type,
+        row_number() over (partition by source_file, "table"
+            order by model, language nulls first, id nulls first, task_type nulls first) as place
+        from ({_FOLDER})""",
     "evaluation_failed": _CHAIN_FAILED,
     "evaluation_end_to_end": _report(
         _CHAIN_ROWS, f"source_file, {_ALL}", source_file="'llmjudge_processed_answers'"

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from markscale.operators import report as report_module
 from markscale.operators.measures import Measure, row_count
 from markscale.operators.report import report, result_table
-from markscale.plans import stages
+from markscale.plans import catalog, stages
+from markscale.sources import sinks
 from markscale.sources.jsonl import read_rows
 
 SCHEMA = "id string, model string, `LLMJudge result` string, similarity double"
@@ -104,6 +105,33 @@ def test_csv_tables(spark, write_lines, tmp_path):
     assert body == ["a,01,1.0,,,0.0,0.0", "b,02,1.0,0.5,0.0,1.0,0.0"]
 
 
+def test_rows_of_a_csv_table_stand_in_order_over_many_parts_and_pieces(spark, tmp_path, monkeypatch):
+    """A table cut into several part files, which are again read in small pieces, with a header line in each part."""
+    rows = [(f"f{i % 2}", f"m{i * 7919 % 3000:04}", "en", f"en_{i:06}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "source_file string, model string, language string, id string")
+    found = df.select("*", *(F.lit(1).alias(m) for m in catalog.MEASURES))
+
+    def aggregate(spark, source, target, written):
+        for name, keys in catalog.TABLES.items():
+            table = found.withColumn("task_type", F.lit("01")) if name == "by_model_task" else found
+            sinks.write_csv(table.select("source_file", *keys, *catalog.MEASURES), f"{target}/{name}", keys)
+
+    monkeypatch.setattr(catalog.stages, "aggregate", aggregate)
+    monkeypatch.setattr(catalog, "_noisy_folder", lambda *_: "")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [r for r in catalog._csv_order(spark, "").collect() if r.table == "by_model_language_id"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("f0", "f1"):
+        placed = [(r.model, r.id) for r in sorted(got, key=lambda r: r.place) if r.source_file == name]
+        assert placed == sorted((m, i) for f, m, _, i in rows if f == name)
+        assert sorted(r.place for r in got if r.source_file == name) == list(range(1, len(placed) + 1))
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
