@@ -11,7 +11,9 @@ import json
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,10 @@ from pyspark.sql import types as T
 from markscale.functions.text import python_float_text
 
 RECORD_TYPE = T.MapType(T.StringType(), T.StringType())
+PRINTED_TYPE = T.StructType([T.StructField("record", RECORD_TYPE), T.StructField("printed", RECORD_TYPE)])
+
+#: Texts that are Python objects at once, and their bytes; a longer text is alone.
+PIECE_ROWS, PIECE_BYTES = 512, 1 << 20
 
 _encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 _encode_ascii = json.JSONEncoder(separators=(",", ":")).encode
@@ -40,14 +46,40 @@ def _value_text(value) -> str:
     return text
 
 
+def pieces(texts: pa.Array, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.Array]:
+    """A string array in slices of at most ``rows`` texts and ``size`` bytes, or of one longer text."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < len(texts):
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield texts.slice(at, end - at)
+        at, before = end, ends[end - 1]
+
+
+def _items(line: str | None) -> list[tuple[str, object]] | None:
+    record = json.loads(line.strip()) if line else None
+    if isinstance(record, dict):
+        return [(key.encode("utf-8", "replace").decode(), value) for key, value in record.items()]
+    return None
+
+
 def _pairs(line: str | None) -> list[tuple[str, str]] | None:
     try:
-        record = json.loads(line.strip()) if line else None
-        if isinstance(record, dict):
-            return [(key.encode("utf-8", "replace").decode(), _value_text(value)) for key, value in record.items()]
+        items = _items(line)
+        return None if items is None else [(key, _value_text(value)) for key, value in items]
     except (ValueError, RecursionError):
-        pass
-    return None
+        return None
+
+
+def _printed_pairs(line: str | None, names: tuple[str, ...]) -> dict | None:
+    try:
+        items = _items(line)
+        if items is None:
+            return None
+        printed = [(key, str(value)) for key, value in items if key in names and isinstance(value, (list, dict))]
+        return {"record": [(key, _value_text(value)) for key, value in items], "printed": printed}
+    except (ValueError, RecursionError):
+        return None
 
 
 @F.arrow_udf(RECORD_TYPE)
@@ -58,8 +90,26 @@ def record_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     token ``NaN`` stays what it is. A repeated key has its last value.
     """
     sys.set_int_max_str_digits(0)
-    for lines in batches:
-        yield pa.array([_pairs(line) for line in lines.to_pylist()], pa.map_(pa.string(), pa.string()))
+    for batch in batches:
+        for lines in pieces(batch):
+            yield pa.array([_pairs(line) for line in lines.to_pylist()], pa.map_(pa.string(), pa.string()))
+
+
+def record_and_printed(*names: str):
+    """Like :func:`record_of`, with the lists and objects under ``names`` as Python prints them beside the record.
+
+    A function of its own for these texts would be one more Python worker per field on every busy core.
+    """
+    texts = pa.map_(pa.string(), pa.string())
+
+    def record_with_printed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sys.set_int_max_str_digits(0)
+        for batch in batches:
+            for lines in pieces(batch):
+                rows = [_printed_pairs(line, names) for line in lines.to_pylist()]
+                yield pa.array(rows, pa.struct([("record", texts), ("printed", texts)]))
+
+    return F.arrow_udf(record_with_printed, PRINTED_TYPE)
 
 
 def object_text(record: Column) -> Column:
@@ -104,12 +154,18 @@ def move_key(record: Column, old: str, new: str) -> Column:
 @F.arrow_udf(T.StringType())
 def python_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Lists and objects as Python prints them."""
-    for values in batches:
-        yield pa.array([None if v is None else str(json.loads(v)) for v in values.to_pylist()], pa.string())
+    for batch in batches:
+        for values in pieces(batch):
+            yield pa.array([None if v is None else str(json.loads(v)) for v in values.to_pylist()], pa.string())
 
 
-def spelled(record: Column, key: str, *, absent: str | None, null: str | None, nested: bool = True) -> Column:
-    """A value as Python's ``str`` spells it. ``nested=False`` leaves lists and objects NULL."""
+def spelled(
+    record: Column, key: str, *, absent: str | None, null: str | None, nested: bool = True, printed: Column | None = None
+) -> Column:
+    """A value as Python's ``str`` spells it. ``nested=False`` leaves lists and objects NULL.
+
+    ``printed`` is what :func:`record_and_printed` gave beside the record for this key; without it, lists and objects are read once more.
+    """
     value = record[key]
     whole = F.when(value == "-0", F.lit("0")).otherwise(value)
     number = F.when(value.rlike(r"^-?\d+$"), whole).otherwise(python_float_text(value.try_cast("double")))
@@ -121,7 +177,9 @@ def spelled(record: Column, key: str, *, absent: str | None, null: str | None, n
         .when(value == "false", F.lit("False"))
         .when(~is_nested(value), number)
     )
-    return F.coalesce(text, python_text(F.when(is_nested(value), value))) if nested else text
+    if not nested:
+        return text
+    return F.coalesce(text, python_text(F.when(is_nested(value), value)) if printed is None else printed[key])
 
 
 def is_nested(value: Column) -> Column:

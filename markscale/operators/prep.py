@@ -107,17 +107,18 @@ def render_prompt(
     question_field: str = "question",
     target_field: str = "input",
     drop_source_fields: bool = True,
+    printed: Column | None = None,
 ) -> DataFrame:
     """Set ``target_field`` to the rendered prompt and drop the fields it was made from.
 
-    An absent field renders as nothing, a JSON null as ``None``.
+    An absent field renders as nothing, a JSON null as ``None``. ``printed`` as in ``records.spelled``, for both fields.
     """
     record = F.col("record")
     prompt = render(
         template,
         {
-            "text": R.spelled(record, text_field, absent="", null="None"),
-            "problem": R.spelled(record, question_field, absent="", null="None"),
+            "text": R.spelled(record, text_field, absent="", null="None", printed=printed),
+            "problem": R.spelled(record, question_field, absent="", null="None", printed=printed),
         },
     )
     edited = R.set_key(record, target_field, prompt)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markscale.functions.chunks import sentence_chunks
+from markscale.functions.records import pieces
 from markscale.functions.vectors import dot
 from markscale.operators.skew import lookup_join
 from markscale.session import materialise
@@ -23,11 +24,14 @@ from markscale.session import materialise
 Encoder = Callable[[], Callable[[pa.Array], np.ndarray]]
 Chunker = Callable[[Column], Column]
 
-CHUNKS_PER_CALL = 8192
+#: Chunks that an encoder gets at once, and their bytes; a longer chunk is alone.
+CHUNKS_PER_CALL, BYTES_PER_CALL = 8192, 4 << 20
+#: Bytes that the letter encoder looks up at once.
+LETTER_BYTES = 1 << 20
 
 
 def letter_encoder() -> Callable[[pa.Array], np.ndarray]:
-    """Embed a chunk as its counts of the letters a to z, with one pass over the text buffer."""
+    """Embed a chunk as its counts of the letters a to z, with one pass over the text buffer, block by block."""
     codes = np.full(256, -1, dtype=np.int64)
     codes[ord("a") : ord("z") + 1] = np.arange(26)
 
@@ -35,10 +39,15 @@ def letter_encoder() -> Callable[[pa.Array], np.ndarray]:
         chunks = chunks.cast(pa.large_string())
         at, size = chunks.offset, len(chunks)
         offsets = np.frombuffer(chunks.buffers()[1], dtype=np.int64)[at : at + size + 1]
-        code = codes[np.frombuffer(chunks.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]]
-        owner = np.repeat(np.arange(size), np.diff(offsets))
-        letters = code >= 0
-        return np.bincount(owner[letters] * 26 + code[letters], minlength=size * 26).reshape(size, 26)
+        text = np.frombuffer(chunks.buffers()[2], dtype=np.uint8)
+        counts = np.zeros(size * 26, dtype=np.int64)
+        for start in range(offsets[0], offsets[-1], LETTER_BYTES):
+            end = min(start + LETTER_BYTES, offsets[-1])
+            code = codes[text[start:end]]
+            owner = np.repeat(np.arange(size), np.diff(np.clip(offsets, start, end)))
+            letters = code >= 0
+            counts += np.bincount(owner[letters] * 26 + code[letters], minlength=size * 26)
+        return counts.reshape(size, 26)
 
     return encode
 
@@ -62,11 +71,13 @@ def _mean_units(encode, chunks: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     flat = chunks.flatten()
     owner = np.repeat(np.arange(len(sizes)), sizes)
     sums = np.zeros((len(sizes), 0))
-    for at in range(0, len(flat), CHUNKS_PER_CALL):
-        rows = np.asarray(encode(flat.slice(at, CHUNKS_PER_CALL)), dtype=np.float64)
+    at = 0
+    for piece in pieces(flat, CHUNKS_PER_CALL, BYTES_PER_CALL):
+        rows = np.asarray(encode(piece), dtype=np.float64)
         norms = np.linalg.norm(rows, axis=1, keepdims=True)
         rows = rows / np.where(norms == 0, 1.0, norms)
-        owners = owner[at : at + CHUNKS_PER_CALL]
+        owners = owner[at : at + len(piece)]
+        at += len(piece)
         starts = np.flatnonzero(np.diff(owners, prepend=-1))
         if sums.shape[1] == 0:
             sums = np.zeros((len(sizes), rows.shape[1]))

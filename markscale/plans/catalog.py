@@ -157,7 +157,8 @@ def _prompt_render_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prompt_render_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prep.render_prompt(parse_records(views.raw_lines(spark, sf_dir)), ANSWER, question_field="id")
+    parsed = parse_records(views.raw_lines(spark, sf_dir), printed=("text", "id"))
+    rows = prep.render_prompt(parsed, ANSWER, question_field="id", printed=F.col("printed"))
     record = F.col("record")
     return rows.select(
         record["doc"].cast("bigint").alias("doc_id"),

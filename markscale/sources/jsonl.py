@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markscale.functions.records import record_of
+from markscale.functions.records import record_and_printed, record_of
 from markscale.functions.text import is_visible, let
 
 JSONL = "*.jsonl"
@@ -94,19 +94,25 @@ def read_records(
     blank_lines: str = "skip",
     pattern: str | None = JSONL,
     written: bool = False,
+    printed: Sequence[str] = (),
 ) -> DataFrame:
     """Strict scan of open-schema rows as ``(source_file, line, record)``.
 
     A line that is not exactly one JSON object fails the job; so does a blank line under
-    ``blank_lines="error"``.
+    ``blank_lines="error"``. With ``printed`` the column of that name maps those keys whose values are lists or objects
+    to what Python prints, for ``records.spelled``.
     """
-    return parse_records(read_lines(spark, path, pattern=pattern, written=written), blank_lines=blank_lines)
+    lines = read_lines(spark, path, pattern=pattern, written=written)
+    return parse_records(lines, blank_lines=blank_lines, printed=printed)
 
 
-def parse_records(lines: DataFrame, *, blank_lines: str = "skip") -> DataFrame:
+def parse_records(lines: DataFrame, *, blank_lines: str = "skip", printed: Sequence[str] = ()) -> DataFrame:
     # Declared non-deterministic, so that filters and later columns never parse the line again.
-    parsed = lines.withColumn("_record", record_of.asNondeterministic()("line"))
+    parse = record_and_printed(*printed) if printed else record_of
+    parsed = lines.withColumn("_record", parse.asNondeterministic()("line"))
     rows = _strict(F.array("_record"), F.col("_record").isNotNull(), F.col("line"), blank_lines)
+    if printed:
+        return parsed.select(*lines.columns, F.explode(rows).alias("_record")).select(*lines.columns, "_record.*")
     return parsed.select(*lines.columns, F.explode(rows).alias("record"))
 
 

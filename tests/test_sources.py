@@ -1,9 +1,11 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from markscale.functions import records as R
 from markscale.functions.records import object_text
 from markscale.sources import sinks
 from markscale.sources.jsonl import list_files, read_lines, read_manifest, read_records, read_rows
@@ -124,6 +126,35 @@ def test_a_line_is_parsed_once(spark, write_lines):
     assert plan.count("record_of(") == 1 and "from_json" not in plan
 
 
+def test_lines_are_parsed_in_bounded_pieces():
+    lines = [json.dumps({"n": n, "text": "x" * (n % 7)}) for n in range(3 * R.PIECE_ROWS)] + [None, "", "{"]
+    long = ['{"text":"' + "y" * (R.PIECE_BYTES // 3) + '"}'] * 7 + ['{"text":"' + "z" * 2 * R.PIECE_BYTES + '"}', "{}"]
+    batches = [pa.array(lines), pa.array([], pa.string()), pa.array(long), pa.array(["no", *long]).slice(1)]
+    out = list(R.record_of.func(iter(batches)))
+    assert max(len(piece) for piece in out) <= R.PIECE_ROWS
+    assert all(len(piece) == 1 or piece.nbytes <= 2 * R.PIECE_BYTES for piece in out)
+    rows = [row for piece in out for row in piece.to_pylist()]
+    texts = [line for batch in batches for line in batch.to_pylist()]
+    assert rows == [R._pairs(line) for line in texts] and rows[1] == [("n", "1"), ("text", '"x"')]
+
+
+def test_printed_values_are_those_of_a_second_reading(spark, write_lines):
+    values = ['[1,2.50,NaN,"a\'b",null,true]', '{"k":{"x":[1e400,"\\ud83d"]},"k":"中\\n"}', '"s"', "[]", "3", "null", "[" + "9" * 20 + "]"]
+    folder = write_lines(a=[f'{{"q":[0],"t":{value},"t2":[1]}}' for value in values] + ['{"q":{}}'])
+    record, printed = F.col("record"), F.col("printed")
+
+    def shown(key, **more):
+        return R.spelled(record, key, absent="", null="None", **more)
+
+    rows = read_records(spark, folder, printed=("t", "q"))
+    assert rows.columns == ["source_file", "line", "record", "printed"]
+    found = rows.select(shown("t").alias("a"), shown("t", printed=printed).alias("b"), shown("q", printed=printed).alias("q"), "printed").collect()
+    assert [r.a for r in found] == [r.b for r in found]
+    assert found[0].b == """[1, 2.5, nan, "a'b", None, True]""" and found[-1].q == "{}" and "t2" not in found[0].printed
+    with pytest.raises(Exception, match="not one JSON object"):
+        read_records(spark, write_lines(a=["[1]"]), printed=("t",)).collect()
+
+
 @pytest.mark.parametrize(
     ("line", "written"),
     [
