@@ -1,10 +1,11 @@
 """Alignment of two tokenizers over every text, as Arrow tables inside the tasks and Spark joins between them.
 
-Texts are cut into blocks of about ``BLOCK_BYTES``. In a block both tokenizers encode every text; the token lists are
-flattened with their parent indices, token bytes are summed up per document, and the two tables of token
-ends meet in one full outer hash join on (document, end). Between two neighbouring ends lies exactly one
-pair of overlapping tokens, a link; ends of both sides cut the text into groups. Links are counted per document
-and per block with ``Table.group_by``.
+Texts are cut into blocks of about ``BLOCK_BYTES``, and these into pieces of about ``PIECE_BYTES``. In a piece both
+tokenizers encode every text; the token lists are flattened with their parent indices, token bytes are summed up per
+document, and the two tables of token ends meet in one full outer hash join on (document, end). Between two
+neighbouring ends lies exactly one pair of overlapping tokens, a link; ends of both sides cut the text into groups.
+Links are counted per document and per block with ``Table.group_by``. A block keeps only the counts of its earlier
+pieces, and texts come to a task in batches of half a piece, so a task's memory does not grow with the input.
 
 Spark merges the partial counts of all blocks by pair. A block then asks for the count of each of its
 distinct pairs once, so what is shuffled is one small row per pair and block, never a row per link. A pair that
@@ -13,7 +14,8 @@ is in every block is one row per block and is spread by the join like any other
 - A text that is NULL or empty, or whose tokens do not spell " " + text (an encoder that normalises, say), has no
   tokens: all counts are 0 and ``groups`` is empty. The space is B's own; A gets it written out.
 - Special tokens' strings inside of a text are plain text.
-- A text of any length is encoded whole; one longer than ``BLOCK_BYTES`` is a block of its own.
+- A text of any length is encoded whole; one longer than ``PIECE_BYTES`` is a piece of its own, one longer than
+  ``BLOCK_BYTES`` a block. A block has at most ``BLOCK_ROWS`` rows.
 - Rows alike, or alike in key, each have their own result and each count. A NULL key is a key. An empty table gives no rows.
 - Other columns do not pass through; their names may be anything.
 
@@ -24,18 +26,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markscale.session import materialise
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 10_000
+PIECE_BYTES = 256 << 10
+#: Spark's bound for the bytes of a batch that goes to Python.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A pair of ids is one number: the id of A times this, plus the id of B.
 PAIR = 1 << 31
 #: The sign of a space in pieces, and the pattern that splits a text before byte-level merges.
@@ -129,7 +135,7 @@ class Side:
     def __init__(self, tokens: list[bytes], separators: str):
         self.bytes = pa.array(tokens, pa.large_binary())
         self.sizes = pa.array([len(t) for t in tokens], pa.int64())
-        self.shown = [f"{i}{s}" for s in [*separators, ""] for i in range(len(tokens))]
+        self.shown = pa.array((f"{i}{s}" for s in [*separators, ""] for i in range(len(tokens))), pa.large_binary())
         self.count = len(tokens)
 
 
@@ -137,7 +143,7 @@ class Aligner:
     def __init__(self, vocabularies: Vocabularies):
         self.a, self.b = ByteLevel(vocabularies.byte_level), Pieces(vocabularies.pieces)
         self.side_a, self.side_b = Side(self.a.tokens, ",|"), Side(self.b.tokens, ",;")
-        self.shown = pa.array(self.side_a.shown + self.side_b.shown, pa.large_binary())
+        self.shown = pa.concat_arrays([self.side_a.shown, self.side_b.shown])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Which texts both sides spell exactly, and the token lists of those."""
@@ -223,33 +229,61 @@ def blocks_of(batch: pa.RecordBatch, text: int, size: int) -> Iterator[pa.Record
         at = stop
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Texts of jobs that run meanwhile go to Python in batches of about ``size`` bytes."""
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, before)
+
+
 def encode_blocks(docs: DataFrame, key: str, text: str, vocabularies: Vocabularies, block_bytes: int) -> DataFrame:
-    """A row per block: its documents, its distinct pairs with their counts, and the pairs of each document."""
+    """A row per block: its documents, its distinct pairs with their counts, and the pairs of each document in turn."""
     kind = docs.schema[key].dataType.simpleString()
     schema = (
         f"block long, docs array<struct<key:{kind},n_a:long,n_b:long,n_groups:long,n_links:long,groups:string>>, "
-        "pairs array<long>, counts array<long>, doc_of array<int>, pair_of array<int>, times array<int>"
+        "pairs array<long>, counts array<long>, held array<int>, pair_of array<int>, times array<int>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner, number = Aligner(vocabularies), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for rows in blocks_of(batch, 1, block_bytes):
-                yield block_row(aligner, rows, 1, number)
-                number += 1
+        aligner, first = Aligner(vocabularies), TaskContext.get().partitionId() << 32
+        for number, parts in enumerate(blocks_of_parts(aligner, batches, block_bytes)):
+            yield block_row(parts, first + number)
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def block_row(aligner: Aligner, rows: pa.RecordBatch, text: int, number: int) -> pa.RecordBatch:
+def blocks_of_parts(aligner: Aligner, batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[list[tuple[pa.StructArray, pa.Table]]]:
+    """The counted pieces of each block; a block goes on through the batches, up to half a piece beyond its size."""
+    piece_bytes = min(PIECE_BYTES, block_bytes)
+    parts, size, rows = [], 0, 0
+    for batch in batches:
+        for piece in blocks_of(batch, 1, piece_bytes):
+            own = (pc.sum(pc.binary_length(piece.column(1))).as_py() or 0) + piece.num_rows
+            if parts and (size + own > block_bytes + piece_bytes // 2 or rows + piece.num_rows > BLOCK_ROWS):
+                yield parts
+                parts, size, rows = [], 0, 0
+            parts.append(count_piece(aligner, piece, 1))
+            size, rows = size + own, rows + piece.num_rows
+    if parts:
+        yield parts
+
+
+def count_piece(aligner: Aligner, rows: pa.RecordBatch, text: int) -> tuple[pa.StructArray, pa.Table]:
+    """The documents of a piece, and how many links of each (``doc``, its place) hold each ``pair``."""
     full, a, b = aligner.encode(rows.column(text).to_pylist())
     links = aligner.links(a, b)
     owner = np.right_shift(links["key"].to_numpy(), 32)
     linked = pa.table({"doc": owner, "pair": pc.add(pc.multiply(links["a"], PAIR), links["b"])})
     per_doc = linked.group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
-    in_all = per_doc.group_by("pair", use_threads=False).aggregate([("count_all", "sum")]).sort_by("pair")
     places = np.flatnonzero(full)
 
     def spread(values) -> pa.Array:
@@ -270,14 +304,23 @@ def block_row(aligner: Aligner, rows: pa.RecordBatch, text: int, number: int) ->
         ],
         ["key", "n_a", "n_b", "n_groups", "n_links", "groups"],
     )
+    times = pc.cast(per_doc["count_all"], pa.int32())
+    return docs, pa.table({"doc": places[per_doc["doc"].to_numpy()], "pair": per_doc["pair"], "times": times})
+
+
+def block_row(parts: list[tuple[pa.StructArray, pa.Table]], number: int) -> pa.RecordBatch:
+    stops = np.cumsum([len(docs) for docs, _ in parts])
+    shifted = [t.set_column(0, "doc", pc.add(t["doc"], int(stop) - len(docs))) for (docs, t), stop in zip(parts, stops)]
+    per_doc = pa.concat_tables(shifted).sort_by("doc").combine_chunks()
+    in_all = per_doc.group_by("pair", use_threads=False).aggregate([("times", "sum")]).sort_by("pair")
     pairs = in_all["pair"].to_numpy()
     columns = {
-        "docs": docs,
+        "docs": pa.concat_arrays([docs for docs, _ in parts]),
         "pairs": pa.array(pairs),
-        "counts": in_all["count_all_sum"].combine_chunks().cast(pa.int64()),
-        "doc_of": pa.array(places[per_doc["doc"].to_numpy()].astype(np.int32)),
+        "counts": in_all["times_sum"].combine_chunks().cast(pa.int64()),
+        "held": pa.array(np.bincount(per_doc["doc"].to_numpy(), minlength=stops[-1]).astype(np.int32)),
         "pair_of": pa.array(np.searchsorted(pairs, per_doc["pair"].to_numpy()).astype(np.int32)),
-        "times": per_doc["count_all"].combine_chunks().cast(pa.int32()),
+        "times": per_doc["times"].combine_chunks(),
     }
     one_row = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns.values()]
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *one_row], ["block", *columns])
@@ -299,17 +342,18 @@ def score_blocks(blocks: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     told = asked.join(counts, "pair").groupBy("block").agg(
         F.array_sort(F.collect_list(F.struct("place", "n", "best"))).alias("told")
     )
-    rows = blocks.select("block", "docs", "doc_of", "pair_of", "times").join(told, "block", "left")
-    rows = rows.select("docs", "doc_of", "pair_of", "times", F.col("told.n").alias("n"), F.col("told.best").alias("best"))
+    rows = blocks.select("block", "docs", "held", "pair_of", "times").join(told, "block", "left")
+    rows = rows.select("docs", "held", "pair_of", "times", F.col("told.n").alias("n"), F.col("told.best").alias("best"))
     schema = f"{blocks.schema['docs'].dataType.elementType.simpleString()[7:-1]},n_best:long,count_sum:long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                docs, doc_of, pair_of, times, n, best = (column[i].values for column in batch.columns)
+                docs, held, pair_of, times, n, best = (column[i].values for column in batch.columns)
                 sums = {"n_best": np.zeros(len(docs), np.int64), "count_sum": np.zeros(len(docs), np.int64)}
-                if len(doc_of):
-                    own, place, weight = (c.to_numpy() for c in (doc_of, pair_of, times))
+                if len(pair_of):
+                    own = np.repeat(np.arange(len(docs)), held.to_numpy())
+                    place, weight = pair_of.to_numpy(), times.to_numpy()
                     np.add.at(sums["n_best"], own, weight * best.to_numpy(zero_copy_only=False)[place])
                     np.add.at(sums["count_sum"], own, weight * n.to_numpy()[place])
                 names = [field.name for field in docs.type]
@@ -324,7 +368,8 @@ def align(
 ) -> tuple[DataFrame, DataFrame]:
     """Per document ``key``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``groups`` (digest), ``n_best``, ``count_sum``;
     and the corpus' ``pair``, ``n``, ``best``. Encodes and counts when it is called."""
-    blocks = materialise(encode_blocks(docs, key, text, vocabularies, block_bytes), "token-blocks")
+    with small_batches(docs.sparkSession, PIECE_BYTES // 2):
+        blocks = materialise(encode_blocks(docs, key, text, vocabularies, block_bytes), "token-blocks")
     counts = materialise(link_counts(blocks), "link-counts")
     return score_blocks(blocks, counts, key), counts
 

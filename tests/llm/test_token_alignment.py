@@ -136,3 +136,55 @@ def test_both_encoders_of_a_give_the_same_ids():
     side = token_alignment.ByteLevel(VOCABULARIES.byte_level)
     for text in [*ODD, " " * 200_000 + "x", "\n \t" * 50_000]:
         assert (side.encode(text) == side.by_merges(text)).all()
+
+
+def test_a_task_holds_a_piece_of_texts_at_a_time(spark, tmp_path, monkeypatch):
+    asked, came = tmp_path / "asked", tmp_path / "came"
+    encoder, cut = token_alignment.Aligner, token_alignment.blocks_of
+
+    class Watched(encoder):
+        def encode(self, texts):
+            with open(asked, "a") as file:
+                file.write(f"{sum(len(t or '') for t in texts)}\n")
+            return encoder.encode(self, texts)
+
+    def watched(batch, text, size):
+        with open(came, "a") as file:
+            file.write(f"{batch.nbytes}\n")
+        return cut(batch, text, size)
+
+    monkeypatch.setattr(token_alignment, "Aligner", Watched)
+    monkeypatch.setattr(token_alignment, "blocks_of", watched)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    rows = [(i, f"{i} some words of a text " * 40) for i in range(4_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in token_alignment.align(frame)[0].collect()}
+    assert spark.conf.get(setting) == before
+    sizes = [int(n) for n in asked.read_text().split()]
+    assert sum(sizes) == sum(len(t) for _, t in rows) and max(sizes) <= 256 << 10
+    assert max(int(n) for n in came.read_text().split()) <= 512 << 10
+    assert len(found) == len(rows) and all(r.n_links == r.n_a + r.n_b - r.n_groups > 0 for r in found.values())
+
+
+def test_blocks_go_on_through_batches(monkeypatch):
+    import pyarrow as pa
+
+    def batch(texts):
+        return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["key", "text"])
+
+    def blocks(batches, block_bytes):
+        parts = token_alignment.blocks_of_parts(aligner, batches, block_bytes)
+        return [token_alignment.block_row(p, n) for n, p in enumerate(parts)]
+
+    aligner = token_alignment.Aligner(VOCABULARIES)
+    words = ["some words", None, "", "more words of a text"] * 5
+    whole, = blocks([batch(words)], 1 << 20)
+    dealt, = blocks([batch(words[i : i + 3]) for i in range(0, len(words), 3)], 1 << 20)
+    for name in ("pairs", "counts", "held"):
+        assert whole.column(name).to_pylist() == dealt.column(name).to_pylist()
+    # A long text is a block of its own; rows without text are bounded by their number.
+    long = blocks([batch(["x", "a b " * 100, "y"])], 64)
+    assert [len(b.column("docs")[0]) for b in long] == [1, 1, 1]
+    monkeypatch.setattr(token_alignment, "BLOCK_ROWS", 4)
+    assert [len(b.column("docs")[0]) for b in blocks([batch([None, ""])] * 5, 1 << 20)] == [4, 4, 2]
